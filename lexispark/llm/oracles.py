@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .mixing import HEX, PART, TERMS, MixParams
 from .quality import CLASSES, QualityParams
 
 
@@ -52,4 +53,22 @@ SELECT h.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ba
 FROM h LEFT JOIN m USING (doc_id)"""
 
 
-ORACLES = {"op6_quality_rules": _quality()}
+def mixing_sql(docs: str = "documents", columns: str = "doc_id, source, copy, shuffle_key, n_chars, text") -> str:
+    """Rows of the mixing operator with its default parameters over ``docs``."""
+    seed = MixParams().seed
+    key = lambda tag, part: f"('0x' || substr(md5('{seed}{tag}:' || coalesce(doc_id::VARCHAR, 'null') || ':' || ({part})::VARCHAR), 1, {HEX}))::BIGINT"
+    return f"""
+WITH n AS (SELECT source, count(*) AS n FROM {docs} GROUP BY 1),
+r AS (SELECT source AS src, (SELECT sum(n) FROM n)::DOUBLE / ((SELECT count(*) FROM n)::DOUBLE * n) AS rate FROM n),
+q AS (SELECT src, greatest(1, ceil(rate / {PART})::INT) AS parts, rate / greatest(1, ceil(rate / {PART})::INT) AS l FROM r),
+f AS (SELECT src, k, exp(-l) * exp(sum(CASE WHEN k = 0 THEN 0.0 ELSE ln(l / k) END) OVER (PARTITION BY src ORDER BY k)) AS pk, parts
+      FROM q, (SELECT unnest(range(0, {TERMS})) AS k)),
+c AS (SELECT src, any_value(parts) AS parts, list(cdf ORDER BY k) AS cdf
+      FROM (SELECT src, parts, k, sum(pk) OVER (PARTITION BY src ORDER BY k) AS cdf FROM f) GROUP BY src),
+d AS (SELECT t.*, list_sum(list_transform(range(0, parts), lambda j: len(list_filter(cdf, lambda x: x <= {key("u", "j")} / 16.0 ** {HEX})))) AS copies
+      FROM {docs} t JOIN c ON t.source IS NOT DISTINCT FROM c.src),
+e AS (SELECT *, unnest(range(0, copies::BIGINT))::INT AS copy FROM d)
+SELECT {columns} FROM (SELECT *, {key("s", "copy")} AS shuffle_key FROM e)"""
+
+
+ORACLES = {"op6_quality_rules": _quality(), "op10_mixing": mixing_sql()}
