@@ -60,25 +60,32 @@ def odd_numbers(n: int, seed: int) -> np.ndarray:
     return mixed(np.arange(1, n + 1, dtype=np.uint64) * U(0x9E3779B97F4A7C15) + U(seed)) | U(1)
 
 
-def hash_words(data: bytes, seed: int) -> np.ndarray:
-    """One 64-bit hash per word of ``data``, block by block."""
-    out, at = [], 0
+def hash_words(texts: list[bytes], seed: int, blank: np.ndarray = BLANK) -> tuple[np.ndarray, np.ndarray]:
+    """One 64-bit hash per word of all texts, block by block, and the number of words of each text.
+
+    ``blank`` marks the bytes between words; a line feed must be one of them.
+    """
+    data = b"\n".join(texts)
+    out, starts, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
     letters = odd_numbers(256, seed)
     while at < len(data):
         end = min(len(data), at + BLOCK)
-        while end < len(data) and not BLANK[data[end]]:
+        while end < len(data) and not blank[data[end]]:
             end += 1
         b = np.frombuffer(data, np.uint8, end - at, at)
-        full = ~BLANK[b]
+        full = ~blank[b]
         edge = np.diff(np.concatenate(([0], full.view(np.int8), [0])))
-        sizes = np.flatnonzero(edge == -1) - np.flatnonzero(edge == 1)
+        begin = np.flatnonzero(edge == 1)
+        sizes = np.flatnonzero(edge == -1) - begin
         if sizes.size:
             first = np.cumsum(sizes) - sizes
             place = np.arange(int(sizes.sum()), dtype=np.int32) - np.repeat(first.astype(np.int32), sizes)
             value = letters[b[full]] * odd_numbers(int(sizes.max()), seed + 1)[place]
             out.append(mixed(np.add.reduceat(value, first) + sizes.astype(np.uint64)))
+            starts.append(begin + at)
         at = end
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+    offset = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    return np.concatenate(out), np.diff(np.searchsorted(np.concatenate(starts), offset))
 
 
 def rolled(h: np.ndarray, k: int, seed: int) -> np.ndarray:
@@ -127,26 +134,27 @@ def factors(doc: np.ndarray, pos: np.ndarray, src_doc: np.ndarray, src_pos: np.n
 def index_entries(docs: list[tuple[int, bytes]], p: SubstringParams, parts: int) -> tuple[list[tuple[int, bytes]], pa.RecordBatch]:
     """Entries of one chunk of documents by index part, and the factors found within the chunk."""
     docs.sort(key=lambda x: x[0])
-    hashed = [(d, hash_words(t, p.seed)) for d, t in docs]
-    hashed = [(d, h) for d, h in hashed if len(h) >= p.window]
-    h = np.concatenate([x for _, x in hashed]) if hashed else np.zeros(0, np.uint64)
-    size = np.array([len(x) for _, x in hashed], np.int64)
+    h, size = hash_words([t for _, t in docs], p.seed)
     none = np.zeros(0, np.int64)
-    if not len(h):
+    if len(h) < p.window:
         return [], factors(none, none, none, none, p.window)
     row = np.repeat(np.arange(len(size)), size)
     n = len(h) - p.window + 1
     valid = row[:n] == row[p.window - 1 :]
-    doc = np.array([d for d, _ in hashed], np.int64)[row[:n]][valid]
+    doc = np.array([d for d, _ in docs], np.int64)[row[:n]][valid]
     pos = (np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size))[:n][valid]
     anchor = sliding_min(rolled(h, GRAM, p.seed + 2), p.window - GRAM + 1)[valid]
     key = rolled(h, p.window, p.seed + 3)[valid]
     row = row[:n][valid]
+    if not len(doc):
+        return [], factors(none, none, none, none, p.window)
     src_doc, src_pos = firsts(key, doc, pos)
     known = (src_doc != doc) | (src_pos != pos)
     found = factors(doc[known], pos[known], src_doc[known], src_pos[known], p.window)
     left = ~known
     doc, pos, anchor, key, row = doc[left], pos[left], anchor[left], key[left] >> U(16), row[left]
+    if not len(doc):
+        return [], found
     start = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1]) | (pos[1:] != pos[:-1] + 1))))
     count = np.diff(np.append(start, len(anchor)))
     part = (mixed(anchor[start]) % U(parts)).astype(np.int64)
