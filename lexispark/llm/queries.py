@@ -11,6 +11,7 @@ from .common import documents
 from .decontaminate import find_leaks
 from .langid import identify
 from .licenses import scan
+from .lines import line_dedup
 from .mixing import mix
 from .oracles import ORACLES
 from .pii import KINDS, find_pii, spans_string
@@ -36,6 +37,14 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup(documents(spark, sf_dir))
+    return found.select(
+        "doc_id", "n_lines", "n_exact", "n_near", "n_links", "dup_of", "n_chars",
+        F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"),
+    )
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup(documents(spark, sf_dir))
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
@@ -66,7 +75,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).select("doc_id", "source", "copy", "shuffle_key", "n_chars", "text")
 
 
-QUERIES = (op1_language_id, op2_pii, op4_substring_dedup, op5_decontamination, op6_quality_rules, op7_simhash, op8_token_counts, op9_license_scan, op10_mixing)
+QUERIES = (op1_language_id, op2_pii, op3_line_dedup, op4_substring_dedup, op5_decontamination, op6_quality_rules, op7_simhash, op8_token_counts, op9_license_scan, op10_mixing)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
