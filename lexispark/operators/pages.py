@@ -151,7 +151,7 @@ def parse(pages: DataFrame, url: str = "url", html: str = "html", charset: str |
     ``html`` is a string, or bytes with their ``charset`` in a column.  A page
     that cannot be read gives an error and no blocks instead of failing the job.
     """
-    kept = [c for c in pages.columns if c != html]
+    kept = [c for c in pages.columns if c not in (html, "page_title", "found", "blocks", "error")]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema.fields if f.name in kept] + [PARSED])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
