@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from .lines import LineParams
 from .mixing import HEX, PART, TERMS, MixParams
 from .quality import CLASSES, QualityParams
+from .substring import SubstringParams
 
 
 def _quality() -> str:
@@ -71,4 +73,35 @@ e AS (SELECT *, unnest(range(0, copies::BIGINT))::INT AS copy FROM d)
 SELECT {columns} FROM (SELECT *, {key("s", "copy")} AS shuffle_key FROM e)"""
 
 
-ORACLES = {"op6_quality_rules": _quality(), "op10_mixing": mixing_sql()}
+SUBSTRING = rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+p AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS pos FROM w),
+g AS (SELECT doc_id, pos, string_agg(word, ' ') OVER v AS k, count(*) OVER v AS n FROM p
+      WINDOW v AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND {SubstringParams().window - 1} FOLLOWING)),
+f AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY k ORDER BY doc_id, pos) > 1 AS again FROM g WHERE n = {SubstringParams().window}),
+c AS (SELECT p.doc_id, p.pos, word, max(CASE WHEN again THEN 1 ELSE 0 END) OVER (PARTITION BY p.doc_id ORDER BY p.pos ROWS BETWEEN {SubstringParams().window - 1} PRECEDING AND CURRENT ROW) = 1 AS gone
+      FROM p LEFT JOIN f USING (doc_id, pos))
+SELECT d.doc_id, count(word) AS n_words, count(*) FILTER (gone) AS n_removed, sha256(coalesce(string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM documents d LEFT JOIN c USING (doc_id) GROUP BY 1"""
+
+#: Holds for one edit: the lines are equal before and after one place.
+LINES = rf"""
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(0, len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents),
+c AS (SELECT *, regexp_matches(line, '[^\x20\x09-\x0D]') AS worded FROM l),
+f AS (SELECT line, length(line) AS n, doc_id AS k, pos AS p FROM c WHERE worded AND length(line) >= {LineParams().min_chars} QUALIFY row_number() OVER (PARTITION BY line ORDER BY doc_id, pos) = 1),
+i AS (SELECT line, n, 1 AS seg, left(line, n // 2) AS s FROM f UNION ALL SELECT line, n, 2, right(line, n - n // 2) FROM f),
+q AS (SELECT line, n - d AS n, 1 AS seg, left(line, (n - d) // 2) AS s FROM f, (VALUES (0), (1)) v(d) UNION ALL SELECT line, n - d, 2, right(line, (n - d) - (n - d) // 2) FROM f, (VALUES (0), (1)) v(d)),
+e AS (SELECT DISTINCT i.line AS a, q.line AS b FROM i JOIN q USING (n, seg, s) WHERE i.line <> q.line),
+t AS (SELECT a, b, len(list_filter(range(1, length(a) + 1), lambda j: left(a, j) = left(b, j))) AS same FROM e WHERE length(b) > length(a) OR a < b),
+g AS (SELECT a, b FROM t WHERE substring(b, same + 2) = substring(a, same + CASE WHEN length(a) = length(b) THEN 2 ELSE 1 END)),
+u AS (SELECT x.line AS one, y.line AS other, x.k AS one_k, x.p AS one_p, y.k AS other_k, y.p AS other_p
+      FROM (SELECT a, b FROM g UNION ALL SELECT b, a FROM g) g2 JOIN f x ON x.line = g2.a JOIN f y ON y.line = g2.b),
+d AS (SELECT one AS line, count(*) AS links, min(other_k) FILTER ((other_k, other_p) < (one_k, one_p)) AS near_k FROM u GROUP BY 1),
+m AS (SELECT c.*, coalesce(d.links, 0) AS links, f.line IS NOT NULL AND (c.doc_id, c.pos) <> (f.k, f.p) AS again, near_k, f.k AS first_k FROM c LEFT JOIN f USING (line) LEFT JOIN d USING (line)),
+r AS (SELECT *, NOT again AND near_k IS NOT NULL AS near FROM m),
+s AS (SELECT doc_id, count(*) FILTER (worded) AS n_lines, count(*) FILTER (again) AS n_exact, count(*) FILTER (near) AS n_near, sum(links)::BIGINT AS n_links,
+        coalesce(list_sort(list_distinct(list(CASE WHEN again THEN first_k ELSE near_k END) FILTER (again OR near))), []) AS dup_of, string_agg(line, chr(10) ORDER BY pos) FILTER (NOT again AND NOT near) AS kept FROM r GROUP BY 1)
+SELECT d.doc_id, n_lines, n_exact, n_near, n_links, dup_of, CASE WHEN text IS NOT NULL THEN length(coalesce(kept, '')) END AS n_chars, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents d JOIN s USING (doc_id)"""
+
+
+ORACLES = {"op3_line_dedup": LINES, "op4_substring_dedup": SUBSTRING, "op6_quality_rules": _quality(), "op10_mixing": mixing_sql()}
