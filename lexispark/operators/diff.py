@@ -18,7 +18,7 @@ def document_snapshot(documents: DataFrame, doc_type: str, taxonomies: list[str]
 
 
 def clause_snapshot(clauses: DataFrame, circulars: DataFrame, formal_name: str) -> DataFrame:
-    own = clauses.join(F.broadcast(circulars.filter(F.col("formal_name") == formal_name).select(F.col("id").alias("circular_id"))), "circular_id")
+    own = clauses.join(circulars.filter(F.col("formal_name") == formal_name).select(F.col("id").alias("circular_id")), "circular_id")
     return own.select(F.col("clause_number").alias("doc_id"), F.sha1(F.col("full_text").cast("binary")).alias("content_hash"), "title")
 
 

@@ -92,8 +92,8 @@ def circulars(run: Ingest, contents: DataFrame, only_chapter: int | None = None)
     """
     began, spark = time.time(), run.store.spark
     named = contents.select("formal_name", "abbr", "url", F.xxhash64("formal_name").alias("id"))
-    toc = source.parsed(run.pages(named, "contents")).join(F.broadcast(named), "url")
-    entries = pages.contents(toc, urls.toc_style(F.col("formal_name"))).join(F.broadcast(named.select("url", F.col("id").alias("circular_id"))), "url")
+    toc = source.parsed(run.pages(named, "contents")).join(named, "url")
+    entries = pages.contents(toc, urls.toc_style(F.col("formal_name"))).join(named.select("url", F.col("id").alias("circular_id")), "url")
     if only_chapter:
         entries = entries.filter(F.col("chapter_number") == only_chapter)
     entries = entries.drop("url").withColumnRenamed("section_url", "url")

@@ -25,7 +25,7 @@ def has_attachment(column: str, wanted: bool | None) -> Column | None:
 def clauses(requests: DataFrame, clause: DataFrame, circulars: DataFrame, section: DataFrame) -> DataFrame:
     """Requests (name, clause) with their clause or nulls; the section's time is an empty string without one."""
     r = requests.withColumn("_number", normalize_key(F.col("clause")))
-    full = clause.join(F.broadcast(circulars.select(F.col("id").alias("circular_id"), "formal_name", "abbr")), "circular_id")
+    full = clause.join(circulars.select(F.col("id").alias("circular_id"), "formal_name", "abbr"), "circular_id")
     full = full.join(section.select("circular_id", "chapter_number", "section_number", "fetched_at"), ["circular_id", "chapter_number", "section_number"], "left")
     hit = full.select("formal_name", "abbr", "clause_number", "source_url", "title", "full_text", "paragraphs", F.coalesce(F.col("fetched_at").cast("string"), F.lit("")).alias("fetched_at"))
     return r.join(hit, (r["name"] == hit["formal_name"]) & (r["_number"] == hit["clause_number"]), "left").drop("_number", "formal_name").withColumn("source", F.when(F.col("clause_number").isNotNull(), "db"))
@@ -39,7 +39,7 @@ def with_fallback(requests: DataFrame, stored_rows: DataFrame, live: DataFrame,
 
 
 def available_clauses(clause: DataFrame, circulars: DataFrame, name: str, limit: int = 200) -> DataFrame:
-    own = clause.join(F.broadcast(circulars.filter(F.col("formal_name") == name).select(F.col("id").alias("circular_id"))), "circular_id")
+    own = clause.join(circulars.filter(F.col("formal_name") == name).select(F.col("id").alias("circular_id")), "circular_id")
     return own.orderBy("id").limit(limit).select("clause_number", "title")
 
 

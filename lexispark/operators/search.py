@@ -120,7 +120,7 @@ def search_batch(rows: DataFrame, queries: DataFrame, key: str, columns: tuple[s
     terms = wanted.select("term").distinct()
     of_term = F.transform(F.sequence(F.lit(1), F.length("term") - 2), lambda i: F.substring("term", i, F.lit(3)))
     grams = terms.select("term", F.explode(F.array_distinct(of_term)).alias("gram"))
-    sizes = index.join(F.broadcast(grams.select("gram").distinct()), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+    sizes = index.join(grams.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
     rarest = grams.join(sizes, "gram").groupBy("term").agg(F.min(F.struct("n", "gram")).alias("g"), F.count("*").alias("known"))
     # a term with a trigram that no row has cannot hit
     whole = grams.groupBy("term").agg(F.count("*").alias("all"))

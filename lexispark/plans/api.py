@@ -37,7 +37,7 @@ class Engine:
         return found.join(F.broadcast(one), how="left")  # one row at most
 
     def search_circulars(self, keyword: str, formal_name: str | None = None, limit: int | None = None) -> DataFrame:
-        circulars = F.broadcast(self.store.read("circular").select(F.col("id").alias("circular_id"), "formal_name", "abbr"))
+        circulars = self.store.read("circular").select(F.col("id").alias("circular_id"), "formal_name", "abbr")
         rows = self.store.read("clause").join(circulars, "circular_id").drop("paragraphs")
         found = search.scan(rows, keyword, "id", ("clause_number", *TEXT), lookup.given(formal_name=formal_name), limit)
         found = found.select("formal_name", "abbr", "clause_number", "title", "snippet", "source_url", "rank", self._binding("circular").alias("binding"))
@@ -91,7 +91,7 @@ class Engine:
     def _live_clauses(self, missing: DataFrame) -> DataFrame:
         circular = self.store.read("circular").select(F.col("id").alias("circular_id"), "formal_name", "source_root_url")
         n = text.parse_clause_number(text.normalize_key(F.col("clause")))
-        asked = missing.join(F.broadcast(circular), F.col("name") == F.col("formal_name")).withColumn("_n", n).filter("_n IS NOT NULL")
+        asked = missing.join(circular, F.col("name") == F.col("formal_name")).withColumn("_n", n).filter("_n IS NOT NULL")
         root = F.regexp_replace("source_root_url", r"[^/]*$", "")
         asked = asked.select("circular_id", F.col("_n.chapter").alias("chapter_number"), F.col("_n.section").alias("section_number"), urls.section_url(root, F.col("_n.chapter"), F.col("_n.section")).alias("url")).distinct()
         read = pages.section_clauses(source.parsed(self.run.pages(asked, "live"))).join(asked, "url")
@@ -140,7 +140,7 @@ class Engine:
         return own.select("doc_type", "doc_id", "title", filled.alias("pdfs"), pdf.hints(F.col("attached_pdfs")).alias("hints"), self._binding(doc_type).alias("binding"))
 
     def stale_sections(self, days: int, formal_name: str | None = None) -> DataFrame:
-        circulars = F.broadcast(self.store.read("circular").select(F.col("id").alias("circular_id"), "formal_name"))
+        circulars = self.store.read("circular").select(F.col("id").alias("circular_id"), "formal_name")
         rows = self.store.read("section").join(circulars, "circular_id")
         test = lookup.given(formal_name=formal_name)
         now = self.now or str(self.spark.sql("SELECT current_timestamp()").first()[0])
