@@ -110,7 +110,9 @@ def features(docs: DataFrame, p: QualityParams) -> DataFrame:
     code = F.create_map(*[F.lit(x) for i, w in enumerate(vocabulary) for x in (w, chr(0x4E00 + i))])
     df = docs.select("doc_id", "lang", text.alias("_t")).withColumn("_w", words(F.col("_t")))
     lines = F.filter(F.split("_t", "\n"), lambda s: s.rlike(r"[^\x20\x09-\x0D]"))
-    lowered = F.split(F.lower("_t"), r"[^\p{L}]+")
+    # a column of its own, as two expressions use it
+    df = df.withColumn("_l", F.split(F.lower("_t"), r"[^\p{L}]+"))
+    lowered = F.col("_l")
     common = F.array_join(
         F.transform(F.filter(lowered, lambda w: w.isin(*vocabulary)), lambda w: F.element_at(code, w)), ""
     )
