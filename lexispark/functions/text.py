@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 # The characters that normalisation maps, and the blanks of ECMAScript's \s.
 WIDE = "－～〜０１２３４５６７８９　"
 NARROW = "-~~0123456789 "
-BLANK_POINTS = (0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)
-BLANKS = "[" + "".join(map(chr, BLANK_POINTS)) + "]"
+BLANK_RANGES = ((0x09, 0x0D), (0x20, 0x20), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000), (0xFEFF, 0xFEFF))
+BLANKS = "[" + "".join(chr(a) if a == b else f"{chr(a)}-{chr(b)}" for a, b in BLANK_RANGES) + "]"
 WIDE_LETTERS = "ＡＢＣＤＥＦＧＨＩＪＫＬＭＮＯＰＱＲＳＴＵＶＷＸＹＺａｂｃｄｅｆｇｈｉｊｋｌｍｎｏｐｑｒｓｔｕｖｗｘｙｚ＆"
 NARROW_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz&"
 DIGIT = "[0-9０-９]"
@@ -30,7 +30,8 @@ def trim_blanks(s: Column) -> Column:
 
 def normalize_text(s: Column) -> Column:
     """Full-width hyphen, tilde, digits and blank to ASCII; the rest stays."""
-    return F.translate(s, WIDE, NARROW)
+    # translate works character by character, so it is kept for texts that need it
+    return F.when(s.rlike(f"[{WIDE}]"), F.translate(s, WIDE, NARROW)).otherwise(s)
 
 
 def normalize_key(s: Column) -> Column:
@@ -39,17 +40,17 @@ def normalize_key(s: Column) -> Column:
 
 
 def normalize_query(s: Column) -> Column:
-    return trim_blanks(F.regexp_replace(normalize_text(s), f"{BLANKS}+", " "))
+    return F.trim(F.regexp_replace(normalize_text(s), f"{BLANKS}+", " "))
 
 
 def clean_line(s: Column) -> Column:
     """One line: runs of blanks become one."""
-    return trim_blanks(F.regexp_replace(s, f"{BLANKS}+", " "))
+    return F.trim(F.regexp_replace(s, f"{BLANKS}+", " "))
 
 
 def clean_block(s: Column) -> Column:
     """Several lines: blanks collapse, line ends stay, two in a row at most."""
-    s = F.regexp_replace(F.translate(s, "　", " "), r"[ \t]+", " ")
+    s = F.regexp_replace(F.replace(s, F.lit("　"), F.lit(" ")), r"[ \t]+", " ")
     s = F.regexp_replace(F.regexp_replace(s, r"\n +", "\n"), r" +\n", "\n")
     return trim_blanks(F.regexp_replace(s, r"\n{3,}", "\n\n"))
 
