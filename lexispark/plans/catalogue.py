@@ -206,11 +206,11 @@ def clause_number(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", n["clause_number"].alias("clause_number"), n["body"].alias("body"))
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 7 > 0 THEN 'https://x.example/' || lpad((o_orderkey % 7)::VARCHAR, 2, '0') || '/' || CASE WHEN o_custkey < 10 THEN '0' ELSE '' END || (o_custkey + 1 - 1) || '.htm' END AS url,
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 7 > 0 AND o_custkey > 0 THEN 'https://x.example/' || lpad((o_orderkey % 7)::VARCHAR, 2, '0') || '/' || CASE WHEN o_custkey < 10 THEN '0' ELSE '' END || o_custkey || '.htm' END AS url,
   CASE WHEN o_orderkey % 10 <> 8 AND o_orderkey % 10 <> 0 THEN ['shotoku', 'gensen', 'joto', 'sozoku', 'hojin', 'shohi', 'inshi', NULL, 'osirase'][o_orderkey % 10] END AS folder
-FROM orders WHERE o_custkey > 0""")
+FROM orders""")
 def section_urls(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").filter("o_custkey > 0")
+    o = table(spark, sf_dir, "orders")
     url = urls.section_url(F.lit("https://x.example/"), F.col("o_orderkey") % 7, F.col("o_custkey"))
     return o.select("o_orderkey", url.alias("url"), urls.answer_folder((F.col("o_orderkey") % 10).cast("string")).alias("folder"))
 
