@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lexispark.llm.common import documents, stored
 from lexispark.llm.decontaminate import drop_leaks
-from lexispark.llm.lines import drop_lines
+from lexispark.llm.lines import BY_LENGTH, drop_lines
 from lexispark.llm.mixing import mix
 from lexispark.llm.quality import quality_filter
 from lexispark.llm.simhash import keep_one
@@ -25,7 +25,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go, and documents of which nothing is left."""
-    return drop_lines(docs).select(*COLUMNS)
+    return drop_lines(docs, BY_LENGTH).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,6 +14,10 @@ the next shorter lengths.  A letter profile kept with both discards pairs while
 they are joined, and survivors are verified by banded bit-parallel edit distance
 on what remains between their common ends.
 
+With ``chars_per_edit`` the number of edits grows with the length of the shorter
+line of a pair, and so does the number of its segments; keys are then joined in
+``passes`` shares, so that only one share of them is shuffled at a time.
+
 Edge cases: null text has no lines; lines without a word are kept; lines shorter
 than ``min_chars`` are kept, as they repeat by chance; repeated rows are one
 document, neither is earlier than the other; rows of one doc_id with different
@@ -24,11 +28,12 @@ length is one line.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, bind, stored
+from .common import NULL_ID, bind, drop_stored, stored
 
 #: Letters whose counts make the profile, one byte each.
 PROFILE = "etanisrl"
@@ -38,9 +43,30 @@ PROFILE = "etanisrl"
 class LineParams:
     max_edits: int = 1
     min_chars: int = 20
+    #: one edit for so many characters, from ``max_edits`` to ``most_edits``; None: ``max_edits`` at any length
+    chars_per_edit: int | None = None
+    most_edits: int = 4
+    #: shares of the keys that are joined one after the other
+    passes: int = 1
     #: lines whose texts are broadcast for verification; more are joined by shuffle
     max_broadcast_lines: int = 300_000
 
+    @property
+    def bound(self) -> int:
+        """The most edits of any pair."""
+        return self.max_edits if self.chars_per_edit is None else max(self.max_edits, self.most_edits)
+
+
+#: Edits that grow with the line.
+BY_LENGTH = LineParams(chars_per_edit=80, passes=4)
+
+
+def edits_of(length: Column, p: LineParams) -> Column:
+    """Edits that a pair may have whose shorter line is so long."""
+    if p.chars_per_edit is None:
+        return F.lit(p.max_edits)
+    return F.greatest(F.lit(p.max_edits), F.least(F.lit(p.bound), F.floor(length / p.chars_per_edit).cast("int")))
+
 
 def has_word(line: Column) -> Column:
     return line.rlike(r"[^\x20\x09-\x0D]")
@@ -83,6 +109,22 @@ def join_keys(line: Column, length: Column, edits: int) -> Column:
     return F.array(*keys)
 
 
+def growing_keys(line: Column, length: Column, p: LineParams) -> Column:
+    """As ``join_keys``, with the edits that the length of the index entry allows."""
+    places = [(e, *x) for e in range(p.max_edits, p.bound + 1) for x in probe_offsets(e)]
+    places.sort(key=lambda x: (x[1] != 0 or x[3] != 0, x))
+    table = F.array(*[F.struct(*[F.lit(v).alias(c) for v, c in zip(x, "edio", strict=True)]) for x in places])
+
+    def key(x: Column) -> Column:
+        size, parts = length - x["d"], x["e"] + 1
+        base, short = F.floor(size / parts).cast("int"), parts - size % parts
+        start = base * x["i"] + F.greatest(F.lit(0), x["i"] - short) + 1 + x["o"]
+        width = base + F.when(x["i"] >= short, 1).otherwise(0)
+        return F.when((start >= 1) & (start + width - 1 <= length), F.xxhash64(x["i"], size, F.substring(line, start, width)))
+
+    return F.transform(F.filter(table, lambda x: x["e"] == edits_of(length - x["d"], p)), key)
+
+
 def profile(line: Column) -> Column:
     """Counts of the profile's letters, modulo 256, as the bytes of a long."""
     total = F.lit(0).cast("long")
@@ -92,14 +134,14 @@ def profile(line: Column) -> Column:
     return total
 
 
-def profiles_near(a: Column, b: Column, edits: int) -> Column:
+def profiles_near(a: Column, b: Column, edits: int | Column) -> Column:
     """Whether two profiles can belong to lines within ``edits``: an edit moves at most two counts by one."""
     far = F.lit(0).cast("long")
     for i in range(len(PROFILE)):
         byte = lambda c, i=i: F.shiftrightunsigned(c, 8 * i).bitwiseAND(255)
         d = (byte(a) - byte(b)).bitwiseAND(255)
         far = far + F.least(d, 256 - d)
-    return far <= 2 * edits
+    return far <= edits * 2
 
 
 def common_start(a: Column, b: Column) -> Column:
@@ -177,21 +219,29 @@ def edit_distance(a: Column, b: Column, most: int) -> Column:
 
 
 def line_table(docs: DataFrame, p: LineParams) -> DataFrame:
-    """k, pos, h1, h2, prof, keys of every line that can be removed."""
+    """k, pos, h1, h2, prof, edits, keys of every line that can be removed."""
     lines = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("k"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line"))
     lines = lines.withColumn("n", F.length("line")).filter((F.col("n") >= p.min_chars) & has_word(F.col("line")))
     return lines.select(
         "k", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"),
-        profile(F.col("line")).alias("prof"), join_keys(F.col("line"), F.col("n"), p.max_edits).alias("keys"),
+        profile(F.col("line")).alias("prof"), edits_of(F.col("n"), p).alias("edits"),
+        (join_keys(F.col("line"), F.col("n"), p.max_edits) if p.chars_per_edit is None else growing_keys(F.col("line"), F.col("n"), p)).alias("keys"),
     )
 
 
 def near_links(docs: DataFrame, firsts: DataFrame, p: LineParams) -> DataFrame:
     """h1, k, pos of the earlier and the later line (columns a_ and b_) of every verified link."""
-    index = firsts.select("h1", "prof", F.explode(F.slice("keys", 1, p.max_edits + 1)).alias("key")).filter(F.col("key").isNotNull())
+    share = lambda c, i: F.lit(True) if p.passes == 1 else F.pmod(F.col(c), F.lit(p.passes)) == i
+    index = firsts.select("h1", "prof", "edits", F.explode(F.slice("keys", 1, F.col("edits") + 1)).alias("key")).filter(F.col("key").isNotNull())
     probes = firsts.select(F.col("h1").alias("other"), F.col("prof").alias("prof2"), F.explode("keys").alias("key2")).filter(F.col("key2").isNotNull())
-    pairs = index.join(probes, (F.col("key") == F.col("key2")) & (F.col("h1") != F.col("other")) & profiles_near(F.col("prof"), F.col("prof2"), p.max_edits))
-    pairs = stored(pairs.select(F.least("h1", "other").alias("x"), F.greatest("h1", "other").alias("y")).distinct(), "line-pairs")
+
+    def joined_share(i: int) -> DataFrame:
+        found = index.filter(share("key", i)).join(probes.filter(share("key2", i)), (F.col("key") == F.col("key2")) & (F.col("h1") != F.col("other")) & profiles_near(F.col("prof"), F.col("prof2"), F.col("edits")))
+        return stored(found.select(F.least("h1", "other").alias("x"), F.greatest("h1", "other").alias("y")).distinct(), "line-pairs")
+
+    pairs = reduce(DataFrame.union, [joined_share(i) for i in range(p.passes)])
+    if p.passes > 1:
+        pairs = stored(pairs.distinct(), "line-pairs")
     wanted = pairs.select(F.explode(F.array("x", "y")).alias("h1")).distinct()
     wanted = stored(firsts.select("h1", "k", "pos").join(wanted, "h1", "left_semi"), "line-texts")
     lines = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("k"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line"))
@@ -200,17 +250,22 @@ def near_links(docs: DataFrame, firsts: DataFrame, p: LineParams) -> DataFrame:
     texts = stored(lines.join(F.broadcast(wanted) if small else wanted, ["h1", "k", "pos"], "left_semi").dropDuplicates(["h1", "k", "pos"]), "line-texts")
     side = lambda s: texts.select(*[F.col(c).alias(f"{s}_{c}") for c in ("h1", "k", "pos", "line")])
     joined = pairs.join(side("a"), F.col("x") == F.col("a_h1")).join(side("b"), F.col("y") == F.col("b_h1"))
-    close = joined.filter((F.col("a_line") != F.col("b_line")) & (edit_distance(F.col("a_line"), F.col("b_line"), p.max_edits) <= p.max_edits))
+    close = joined.filter((F.col("a_line") != F.col("b_line")) & (edit_distance(F.col("a_line"), F.col("b_line"), p.bound) <= edits_of(F.least(F.length("a_line"), F.length("b_line")), p)))
     both = F.array_sort(F.array(*[F.struct(F.col(f"{s}_k").alias("k"), F.col(f"{s}_pos").alias("pos"), F.col(f"{s}_h1").alias("h1")) for s in "ab"]))
     return close.select(both.alias("o")).select(*[F.get("o", i)[c].alias(f"{s}_{c}") for i, s in enumerate("ab") for c in ("h1", "k", "pos")])
 
 
 def removals(docs: DataFrame, p: LineParams) -> DataFrame:
     """k, and what is removed of it: array of struct pos, near (by an edit link only), first_k; n_links of its lines."""
-    rows = stored(line_table(docs, p), "lines")
-    firsts = rows.groupBy("h1", "h2").agg(F.min(F.struct("k", "pos", "prof", "keys")).alias("f")).select("h1", "h2", "f.*")
+    table = line_table(docs, p)
+    rows = stored(table if p.chars_per_edit is None else table.select("k", "pos", "h1", "h2"), "lines")
+    source = rows if p.chars_per_edit is None else table  # many keys: not written for every copy
+    firsts = source.groupBy("h1", "h2").agg(F.min(F.struct("k", "pos", "prof", "edits", "keys")).alias("f")).select("h1", "h2", "f.*")
     firsts = stored(firsts, "line-firsts")
     links = stored(near_links(docs, firsts, p), "line-links")
+    if p.chars_per_edit is not None:
+        keyed, firsts = firsts, stored(firsts.select("h1", "h2", "k", "pos"), "line-firsts")
+        drop_stored(keyed)
     later = links.groupBy(F.col("b_h1").alias("h1")).agg(F.min("a_k").alias("near_k"))
     degree = links.select(F.explode(F.array("a_h1", "b_h1")).alias("h1")).groupBy("h1").agg(F.count("*").alias("links"))
     facts = firsts.select("h1", "h2", F.col("k").alias("first_k"), F.col("pos").alias("first_pos")).join(degree, "h1", "left").join(later, "h1", "left")

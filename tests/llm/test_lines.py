@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lexispark.llm.common import documents
-from lexispark.llm.lines import LineParams, drop_lines, edit_distance, line_dedup, probe_offsets
+from lexispark.llm.lines import BY_LENGTH, LineParams, drop_lines, edit_distance, line_dedup, probe_offsets
 from lexispark.llm.queries import op3_line_dedup
 
 
@@ -123,3 +123,36 @@ def test_edge_cases(spark, docs):
     assert kept.columns == docs(*rows).columns
     assert line_dedup(docs(*rows).filter("false")).count() == 0
     assert len(probe_offsets(1)) == 4 and len(probe_offsets(2)) == 12
+
+
+def test_edits_grow_with_length(spark, docs):
+    rng = random.Random(7)
+    p = LineParams(chars_per_edit=20, most_edits=4, passes=3)
+    base = ["".join(rng.choice("abcdeé ") for _ in range(n)) for n in (22, 39, 40, 41, 59, 60, 63, 79, 80, 83, 150)]
+    lines = list(base)
+    for _ in range(120):
+        s = list(rng.choice(base))
+        for _ in range(rng.randint(0, 5)):
+            i = rng.randrange(len(s))
+            s[i : i + rng.randint(0, 1)] = rng.choice(["", "x", "e"])
+        lines.append("".join(s))
+    rows = list(enumerate(lines))
+    first = {}
+    for d, s in rows:
+        first.setdefault(s, d)
+    kept = [x for x in first if len(x) >= 20]
+    near = lambda a, b: distance(a, b, 4) <= min(4, max(1, min(len(a), len(b)) // 20))
+    links = {a: [b for b in kept if b != a and near(a, b)] for a in kept}
+    got = {r["doc_id"]: (r["n_exact"], r["n_near"], r["n_links"]) for r in line_dedup(docs(*rows), p).collect()}
+    for d, s in rows:
+        again = s in links and first[s] != d
+        close = s in links and not again and any(first[b] < d for b in links[s])
+        assert got[d] == (again, close, len(links.get(s, ()))), s
+    assert sum(x[1] for x in got.values()) > 20
+
+
+def test_one_word_of_a_long_line(spark, docs):
+    line = " ".join(f"word{i:02d} of" for i in range(35))
+    rows = [(1, line), (2, line.replace("word17", "term17")), (3, line.replace("word20 of", "word20 in"))]
+    assert [r["n_near"] for r in line_dedup(docs(*rows), BY_LENGTH).orderBy("doc_id").collect()] == [0, 1, 1]
+    assert sorted(r["doc_id"] for r in drop_lines(docs(*rows), BY_LENGTH).collect()) == [1]
