@@ -8,8 +8,9 @@ probability is the unknown class; one above it must be confirmed by a template
 of its family: enough of the template's words in the paragraph.
 
 Scoring is one projection over the texts, without a shuffle.  Only paragraphs
-with a stem phrase are scored; a template can only confirm a paragraph that has
-one of its stems, so nothing is lost.
+with a gate word are scored.  A confirmed paragraph has so many of a template's
+words that it has one of any larger rest of them; the gate words are such a rest
+of each template, so nothing is lost.  Stem phrases only count candidates.
 
 A paragraph is a line.  Edge cases: null and empty texts have no paragraphs and
 no families; ties between families go to the one that sorts first; repeated
@@ -199,6 +200,19 @@ def fit(p: LicenseParams) -> LicenseModel:
     return LicenseModel(classes, weights, [round(float(v), 5) for v in b], round(threshold, 5))
 
 
+def gate_words(p: LicenseParams) -> list[str] | None:
+    """Words of which every paragraph that a template can confirm has one; None if there are no such words."""
+    prose = [w for t in PROSE for w in tokens(t)]
+    out: set[str] = set()
+    for texts in TEMPLATES.values():
+        for ws in ([*dict.fromkeys(tokens(t))] for t in texts):
+            need = next((n for n in range(len(ws) + 1) if n / len(ws) >= p.containment), len(ws) + 1)
+            if need == 0:
+                return None
+            out.update(sorted(ws, key=lambda w: (prose.count(w), -len(w), w))[: len(ws) - need + 1])
+    return sorted(out)
+
+
 def paragraph_words(line: Column) -> Column:
     return F.filter(F.transform(F.split(F.lower(line), WORD), lambda w: F.regexp_replace(w, r"^[.+-]+|[.+-]+$", "")), lambda w: w != "")
 
@@ -206,8 +220,8 @@ def paragraph_words(line: Column) -> Column:
 def scan(docs: DataFrame, params: LicenseParams | None = None, model: LicenseModel | None = None) -> DataFrame:
     """Licence notices of each row of ``docs`` (doc_id, text).
 
-    Returns doc_id, n_paragraphs (lines with a word), n_candidates (with a stem
-    phrase), n_unknown (candidates without a confirmed family), notices (array of
+    Returns doc_id, n_paragraphs (lines with a word), n_candidates (lines with a
+    stem phrase), n_unknown (candidates without a confirmed family), notices (array of
     struct line, family, probability, containment), families (distinct, sorted).
     """
     p = params or LicenseParams()
@@ -255,18 +269,29 @@ def scan(docs: DataFrame, params: LicenseParams | None = None, model: LicenseMod
             found = found | F.contains(low, F.lit(s))
         return found
 
+    gate = gate_words(p)
+
+    def has_gate(c: Column, exact: bool = True) -> Column:
+        if gate is None:
+            return F.lit(True)
+        low, found = F.lower(c), F.lit(False)
+        for w in gate:
+            found = found | F.contains(low, F.lit(w))
+        return found & F.arrays_overlap(paragraph_words(c), F.array(*[F.lit(w) for w in gate])) if exact else found
+
     text = F.coalesce(F.col("text"), F.lit(""))
     none = F.array().cast("array<struct<line:int,family:string,probability:double,containment:double>>")
     numbered = F.transform(F.split("_t", "\n"), lambda s, i: F.struct(s.alias("s"), i.alias("i")))
-    found = F.when(has_stem(F.col("_t")), F.transform(F.filter(numbered, lambda x: has_stem(x["s"])), lambda x: judge(x["s"], x["i"]))).otherwise(none)
+    found = F.when(has_gate(F.col("_t"), False), F.transform(F.filter(numbered, lambda x: has_gate(x["s"])), lambda x: judge(x["s"], x["i"]))).otherwise(none)
+    stems = F.when(has_stem(F.col("_t")), F.transform(F.filter(numbered, lambda x: has_stem(x["s"])), lambda x: x["i"])).otherwise(F.array().cast("array<int>"))
     df = docs.select("doc_id", text.alias("_t"))
-    df = df.select("doc_id", F.size(F.filter(F.split("_t", "\n"), lambda s: s.rlike(r"[^\x20\x09-\x0D]"))).cast("long").alias("n_paragraphs"), found.alias("_found"))
+    df = df.select("doc_id", F.size(F.filter(F.split("_t", "\n"), lambda s: s.rlike(r"[^\x20\x09-\x0D]"))).cast("long").alias("n_paragraphs"), stems.alias("_stems"), found.alias("_found"))
     notices = F.filter("_found", lambda x: x["family"].isNotNull())
     return df.select(
         "doc_id",
         "n_paragraphs",
-        F.size("_found").cast("long").alias("n_candidates"),
-        (F.size("_found") - F.size(notices)).cast("long").alias("n_unknown"),
+        F.size("_stems").cast("long").alias("n_candidates"),
+        F.size(F.array_except("_stems", F.transform(notices, lambda x: x["line"]))).cast("long").alias("n_unknown"),
         notices.alias("notices"),
         F.array_sort(F.array_distinct(F.transform(notices, lambda x: x["family"]))).alias("families"),
     )

@@ -52,3 +52,11 @@ def test_edge_cases(spark, docs):
     assert sorted(got, key=str) == sorted([(1, 0, 0, 0, [], []), (2, 0, 0, 0, [], []), two, two, (None, 1, 1, 1, [], []), (4, 1, 1, 1, [], [])], key=str)
     assert scan(docs(*rows).filter("false")).count() == 0
     assert re.split(r"\s", "a b") == ["a", "b"]
+
+
+def test_lines_without_a_stem_are_scored(spark, docs):
+    lines = ["Available under CC BY 4.0.", "Released under the GPL, version 2 or later.", *PROSE, *(t for ts in TEMPLATES.values() for t in ts)]
+    lines += [" ".join(w for i, w in enumerate(tokens(t)) if i % 4 != k) for ts in TEMPLATES.values() for t in ts for k in range(4)]
+    got = {r["doc_id"]: r["families"] for r in scan(docs(*enumerate(lines))).collect()}
+    assert got == {i: [c] if (c := classify(s)) else [] for i, s in enumerate(lines)}
+    assert sum(bool(got[i]) for i, s in enumerate(lines) if not any(x in s.lower() for x in STEMS)) > 5
