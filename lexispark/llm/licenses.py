@@ -12,7 +12,9 @@ with a gate word are scored.  A confirmed paragraph has so many of a template's
 words that it has one of any larger rest of them; the gate words are such a rest
 of each template, so nothing is lost.  Stem phrases only count candidates.
 
-A paragraph is a line.  Edge cases: null and empty texts have no paragraphs and
+A paragraph is a line, or a block of several lines between blank ones, as
+notices stand wrapped in files; a block is left out if a line of it is confirmed
+as the same family.  Edge cases: null and empty texts have no paragraphs and
 no families; ties between families go to the one that sorts first; repeated
 rows give repeated results; a line of any length is scored as one paragraph.
 """
@@ -222,7 +224,7 @@ def scan(docs: DataFrame, params: LicenseParams | None = None, model: LicenseMod
 
     Returns doc_id, n_paragraphs (lines with a word), n_candidates (lines with a
     stem phrase), n_unknown (candidates without a confirmed family), notices (array of
-    struct line, family, probability, containment), families (distinct, sorted).
+    struct line (the first of a block), family, probability, containment), families (distinct, sorted).
     """
     p = params or LicenseParams()
     m = model or fit(p)
@@ -282,11 +284,27 @@ def scan(docs: DataFrame, params: LicenseParams | None = None, model: LicenseMod
     text = F.coalesce(F.col("text"), F.lit(""))
     none = F.array().cast("array<struct<line:int,family:string,probability:double,containment:double>>")
     numbered = F.transform(F.split("_t", "\n"), lambda s, i: F.struct(s.alias("s"), i.alias("i")))
-    found = F.when(has_gate(F.col("_t"), False), F.transform(F.filter(numbered, lambda x: has_gate(x["s"])), lambda x: judge(x["s"], x["i"]))).otherwise(none)
+
+    def blocks(ls: Column) -> Column:
+        def between(blank: Column) -> Column:
+            starts = F.concat(F.array(F.lit(0)), F.transform(blank, lambda i: i + 1))
+            runs = F.zip_with(starts, F.concat(blank, F.array(F.size(ls))), lambda a, z: F.struct(a.alias("i"), z.alias("z")))
+            runs = F.filter(runs, lambda r: r["z"] - r["i"] > 1)
+            return F.transform(runs, lambda r: F.struct(F.concat_ws(" ", F.slice(ls, r["i"] + 1, r["z"] - r["i"])).alias("s"), r["i"].alias("i"), r["z"].alias("z")))
+
+        return bind(F.filter(F.transform(ls, lambda s, i: F.when(~s.rlike(r"[^\x20\x09-\x0D]"), i)), lambda i: i.isNotNull()), between)
+
+    def with_blocks(single: Column) -> Column:
+        scored = F.transform(F.filter(bind(F.split("_t", "\n"), blocks), lambda x: has_gate(x["s"])), lambda x: F.struct(judge(x["s"], x["i"]).alias("n"), x["z"].alias("z")))
+        new = F.filter(scored, lambda x: ~F.exists(single, lambda y: F.coalesce((y["line"] >= x["n"]["line"]) & (y["line"] < x["z"]) & (y["family"] == x["n"]["family"]), F.lit(False))))
+        return F.concat(single, F.transform(new, lambda x: x["n"]))
+
+    single = F.transform(F.filter(numbered, lambda x: has_gate(x["s"])), lambda x: judge(x["s"], x["i"]))
+    found = F.when(has_gate(F.col("_t"), False), bind(single, with_blocks)).otherwise(none)
     stems = F.when(has_stem(F.col("_t")), F.transform(F.filter(numbered, lambda x: has_stem(x["s"])), lambda x: x["i"])).otherwise(F.array().cast("array<int>"))
     df = docs.select("doc_id", text.alias("_t"))
     df = df.select("doc_id", F.size(F.filter(F.split("_t", "\n"), lambda s: s.rlike(r"[^\x20\x09-\x0D]"))).cast("long").alias("n_paragraphs"), stems.alias("_stems"), found.alias("_found"))
-    notices = F.filter("_found", lambda x: x["family"].isNotNull())
+    notices = F.array_sort(F.filter("_found", lambda x: x["family"].isNotNull()))
     return df.select(
         "doc_id",
         "n_paragraphs",

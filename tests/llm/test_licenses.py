@@ -1,4 +1,5 @@
 import re
+import textwrap
 
 from lexispark.llm.common import documents
 from lexispark.llm.licenses import NONE, PROSE, STEMS, TEMPLATES, LicenseParams, fit, grams, scan, tokens
@@ -60,3 +61,22 @@ def test_lines_without_a_stem_are_scored(spark, docs):
     got = {r["doc_id"]: r["families"] for r in scan(docs(*enumerate(lines))).collect()}
     assert got == {i: [c] if (c := classify(s)) else [] for i, s in enumerate(lines)}
     assert sum(bool(got[i]) for i, s in enumerate(lines) if not any(x in s.lower() for x in STEMS)) > 5
+
+
+WRAPPED = {
+    "gpl": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "mit": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction.',
+}
+
+
+def test_wrapped_notices(spark, docs):
+    rows = []
+    for mark in ("", "# ", " * "):
+        for f, t in WRAPPED.items():
+            lines = textwrap.wrap(t, 72 - len(mark))
+            rows.append((f, "def f():\n\n" + "\n".join(mark + s for s in lines) + "\n \nThe end.\nOf the file."))
+    got = {r["doc_id"]: r for r in scan(docs(*((i, t) for i, (_, t) in enumerate(rows)))).collect()}
+    for i, (f, _) in enumerate(rows):
+        assert got[i]["families"] == [f]
+        assert len(got[i]["notices"]) == 1 and got[i]["notices"][0]["line"] >= 2
