@@ -3,8 +3,9 @@
 Every operator selects the columns it needs by name and keeps its working
 columns under names that start with ``_``, so extra columns of the input, even
 ones with clashing names, never reach a join.  Two rows are the same document
-row when ``doc_id`` and ``text`` agree; a null ``doc_id`` sorts before all
-others.
+when ``doc_id`` and ``text`` agree (``keyed``); rows of one ``doc_id`` with
+different texts are different documents, in the order of their text hashes.  A
+null ``doc_id`` sorts before all others.
 """
 
 from __future__ import annotations
@@ -33,12 +34,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``.
 
-    Only where the session has none (tests in one process) a temporary folder
-    is made, and removed when the process ends.
+    Only where the session has none and runs in one process (tests) a temporary
+    folder is made, and removed when the process ends; a cluster needs the setting,
+    as a machine's own folder would lose what other machines wrote.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _LOCAL:
         _LOCAL.append(tempfile.mkdtemp(prefix="lexispark-"))
         atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)
@@ -65,6 +69,11 @@ def drop_stored(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def keyed(docs: DataFrame, *columns: str) -> DataFrame:
+    """_k and _sig, which tell documents apart, and the named columns."""
+    return docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_k"), F.xxhash64("text").alias("_sig"), *columns)
+
+
 def bind(value: Column, body) -> Column:
     """``let x = value in body(x)``: ``value`` is evaluated once per row."""
     return F.get(F.transform(F.array(value), body), 0)
