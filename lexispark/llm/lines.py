@@ -1,12 +1,15 @@
 """Line dedup by a segment-partition edit join (DataFrame functions only).
 
-A line is removed if an equal line, or one within ``max_edits`` character edits,
-stands earlier in the corpus (smaller doc_id, or same document, earlier line);
-lines are judged on the input, not on what is left.
+A line is removed if an equal line, or one within as many character edits as the
+shorter of the two allows, stands earlier in the corpus (smaller doc_id, or same
+document, earlier line); lines are judged on the input, not on what is left.
+Equality counts for lines of any length.  Edits grow with the line: one for
+every ``chars_per_edit`` characters, from one (lines of ``min_edit_chars`` or
+more; one edit in fewer is another line) to ``most_edits``.
 
 Equal lines are collapsed by two 64-bit hashes before any join, so that a line's
-number of copies never matters.  For the edit join a line of n characters is cut
-into ``max_edits + 1`` segments: with at most that many edits one segment of the
+number of copies never matters.  For the edit join a line of n characters that
+allows e edits is cut into e + 1 segments: within e edits one segment of the
 shorter line stands unchanged in the longer one, at a place that the length
 difference bounds.  Index entries are (length, segment number, segment) of each
 line; probes are the substrings of each line at those places, for its own and
@@ -14,15 +17,15 @@ the next shorter lengths.  A letter profile kept with both discards pairs while
 they are joined, and survivors are verified by banded bit-parallel edit distance
 on what remains between their common ends.
 
-With ``chars_per_edit`` the number of edits grows with the length of the shorter
-line of a pair, and so does the number of its segments; keys are then joined in
-``passes`` shares, so that only one share of them is shuffled at a time.
+A segment that more than ``hot`` lines share, such as a common start of log
+lines, is not joined as it is: what remains of these lines without it may have
+e edits as well, so it is cut into e + 1 segments again, up to ``levels`` times.
+Keys are joined in ``passes`` shares, so that only one share is shuffled at a time.
 
-Edge cases: null text has no lines; lines without a word are kept; lines shorter
-than ``min_chars`` are kept, as they repeat by chance; repeated rows are one
-document, neither is earlier than the other; rows of one doc_id with different
-texts get the removals of both; a null doc_id is the smallest; a line of any
-length is one line.
+Edge cases: null text has no lines; lines without a word are kept; repeated rows
+are one document, neither is earlier than the other; rows of one doc_id with
+different texts are different documents, in the order of their text hashes; a
+null doc_id is the smallest; a line of any length is one line.
 """
 
 from __future__ import annotations
@@ -33,57 +36,40 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, bind, drop_stored, stored
+from .common import NULL_ID, bind, keyed, stored
 
 #: Letters whose counts make the profile, one byte each.
 PROFILE = "etanisrl"
+#: What tells a line apart: the place where it stands first.
+PLACE = ("k", "sig", "pos")
 
 
 @dataclass(frozen=True)
 class LineParams:
-    max_edits: int = 1
-    min_chars: int = 20
-    #: one edit for so many characters, from ``max_edits`` to ``most_edits``; None: ``max_edits`` at any length
-    chars_per_edit: int | None = None
-    most_edits: int = 4
+    #: one edit for so many characters of the shorter line, at least one and at most ``most_edits``
+    chars_per_edit: int = 80
+    most_edits: int = 3
+    #: lines from this length on may have an edit
+    min_edit_chars: int = 10
+    #: lines that may share a segment before the rest of them is cut again, and how often that is done
+    hot: int = 300
+    levels: int = 3
     #: shares of the keys that are joined one after the other
-    passes: int = 1
-    #: lines whose texts are broadcast for verification; more are joined by shuffle
-    max_broadcast_lines: int = 300_000
-
-    @property
-    def bound(self) -> int:
-        """The most edits of any pair."""
-        return self.max_edits if self.chars_per_edit is None else max(self.max_edits, self.most_edits)
-
-
-#: Edits that grow with the line.
-BY_LENGTH = LineParams(chars_per_edit=80, passes=4)
+    passes: int = 2
+    #: lines with more than this share of all copies are joined by broadcast: at most 1 / share of them
+    copies_share: float = 0.001
 
 
 def edits_of(length: Column, p: LineParams) -> Column:
     """Edits that a pair may have whose shorter line is so long."""
-    if p.chars_per_edit is None:
-        return F.lit(p.max_edits)
-    return F.greatest(F.lit(p.max_edits), F.least(F.lit(p.bound), F.floor(length / p.chars_per_edit).cast("int")))
+    some = F.greatest(F.lit(1), F.least(F.lit(p.most_edits), F.floor(length / p.chars_per_edit).cast("int")))
+    return F.when((length < p.min_edit_chars) | (F.lit(p.most_edits) == 0), 0).otherwise(some)
 
 
 def has_word(line: Column) -> Column:
     return line.rlike(r"[^\x20\x09-\x0D]")
 
 
-def segments(length: Column, edits: int) -> list[tuple[Column, Column]]:
-    """(start from 1, size) of the edits + 1 segments of a line; the last ones take the rest."""
-    parts = edits + 1
-    base, rest = F.floor(length / parts).cast("int"), (length % parts).cast("int")
-    out = []
-    for i in range(parts):
-        longer = F.greatest(F.lit(0), rest - (parts - i - 1))  # segments after the first short ones are longer
-        before = base * i + F.greatest(F.lit(0), rest - (parts - i))
-        out.append((before + 1, base + F.when(longer > 0, 1).otherwise(0)))
-    return out
-
-
 def probe_offsets(edits: int) -> list[tuple[int, int, int]]:
     """(length difference, segment, offset) of all places where an unchanged segment can stand."""
     out = []
@@ -95,34 +81,31 @@ def probe_offsets(edits: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def join_keys(line: Column, length: Column, edits: int) -> Column:
-    """Array of keys: first those of the index, which are probes as well, then the other probes."""
-    places = probe_offsets(edits)
-    places.sort(key=lambda x: (x[0] != 0 or x[2] != 0, x))
-    keys = []
-    for diff, i, offset in places:
-        size = length - diff
-        start, width = segments(size, edits)[i]
-        start = start + offset
-        inside = (start >= 1) & (start + width - 1 <= length)
-        keys.append(F.when(inside, F.xxhash64(F.lit(i), size, F.substring(line, start, width))))
-    return F.array(*keys)
+def places(edits: list[int]) -> Column:
+    """Constant array of struct e (edits), d (length difference), i (segment), o (offset)."""
+    found = [(e, *x) for e in edits for x in probe_offsets(e)] if any(edits) else []
+    rows = [F.struct(*[F.lit(v).alias(c) for v, c in zip(x, "edio", strict=True)]) for x in found]
+    return F.array(*rows) if rows else F.array().cast("array<struct<e:int,d:int,i:int,o:int>>")
 
 
-def growing_keys(line: Column, length: Column, p: LineParams) -> Column:
-    """As ``join_keys``, with the edits that the length of the index entry allows."""
-    places = [(e, *x) for e in range(p.max_edits, p.bound + 1) for x in probe_offsets(e)]
-    places.sort(key=lambda x: (x[1] != 0 or x[3] != 0, x))
-    table = F.array(*[F.struct(*[F.lit(v).alias(c) for v, c in zip(x, "edio", strict=True)]) for x in places])
+def segment(length: Column, x: Column) -> tuple[Column, Column]:
+    """(start from 1, size) in a line of this length where the place ``x`` has its segment; later segments are longer."""
+    size, parts = length - x["d"], x["e"] + 1
+    base, short = F.floor(size / parts).cast("int"), parts - size % parts
+    start = base * x["i"] + F.greatest(F.lit(0), x["i"] - short) + 1 + x["o"]
+    return start.cast("int"), (base + F.when(x["i"] >= short, 1).otherwise(0)).cast("int")
 
-    def key(x: Column) -> Column:
-        size, parts = length - x["d"], x["e"] + 1
-        base, short = F.floor(size / parts).cast("int"), parts - size % parts
-        start = base * x["i"] + F.greatest(F.lit(0), x["i"] - short) + 1 + x["o"]
-        width = base + F.when(x["i"] >= short, 1).otherwise(0)
-        return F.when((start >= 1) & (start + width - 1 <= length), F.xxhash64(x["i"], size, F.substring(line, start, width)))
 
-    return F.transform(F.filter(table, lambda x: x["e"] == edits_of(length - x["d"], p)), key)
+def cut(rows: DataFrame, x: Column, text: str, base: Column, *carried: str, rest: bool) -> DataFrame:
+    """Entries of rows that have one place ``x`` each: carried columns, index (is it an index entry), key and,
+    where asked for, e, d and what the line is without the segment.
+    """
+    length = F.length(text)
+    start, width = segment(length, x)
+    key = F.xxhash64(base, x["i"], length - x["d"], F.substring(F.col(text), start, width))
+    more = [x["e"].alias("e"), x["d"].alias("d"), F.concat(F.substring(F.col(text), F.lit(1), start - 1), F.substring(F.col(text), start + width, length)).alias("rest")] if rest else []
+    kept = (start >= 1) & (start + width - 1 <= length)
+    return rows.filter(kept).select(*carried, ((x["d"] == 0) & (x["o"] == 0)).alias("index"), key.alias("key"), *more)
 
 
 def profile(line: Column) -> Column:
@@ -218,71 +201,103 @@ def edit_distance(a: Column, b: Column, most: int) -> Column:
     return bind(F.struct(a.alias("a"), b.alias("b"), common_start(a, b).alias("p")), middle)
 
 
-def line_table(docs: DataFrame, p: LineParams) -> DataFrame:
-    """k, pos, h1, h2, prof, edits, keys of every line that can be removed."""
-    lines = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("k"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line"))
-    lines = lines.withColumn("n", F.length("line")).filter((F.col("n") >= p.min_chars) & has_word(F.col("line")))
-    return lines.select(
-        "k", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"),
-        profile(F.col("line")).alias("prof"), edits_of(F.col("n"), p).alias("edits"),
-        (join_keys(F.col("line"), F.col("n"), p.max_edits) if p.chars_per_edit is None else growing_keys(F.col("line"), F.col("n"), p)).alias("keys"),
-    )
-
-
-def near_links(docs: DataFrame, firsts: DataFrame, p: LineParams) -> DataFrame:
-    """h1, k, pos of the earlier and the later line (columns a_ and b_) of every verified link."""
-    share = lambda c, i: F.lit(True) if p.passes == 1 else F.pmod(F.col(c), F.lit(p.passes)) == i
-    index = firsts.select("h1", "prof", "edits", F.explode(F.slice("keys", 1, F.col("edits") + 1)).alias("key")).filter(F.col("key").isNotNull())
-    probes = firsts.select(F.col("h1").alias("other"), F.col("prof").alias("prof2"), F.explode("keys").alias("key2")).filter(F.col("key2").isNotNull())
-
-    def joined_share(i: int) -> DataFrame:
-        found = index.filter(share("key", i)).join(probes.filter(share("key2", i)), (F.col("key") == F.col("key2")) & (F.col("h1") != F.col("other")) & profiles_near(F.col("prof"), F.col("prof2"), F.col("edits")))
-        return stored(found.select(F.least("h1", "other").alias("x"), F.greatest("h1", "other").alias("y")).distinct(), "line-pairs")
-
-    pairs = reduce(DataFrame.union, [joined_share(i) for i in range(p.passes)])
-    if p.passes > 1:
-        pairs = stored(pairs.distinct(), "line-pairs")
-    wanted = pairs.select(F.explode(F.array("x", "y")).alias("h1")).distinct()
-    wanted = stored(firsts.select("h1", "k", "pos").join(wanted, "h1", "left_semi"), "line-texts")
-    lines = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("k"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line"))
-    lines = lines.filter(F.length("line") >= p.min_chars).withColumn("h1", F.xxhash64("line"))
-    small = wanted.count() <= p.max_broadcast_lines
-    texts = stored(lines.join(F.broadcast(wanted) if small else wanted, ["h1", "k", "pos"], "left_semi").dropDuplicates(["h1", "k", "pos"]), "line-texts")
-    side = lambda s: texts.select(*[F.col(c).alias(f"{s}_{c}") for c in ("h1", "k", "pos", "line")])
-    joined = pairs.join(side("a"), F.col("x") == F.col("a_h1")).join(side("b"), F.col("y") == F.col("b_h1"))
-    close = joined.filter((F.col("a_line") != F.col("b_line")) & (edit_distance(F.col("a_line"), F.col("b_line"), p.bound) <= edits_of(F.least(F.length("a_line"), F.length("b_line")), p)))
-    both = F.array_sort(F.array(*[F.struct(F.col(f"{s}_k").alias("k"), F.col(f"{s}_pos").alias("pos"), F.col(f"{s}_h1").alias("h1")) for s in "ab"]))
-    return close.select(both.alias("o")).select(*[F.get("o", i)[c].alias(f"{s}_{c}") for i, s in enumerate("ab") for c in ("h1", "k", "pos")])
+def first_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
+    """h1, k, sig, pos, line of the places in ``firsts``: each document is read once."""
+    wanted = firsts.groupBy("k", "sig").agg(F.collect_list(F.struct("pos", "h1")).alias("at"))
+    texts = keyed(docs, "text").join(wanted, (F.col("_k") == F.col("k")) & (F.col("_sig") == F.col("sig")))
+    taken = bind(F.split("text", "\n"), lambda ls: F.transform("at", lambda x: F.struct(x["h1"].alias("h1"), x["pos"].alias("pos"), F.get(ls, x["pos"]).alias("line"))))
+    return texts.select("k", "sig", F.explode(taken).alias("x")).select("x.h1", "k", "sig", "x.pos", "x.line")
+
+
+def line_pairs(lines: DataFrame, p: LineParams) -> DataFrame:
+    """x < y: h1 of the lines that share a segment and have near profiles; ``lines`` (h1, line, prof)."""
+    n = F.length("line")
+    own, least = edits_of(n, p), edits_of(n - p.most_edits, p)
+    choice = F.when(own == 0, places([])) if p.most_edits else F.when(F.lit(True), places([]))
+    for e in range(1, p.most_edits + 1):
+        choice = choice.when((own == e) & (least == e), places([e])).when(own == e, places([e - 1, e] if e > 1 else [e]))
+    placed = lines.select("h1", "prof", "line", F.explode(choice).alias("x"))
+    # a shorter line may allow fewer edits
+    placed = placed.filter((F.col("x.e") == edits_of(n - F.col("x.d"), p)) & (F.col("x.d") <= F.col("x.e")))
+    entries = lambda rest: cut(placed, F.col("x"), "line", F.lit(0), "h1", "prof", rest=rest)
+    plain, found = entries(False), []
+    for level in range(p.levels + 1):
+        index, probes = plain.filter("index"), plain
+        hot = None
+        if level < p.levels:
+            hot = stored(index.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > p.hot).select("key"), "line-hot")
+            hot = None if hot.isEmpty() else hot
+        if hot is not None:
+            index = index.join(hot, "key", "left_anti")
+        for i in range(p.passes if level == 0 else 1):
+            share = F.lit(True) if p.passes == 1 or level else F.pmod("key", F.lit(p.passes)) == i
+            a = index.filter(share).select("key", F.col("h1").alias("x"), F.col("prof").alias("px"))
+            b = probes.filter(share).select(F.col("key").alias("key2"), F.col("h1").alias("y"), F.col("prof").alias("py"))
+            met = a.join(b, (F.col("key") == F.col("key2")) & (F.col("x") != F.col("y")) & profiles_near(F.col("px"), F.col("py"), p.most_edits))
+            found.append(stored(met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "line-pairs"))
+        if hot is None:
+            break
+        # the rest of hot lines, cut again at the length difference that their key has
+        rows = (entries(True) if level == 0 else again).join(hot, "key", "left_semi")
+        table = places(list(range(1, p.most_edits + 1)))
+        rows = rows.select("h1", "prof", "index", F.col("key").alias("base"), "rest", F.explode(F.filter(table, lambda x: (x["e"] == F.col("e")) & (x["d"] == F.col("d")))).alias("x"))
+        rows = rows.withColumnRenamed("index", "was").withColumnRenamed("rest", "line")
+        again = cut(rows, F.col("x"), "line", F.col("base"), "h1", "prof", "was", rest=True).withColumn("index", F.col("was") & F.col("index")).drop("was")
+        again = stored(again, "line-rest")
+        plain = again.select("h1", "prof", "index", "key")
+    return reduce(DataFrame.union, found).distinct()
+
+
+def near_links(lines: DataFrame, p: LineParams) -> DataFrame:
+    """The places (a_ and b_ columns) of the earlier and the later line of every verified link."""
+    pairs = stored(line_pairs(lines, p), "line-pairs")
+    side = lambda c: lines.select(F.col("h1").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in (*PLACE, "line")])
+    joined = pairs.join(side("x"), "x").join(side("y"), "y")
+    most = edits_of(F.least(F.length("x_line"), F.length("y_line")), p)
+    close = joined.filter((F.col("x_line") != F.col("y_line")) & (edit_distance(F.col("x_line"), F.col("y_line"), max(1, p.most_edits)) <= most))
+    both = F.array_sort(F.array(*[F.struct(*[F.col(f"{s}_{c}").alias(c) for c in PLACE]) for s in "xy"]))
+    return close.select(both.alias("o")).select(*[F.get("o", i)[c].alias(f"{s}_{c}") for i, s in enumerate("ab") for c in PLACE]).distinct()
 
 
 def removals(docs: DataFrame, p: LineParams) -> DataFrame:
-    """k, and what is removed of it: array of struct pos, near (by an edit link only), first_k; n_links of its lines."""
-    table = line_table(docs, p)
-    rows = stored(table if p.chars_per_edit is None else table.select("k", "pos", "h1", "h2"), "lines")
-    source = rows if p.chars_per_edit is None else table  # many keys: not written for every copy
-    firsts = source.groupBy("h1", "h2").agg(F.min(F.struct("k", "pos", "prof", "edits", "keys")).alias("f")).select("h1", "h2", "f.*")
-    firsts = stored(firsts, "line-firsts")
-    links = stored(near_links(docs, firsts, p), "line-links")
-    if p.chars_per_edit is not None:
-        keyed, firsts = firsts, stored(firsts.select("h1", "h2", "k", "pos"), "line-firsts")
-        drop_stored(keyed)
-    later = links.groupBy(F.col("b_h1").alias("h1")).agg(F.min("a_k").alias("near_k"))
-    degree = links.select(F.explode(F.array("a_h1", "b_h1")).alias("h1")).groupBy("h1").agg(F.count("*").alias("links"))
-    facts = firsts.select("h1", "h2", F.col("k").alias("first_k"), F.col("pos").alias("first_pos")).join(degree, "h1", "left").join(later, "h1", "left")
-    found = rows.select("k", "pos", "h1", "h2").join(facts, ["h1", "h2"])
-    again = (F.col("k") != F.col("first_k")) | (F.col("pos") != F.col("first_pos"))
-    found = found.filter(again | F.col("links").isNotNull())
+    """k, sig, and what is removed of it: array of struct pos, near (by an edit link only), first_k; n_links of its lines."""
+    lines = keyed(docs, F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line")).filter(has_word(F.col("line")))
+    rows = stored(lines.select(F.col("_k").alias("k"), F.col("_sig").alias("sig"), "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")), "lines")
+    firsts = stored(rows.groupBy("h1", "h2").agg(F.min(F.struct(*PLACE)).alias("f"), F.count("*").alias("copies")).select("h1", "h2", "f.*", "copies"), "line-firsts")
+    texts = stored(first_lines(docs, firsts).withColumn("prof", profile(F.col("line"))), "line-texts")
+    links = stored(near_links(texts, p), "line-links")
+    later = links.groupBy(*[F.col(f"b_{c}").alias(c) for c in PLACE]).agg(F.min("a_k").alias("near_k"))
+    ends = links.select(F.explode(F.array(*[F.struct(*[F.col(f"{s}_{c}").alias(c) for c in PLACE]) for s in "ab"])).alias("x")).select("x.*")
+    degree = ends.groupBy(*PLACE).agg(F.count("*").alias("links"))
+    facts = firsts.join(degree, list(PLACE), "left").join(later, list(PLACE), "left").filter((F.col("copies") > 1) | F.col("links").isNotNull())
+    facts = stored(facts.select("h1", "h2", "copies", "links", "near_k", *[F.col(c).alias(f"first_{c}") for c in PLACE]), "line-facts")
+    many = F.greatest(F.lit(1000.0), F.lit((rows.count()) * p.copies_share))
+    hot = F.broadcast(facts.filter(F.col("copies") > many))  # at most 1 / copies_share rows
+    cold = rows.join(hot.select("h1", "h2"), ["h1", "h2"], "left_anti").join(facts.filter(F.col("copies") <= many), ["h1", "h2"])
+    found = rows.join(hot, ["h1", "h2"]).unionByName(cold)
+    again = F.lit(False)
+    for c in PLACE:
+        again = again | (F.col(c) != F.col(f"first_{c}"))
     gone = F.when(again | F.col("near_k").isNotNull(), F.struct("pos", (~again).alias("near"), F.when(again, F.col("first_k")).otherwise(F.col("near_k")).alias("first_k")))
-    return found.groupBy("k").agg(F.collect_set(gone).alias("gone"), F.sum(F.coalesce("links", F.lit(0))).alias("n_links"))
+    # rows of repeated documents agree: each line counts once
+    found = found.select("k", "sig", "pos", gone.alias("gone"), F.coalesce("links", F.lit(0)).alias("links"))
+    lists = found.groupBy("k", "sig").agg(F.collect_set(F.struct("pos", "gone", "links")).alias("all"))
+    return lists.select("k", "sig", F.filter(F.transform("all", lambda x: x["gone"]), lambda x: x.isNotNull()).alias("gone"), F.aggregate("all", F.lit(0).cast("long"), lambda s, x: s + x["links"]).alias("n_links"))
 
 
 def applied(docs: DataFrame, p: LineParams) -> DataFrame:
     """``docs`` with working columns: _gone (what is removed), _links, _new (the text after it)."""
-    gone = removals(docs, p).select(F.col("k").alias("_k"), F.col("gone").alias("_gone"), F.col("n_links").alias("_links"))
-    rows = docs.withColumn("_k", F.coalesce("doc_id", F.lit(NULL_ID))).join(gone, "_k", "left")
-    lost = F.map_from_entries(F.transform("_gone", lambda g: F.struct(g["pos"], F.lit(True))))
-    kept = bind(lost, lambda m: F.array_join(F.filter(F.split("text", "\n"), lambda s, i: F.element_at(m, i).isNull()), "\n"))
-    return rows.withColumn("_new", F.when(F.size(F.coalesce("_gone", F.array())) == 0, F.col("text")).otherwise(kept)).drop("_k")
+    gone = removals(docs, p).select(F.col("k").alias("_k"), F.col("sig").alias("_sig"), F.col("gone").alias("_gone"), F.col("n_links").alias("_links"))
+    rows = docs.withColumns({"_k": F.coalesce("doc_id", F.lit(NULL_ID)), "_sig": F.xxhash64("text")}).join(gone, ["_k", "_sig"], "left")
+    lines = F.split("text", "\n")
+    # kept lines are what stands between removed ones
+    at = F.array_sort(F.transform("_gone", lambda g: g["pos"]))
+    between = lambda ls, ps: F.flatten(F.transform(
+        F.sequence(F.lit(0), F.size(ps)),
+        lambda i: bind(F.coalesce(F.get(ps, i - 1) + 1, F.lit(0)), lambda a: F.slice(ls, a + 1, F.coalesce(F.get(ps, i), F.size(ls)) - a)),
+    ))
+    kept = bind(F.struct(lines.alias("ls"), at.alias("ps")), lambda x: F.array_join(between(x["ls"], x["ps"]), "\n"))
+    return rows.withColumn("_new", F.when(F.size(F.coalesce("_gone", F.array())) == 0, F.col("text")).otherwise(kept)).drop("_k", "_sig")
 
 
 def line_dedup(docs: DataFrame, params: LineParams | None = None) -> DataFrame:

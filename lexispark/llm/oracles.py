@@ -84,24 +84,36 @@ c AS (SELECT p.doc_id, p.pos, word, max(CASE WHEN again THEN 1 ELSE 0 END) OVER
 SELECT d.doc_id, count(word) AS n_words, count(*) FILTER (gone) AS n_removed, sha256(coalesce(string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
 FROM documents d LEFT JOIN c USING (doc_id) GROUP BY 1"""
 
-#: Holds for one edit: the lines are equal before and after one place.
-LINES = rf"""
-WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(0, len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents),
-c AS (SELECT *, regexp_matches(line, '[^\x20\x09-\x0D]') AS worded FROM l),
-f AS (SELECT line, length(line) AS n, doc_id AS k, pos AS p FROM c WHERE worded AND length(line) >= {LineParams().min_chars} QUALIFY row_number() OVER (PARTITION BY line ORDER BY doc_id, pos) = 1),
-i AS (SELECT line, n, 1 AS seg, left(line, n // 2) AS s FROM f UNION ALL SELECT line, n, 2, right(line, n - n // 2) FROM f),
-q AS (SELECT line, n - d AS n, 1 AS seg, left(line, (n - d) // 2) AS s FROM f, (VALUES (0), (1)) v(d) UNION ALL SELECT line, n - d, 2, right(line, (n - d) - (n - d) // 2) FROM f, (VALUES (0), (1)) v(d)),
-e AS (SELECT DISTINCT i.line AS a, q.line AS b FROM i JOIN q USING (n, seg, s) WHERE i.line <> q.line),
-t AS (SELECT a, b, len(list_filter(range(1, length(a) + 1), lambda j: left(a, j) = left(b, j))) AS same FROM e WHERE length(b) > length(a) OR a < b),
-g AS (SELECT a, b FROM t WHERE substring(b, same + 2) = substring(a, same + CASE WHEN length(a) = length(b) THEN 2 ELSE 1 END)),
+def _lines() -> str:
+    """Candidates by shared segments; then furthest places reached with 0, 1, ... edits, a match of letters being free."""
+    p = LineParams()
+    edits = lambda n: f"(CASE WHEN {n} < {p.min_edit_chars} THEN 0 ELSE greatest(1, least({p.most_edits}, {n} // {p.chars_per_edit})) END)"
+    start = "(n // (e + 1)) * seg + greatest(0, seg - (e + 1 - n % (e + 1))) + 1"
+    width = "n // (e + 1) + CASE WHEN seg >= e + 1 - n % (e + 1) THEN 1 ELSE 0 END"
+    same = lambda i, j: f"len(list_filter(range(1, least(length(a) - ({i}), length(b) - ({j})) + 1), lambda t: substring(a, ({i}) + 1, t) = substring(b, ({j}) + 1, t)))"
+    return rf"""
+WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(0, len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents),
+c AS (SELECT *, regexp_matches(line, '[^ 	-]') AS worded FROM l),
+f AS (SELECT line, length(line) AS len, doc_id AS k, pos AS p FROM c WHERE worded QUALIFY row_number() OVER (PARTITION BY line ORDER BY doc_id, pos) = 1),
+z AS (SELECT line, len, d, len - d AS n, {edits("(len - d)")} AS e FROM f, (SELECT unnest(range(0, {p.most_edits + 1})) AS d) WHERE len > d),
+y AS (SELECT *, unnest(range(0, e + 1)) AS seg FROM z WHERE e > 0 AND d <= e),
+i AS (SELECT line, n, seg, substring(line, {start}, {width}) AS s FROM y WHERE d = 0),
+q AS (SELECT line, n, seg, substring(line, {start} + o, {width}) AS s FROM (SELECT *, unnest(range(greatest(-seg, d - e + seg), least(seg, d + e - seg) + 1)) AS o FROM y) WHERE {start} + o >= 1),
+t AS (SELECT DISTINCT i.line AS a, q.line AS b, {edits("length(i.line)")} AS most FROM i JOIN q USING (n, seg, s) WHERE i.line <> q.line AND (length(q.line) > length(i.line) OR i.line < q.line)),
+r AS (
+  SELECT a, b, most, {same("0", "0")} AS i, {same("0", "0")} AS j, 0 AS e FROM t
+  UNION
+  SELECT a, b, most, x + {same("x", "y")}, y + {same("x", "y")}, e + 1
+  FROM (SELECT a, b, most, e, i + di AS x, j + dj AS y FROM r, (VALUES (1, 1), (1, 0), (0, 1)) v(di, dj) WHERE e < most AND (i < length(a) OR j < length(b)) AND i + di <= length(a) AND j + dj <= length(b))),
+g AS (SELECT DISTINCT a, b FROM r WHERE i = length(a) AND j = length(b)),
 u AS (SELECT x.line AS one, y.line AS other, x.k AS one_k, x.p AS one_p, y.k AS other_k, y.p AS other_p
       FROM (SELECT a, b FROM g UNION ALL SELECT b, a FROM g) g2 JOIN f x ON x.line = g2.a JOIN f y ON y.line = g2.b),
 d AS (SELECT one AS line, count(*) AS links, min(other_k) FILTER ((other_k, other_p) < (one_k, one_p)) AS near_k FROM u GROUP BY 1),
 m AS (SELECT c.*, coalesce(d.links, 0) AS links, f.line IS NOT NULL AND (c.doc_id, c.pos) <> (f.k, f.p) AS again, near_k, f.k AS first_k FROM c LEFT JOIN f USING (line) LEFT JOIN d USING (line)),
-r AS (SELECT *, NOT again AND near_k IS NOT NULL AS near FROM m),
+w AS (SELECT *, NOT again AND near_k IS NOT NULL AS near FROM m),
 s AS (SELECT doc_id, count(*) FILTER (worded) AS n_lines, count(*) FILTER (again) AS n_exact, count(*) FILTER (near) AS n_near, sum(links)::BIGINT AS n_links,
-        coalesce(list_sort(list_distinct(list(CASE WHEN again THEN first_k ELSE near_k END) FILTER (again OR near))), []) AS dup_of, string_agg(line, chr(10) ORDER BY pos) FILTER (NOT again AND NOT near) AS kept FROM r GROUP BY 1)
+        coalesce(list_sort(list_distinct(list(CASE WHEN again THEN first_k ELSE near_k END) FILTER (again OR near))), []) AS dup_of, string_agg(line, chr(10) ORDER BY pos) FILTER (NOT again AND NOT near) AS kept FROM w GROUP BY 1)
 SELECT d.doc_id, n_lines, n_exact, n_near, n_links, dup_of, CASE WHEN text IS NOT NULL THEN length(coalesce(kept, '')) END AS n_chars, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents d JOIN s USING (doc_id)"""
 
 
-ORACLES = {"op3_line_dedup": LINES, "op4_substring_dedup": SUBSTRING, "op6_quality_rules": _quality(), "op10_mixing": mixing_sql()}
+ORACLES = {"op3_line_dedup": _lines(), "op4_substring_dedup": SUBSTRING, "op6_quality_rules": _quality(), "op10_mixing": mixing_sql()}

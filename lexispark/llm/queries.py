@@ -11,7 +11,7 @@ from .common import documents
 from .decontaminate import find_leaks
 from .langid import identify
 from .licenses import scan
-from .lines import BY_LENGTH, line_dedup
+from .lines import line_dedup
 from .mixing import mix
 from .oracles import ORACLES
 from .pii import KINDS, find_pii, spans_string
@@ -37,22 +37,13 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _line_rows(found: DataFrame) -> DataFrame:
-    return found.select(
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(documents(spark, sf_dir)).select(
         "doc_id", "n_lines", "n_exact", "n_near", "n_links", "dup_of", "n_chars",
         F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"),
     )
 
 
-def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _line_rows(line_dedup(documents(spark, sf_dir)))
-
-
-def op3_line_dedup_by_length(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``op3_line_dedup``, with edits that grow with the line; it has no SQL, which holds for one edit."""
-    return _line_rows(line_dedup(documents(spark, sf_dir), BY_LENGTH))
-
-
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup(documents(spark, sf_dir))
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
@@ -83,7 +74,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).select("doc_id", "source", "copy", "shuffle_key", "n_chars", "text")
 
 
-QUERIES = (op1_language_id, op2_pii, op3_line_dedup, op3_line_dedup_by_length, op4_substring_dedup, op5_decontamination, op6_quality_rules, op7_simhash, op8_token_counts, op9_license_scan, op10_mixing)
+QUERIES = (op1_language_id, op2_pii, op3_line_dedup, op4_substring_dedup, op5_decontamination, op6_quality_rules, op7_simhash, op8_token_counts, op9_license_scan, op10_mixing)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
