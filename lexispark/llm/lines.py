@@ -13,9 +13,10 @@ allows e edits is cut into e + 1 segments: within e edits one segment of the
 shorter line stands unchanged in the longer one, at a place that the length
 difference bounds.  Index entries are (length, segment number, segment) of each
 line; probes are the substrings of each line at those places, for its own and
-the next shorter lengths.  A letter profile kept with both discards pairs while
-they are joined, and survivors are verified by banded bit-parallel edit distance
-on what remains between their common ends.
+the next shorter lengths.  Entries whose key nothing else has are dropped by one
+shuffle; for the lines of the others a letter profile discards pairs while they are
+joined, and survivors are verified by banded bit-parallel edit distance on what
+remains between their common ends.
 
 A segment that more than ``hot`` lines share, such as a common start of log
 lines, is not joined as it is: what remains of these lines without it may have
@@ -33,13 +34,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, bind, keyed, stored
+from .common import NULL_ID, bind, drop_stored, keyed, stored
 
-#: Letters whose counts make the profile, one byte each.
-PROFILE = "etanisrl"
+#: Characters whose counts make the profile, four bits each.
+PROFILE = "etaoinsrhdlucmp "
 #: What tells a line apart: the place where it stands first.
 PLACE = ("k", "sig", "pos")
 
@@ -47,15 +48,15 @@ PLACE = ("k", "sig", "pos")
 @dataclass(frozen=True)
 class LineParams:
     #: one edit for so many characters of the shorter line, at least one and at most ``most_edits``
-    chars_per_edit: int = 80
-    most_edits: int = 3
+    chars_per_edit: int = 100
+    most_edits: int = 2
     #: lines from this length on may have an edit
     min_edit_chars: int = 10
     #: lines that may share a segment before the rest of them is cut again, and how often that is done
     hot: int = 300
     levels: int = 3
     #: shares of the keys that are joined one after the other
-    passes: int = 2
+    passes: int = 1
     #: lines with more than this share of all copies are joined by broadcast: at most 1 / share of them
     copies_share: float = 0.001
 
@@ -96,35 +97,35 @@ def segment(length: Column, x: Column) -> tuple[Column, Column]:
     return start.cast("int"), (base + F.when(x["i"] >= short, 1).otherwise(0)).cast("int")
 
 
-def cut(rows: DataFrame, x: Column, text: str, base: Column, *carried: str, rest: bool) -> DataFrame:
-    """Entries of rows that have one place ``x`` each: carried columns, index (is it an index entry), key and,
-    where asked for, e, d and what the line is without the segment.
+def cut(rows: DataFrame, code: Column, x: Column, base: Column, *carried: str, rest: bool) -> DataFrame:
+    """Entries of rows (line, n, its length, and ``code``, its characters in four bytes each) that have one place ``x`` each: carried columns, e, index (is it an
+    index entry), key and, where asked for, d and what the line is without the segment, with its length.
     """
-    length = F.length(text)
-    start, width = segment(length, x)
-    key = F.xxhash64(base, x["i"], length - x["d"], F.substring(F.col(text), start, width))
-    more = [x["e"].alias("e"), x["d"].alias("d"), F.concat(F.substring(F.col(text), F.lit(1), start - 1), F.substring(F.col(text), start + width, length)).alias("rest")] if rest else []
-    kept = (start >= 1) & (start + width - 1 <= length)
-    return rows.filter(kept).select(*carried, ((x["d"] == 0) & (x["o"] == 0)).alias("index"), key.alias("key"), *more)
+    start, width = segment(F.col("n"), x)
+    key = F.xxhash64(base, x["i"], F.col("n") - x["d"], F.substring(code, start * 4 - 3, width * 4))
+    left = F.concat(F.substring("line", F.lit(1), start - 1), F.substring("line", start + width, F.col("n")))
+    more = [x["d"].alias("d"), left.alias("line"), (F.col("n") - width).alias("n")] if rest else []
+    kept = (start >= 1) & (start + width - 1 <= F.col("n"))
+    return rows.filter(kept).select(*carried, x["e"].alias("e"), ((x["d"] == 0) & (x["o"] == 0)).alias("index"), key.alias("key"), *more)
 
 
 def profile(line: Column) -> Column:
-    """Counts of the profile's letters, modulo 256, as the bytes of a long."""
+    """Counts of the profile's characters, modulo 16, in a long."""
     total = F.lit(0).cast("long")
     for i, c in enumerate(PROFILE):
         n = (F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))).cast("long")
-        total = total.bitwiseOR(F.shiftleft(n.bitwiseAND(255), 8 * i))
+        total = total.bitwiseOR(F.shiftleft(n.bitwiseAND(15), 4 * i))
     return total
 
 
 def profiles_near(a: Column, b: Column, edits: int | Column) -> Column:
-    """Whether two profiles can belong to lines within ``edits``: an edit moves at most two counts by one."""
-    far = F.lit(0).cast("long")
+    """Whether two profiles can belong to lines within ``edits``: an edit adds at most one character and takes at most one."""
+    more = less = F.lit(0).cast("long")
     for i in range(len(PROFILE)):
-        byte = lambda c, i=i: F.shiftrightunsigned(c, 8 * i).bitwiseAND(255)
-        d = (byte(a) - byte(b)).bitwiseAND(255)
-        far = far + F.least(d, 256 - d)
-    return far <= edits * 2
+        part = lambda c, i=i: F.shiftrightunsigned(c, 4 * i).bitwiseAND(15)
+        d = (part(a) - part(b) + 8).bitwiseAND(15) - 8
+        more, less = more + F.greatest(d, F.lit(0)), less + F.greatest(-d, F.lit(0))
+    return (more <= edits) & (less <= edits)
 
 
 def common_start(a: Column, b: Column) -> Column:
@@ -209,48 +210,61 @@ def first_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     return texts.select("k", "sig", F.explode(taken).alias("x")).select("x.h1", "k", "sig", "x.pos", "x.line")
 
 
-def line_pairs(lines: DataFrame, p: LineParams) -> DataFrame:
-    """x < y: h1 of the lines that share a segment and have near profiles; ``lines`` (h1, line, prof)."""
-    n = F.length("line")
+def entries(lines: DataFrame, p: LineParams, *carried: str, rest: bool) -> DataFrame:
+    """All keys of ``lines`` (h1, line, n)."""
+    n = F.col("n")
     own, least = edits_of(n, p), edits_of(n - p.most_edits, p)
-    choice = F.when(own == 0, places([])) if p.most_edits else F.when(F.lit(True), places([]))
+    choice = F.when(own == 0, places([]))
     for e in range(1, p.most_edits + 1):
         choice = choice.when((own == e) & (least == e), places([e])).when(own == e, places([e - 1, e] if e > 1 else [e]))
-    placed = lines.select("h1", "prof", "line", F.explode(choice).alias("x"))
+    placed = lines.withColumn("code", F.encode("line", "UTF-32")).select("h1", "line", "n", "code", *carried, F.explode(choice).alias("x"))
     # a shorter line may allow fewer edits
     placed = placed.filter((F.col("x.e") == edits_of(n - F.col("x.d"), p)) & (F.col("x.d") <= F.col("x.e")))
-    entries = lambda rest: cut(placed, F.col("x"), "line", F.lit(0), "h1", "prof", rest=rest)
-    plain, found = entries(False), []
-    for level in range(p.levels + 1):
-        index, probes = plain.filter("index"), plain
-        hot = None
-        if level < p.levels:
-            hot = stored(index.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > p.hot).select("key"), "line-hot")
-            hot = None if hot.isEmpty() else hot
-        if hot is not None:
-            index = index.join(hot, "key", "left_anti")
-        for i in range(p.passes if level == 0 else 1):
-            share = F.lit(True) if p.passes == 1 or level else F.pmod("key", F.lit(p.passes)) == i
-            a = index.filter(share).select("key", F.col("h1").alias("x"), F.col("prof").alias("px"))
-            b = probes.filter(share).select(F.col("key").alias("key2"), F.col("h1").alias("y"), F.col("prof").alias("py"))
-            met = a.join(b, (F.col("key") == F.col("key2")) & (F.col("x") != F.col("y")) & profiles_near(F.col("px"), F.col("py"), p.most_edits))
-            found.append(stored(met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "line-pairs"))
-        if hot is None:
+    return cut(placed, F.col("code"), F.col("x"), F.lit(0), "h1", *carried, rest=rest)
+
+
+def met(rows: DataFrame, *columns: str) -> DataFrame:
+    """The entries whose key an index entry and another entry have, and n_index, how many index entries."""
+    own = Window.partitionBy("key")
+    counted = rows.select("h1", "e", "index", "key", *columns, F.count("*").over(own).alias("n_all"), F.count_if("index").over(own).alias("n_index"))
+    return counted.filter((F.col("n_all") > 1) & (F.col("n_index") > 0)).drop("n_all")
+
+
+def line_pairs(texts: DataFrame, p: LineParams) -> tuple[DataFrame, DataFrame]:
+    """(x < y: h1 of the lines that share a segment and have near profiles; the table of these lines with their profiles)."""
+    found, shares = [], []
+    for i in range(p.passes):
+        rows = entries(texts, p, rest=False)
+        shares.append(stored(met(rows if p.passes == 1 else rows.filter(F.pmod("key", F.lit(p.passes)) == i)), "line-keys"))
+    level = reduce(DataFrame.union, shares)
+    lines = texts.join(level.select("h1").distinct(), "h1", "left_semi")
+    lines = stored(lines.withColumn("prof", profile(F.col("line"))), "line-wanted")
+    level = level.join(lines.select("h1", "prof"), "h1")
+    for depth in range(p.levels + 1):
+        cold = level.filter(F.col("n_index") <= p.hot) if depth < p.levels else level
+        a = cold.filter("index").select("key", F.col("h1").alias("x"), F.col("prof").alias("px"), "e")
+        b = cold.select(F.col("key").alias("key2"), F.col("h1").alias("y"), F.col("prof").alias("py"))
+        pairs = a.join(b, (F.col("key") == F.col("key2")) & (F.col("x") != F.col("y")) & profiles_near(F.col("px"), F.col("py"), F.col("e")))
+        found.append(stored(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "line-pairs"))
+        if depth == p.levels:
             break
-        # the rest of hot lines, cut again at the length difference that their key has
-        rows = (entries(True) if level == 0 else again).join(hot, "key", "left_semi")
+        hot = stored(level.filter(F.col("n_index") > p.hot).select("key").distinct(), "line-hot")
+        if hot.isEmpty():
+            break
+        # what remains of hot lines, cut again at the length difference that their key has
+        rows = (entries(lines, p, "prof", rest=True) if depth == 0 else again).join(hot, "key", "left_semi")
         table = places(list(range(1, p.most_edits + 1)))
-        rows = rows.select("h1", "prof", "index", F.col("key").alias("base"), "rest", F.explode(F.filter(table, lambda x: (x["e"] == F.col("e")) & (x["d"] == F.col("d")))).alias("x"))
-        rows = rows.withColumnRenamed("index", "was").withColumnRenamed("rest", "line")
-        again = cut(rows, F.col("x"), "line", F.col("base"), "h1", "prof", "was", rest=True).withColumn("index", F.col("was") & F.col("index")).drop("was")
+        rows = rows.select("h1", "prof", F.col("index").alias("was"), F.col("key").alias("base"), "line", "n", F.explode(F.filter(table, lambda x: (x["e"] == F.col("e")) & (x["d"] == F.col("d")))).alias("x"))
+        again = cut(rows, F.encode("line", "UTF-32"), F.col("x"), F.col("base"), "h1", "prof", "was", rest=True).withColumn("index", F.col("was") & F.col("index")).drop("was")
         again = stored(again, "line-rest")
-        plain = again.select("h1", "prof", "index", "key")
-    return reduce(DataFrame.union, found).distinct()
+        level = stored(met(again, "prof"), "line-keys")
+    return reduce(DataFrame.union, found).distinct(), lines
 
 
-def near_links(lines: DataFrame, p: LineParams) -> DataFrame:
+def near_links(texts: DataFrame, p: LineParams) -> DataFrame:
     """The places (a_ and b_ columns) of the earlier and the later line of every verified link."""
-    pairs = stored(line_pairs(lines, p), "line-pairs")
+    pairs, lines = line_pairs(texts, p)
+    pairs = stored(pairs, "line-pairs")
     side = lambda c: lines.select(F.col("h1").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in (*PLACE, "line")])
     joined = pairs.join(side("x"), "x").join(side("y"), "y")
     most = edits_of(F.least(F.length("x_line"), F.length("y_line")), p)
@@ -264,8 +278,9 @@ def removals(docs: DataFrame, p: LineParams) -> DataFrame:
     lines = keyed(docs, F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line")).filter(has_word(F.col("line")))
     rows = stored(lines.select(F.col("_k").alias("k"), F.col("_sig").alias("sig"), "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")), "lines")
     firsts = stored(rows.groupBy("h1", "h2").agg(F.min(F.struct(*PLACE)).alias("f"), F.count("*").alias("copies")).select("h1", "h2", "f.*", "copies"), "line-firsts")
-    texts = stored(first_lines(docs, firsts).withColumn("prof", profile(F.col("line"))), "line-texts")
+    texts = stored(first_lines(docs, firsts).withColumn("n", F.length("line")), "line-texts")
     links = stored(near_links(texts, p), "line-links")
+    drop_stored(texts)
     later = links.groupBy(*[F.col(f"b_{c}").alias(c) for c in PLACE]).agg(F.min("a_k").alias("near_k"))
     ends = links.select(F.explode(F.array(*[F.struct(*[F.col(f"{s}_{c}").alias(c) for c in PLACE]) for s in "ab"])).alias("x")).select("x.*")
     degree = ends.groupBy(*PLACE).agg(F.count("*").alias("links"))
