@@ -8,14 +8,15 @@ coordinates differ by more than ``radius`` anywhere; survivors are verified by
 their exact distance.  A bucket gives the edges of a spanning forest, never all
 pairs of a dense group.  r follows the number of nodes, so that buckets stay
 small; the result is the same for any r.  Buckets above ``hot`` nodes are dealt
-anew by one block of their remaining bits, chosen as before.
+anew with one more block, up to ``levels`` times.
 
 Edges are merged into components by alternating star contraction, each round
 written to the shared folder.
 
 Edge cases: null and blank texts have fingerprint zero and link like any other;
 a group's id is its smallest doc_id that is not null (null if all are);
-repeated rows are copies of each other; an empty table gives no rows; other
+repeated rows are copies of each other; rows of one doc_id with different texts
+are different documents; an empty table gives no rows; other
 columns are ignored; a text of any length is hashed in pieces.
 """
 
@@ -47,6 +48,7 @@ class SimHashParams:
     #: nodes up to which 1, 2, ... blocks make a bucket
     steps: tuple[int, ...] = (1_000_000, 150_000_000, 20_000_000_000)
     hot: int = 30_000
+    levels: int = 3
 
 
 def fingerprint(text: str | bytes | None, p: SimHashParams) -> int:
@@ -83,14 +85,14 @@ def _majority(h: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame, p: SimHashParams) -> DataFrame:
-    """doc_id, fp (the fingerprint's 64 bits as a signed long)."""
+    """doc_id, sig (hash of the text), fp (the fingerprint's 64 bits as a signed long)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(t.as_py(), p) for t in batch.column("text")], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("sig"), pa.array(fps.view(np.int64))], names=["doc_id", "sig", "fp"])
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id bigint, fp bigint")
+    return docs.select("doc_id", F.xxhash64("text").alias("sig"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id bigint, sig bigint, fp bigint")
 
 
 def pivot_table(x: np.ndarray, p: SimHashParams) -> np.ndarray:
@@ -160,12 +162,18 @@ def links(nodes: DataFrame, p: SimHashParams) -> DataFrame:
     n = nodes.count()
     agree = 1 + sum(n > s for s in p.steps)
     entries = nodes.select(F.explode(bucket_keys(F.col("fp"), p.radius, agree)).alias("key"), "fp")
-    large = stored(entries.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > p.hot).select("key"), "hot")
-    if not large.isEmpty():
-        hot = entries.join(large, "key", "left_semi")
-        finer = F.explode(bucket_keys(F.col("fp"), p.radius, agree + 1)).alias("sub")
-        hot = hot.select("key", "fp", finer).select(F.xxhash64("key", "sub").alias("key"), "fp")
-        entries = entries.join(large, "key", "left_anti").unionByName(hot)
+    dealt, current = [], entries.withColumn("base", F.col("key"))
+    for more in range(1, p.levels + 1):
+        large = stored(current.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > p.hot).select("key"), "hot")
+        if large.isEmpty():
+            break
+        dealt.append(current.join(large, "key", "left_anti").select("key", "fp"))
+        again = current.join(large, "key", "left_semi").select("base", "fp").distinct()
+        finer = F.explode(bucket_keys(F.col("fp"), p.radius, agree + more)).alias("sub")
+        current = again.select("base", "fp", finer).select(F.xxhash64("base", "sub").alias("key"), "fp", "base")
+    entries = current.select("key", "fp")
+    for part in dealt:
+        entries = entries.unionByName(part)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solved(key: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -223,25 +231,33 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def near_duplicates(docs: DataFrame, params: SimHashParams | None = None) -> DataFrame:
-    """doc_id, fp (signed long), component_id for each row of ``docs`` (doc_id, text)."""
-    p = params or SimHashParams()
+def labelled(docs: DataFrame, p: SimHashParams) -> DataFrame:
+    """doc_id, sig (hash of the text), fp, and of its group: component_id, root_sig (of the document that stays)."""
     rows = stored(fingerprints(docs, p), "fingerprints")
-    nodes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
+    # the smallest document that has an id; documents without one come last
+    least = lambda d, s: F.min(F.struct(F.col(d).isNull().alias("none"), F.col(d).alias("id"), F.col(s).alias("sig")))
+    nodes = rows.groupBy("fp").agg(least("doc_id", "sig").alias("f")).select("fp", F.col("f.id").alias("first"), F.col("f.sig").alias("first_sig"))
+    nodes = stored(nodes, "nodes")
     edges = stored(links(nodes.select("fp"), p), "links")
     if edges.isEmpty():
-        ids = nodes.select(F.col("fp").alias("node"), F.col("first").alias("component_id"))
+        ids = nodes.select(F.col("fp").alias("node"), F.col("first").alias("component_id"), F.col("first_sig").alias("root_sig"))
     else:
         roots = components(edges)
-        labelled = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-        least = labelled.groupBy("root").agg(F.min("first").alias("component_id")).withColumnRenamed("root", "r")
-        ids = labelled.join(least, F.col("root") == F.col("r")).select(F.col("fp").alias("node"), "component_id")
-    return rows.join(ids, rows["fp"] == ids["node"]).select("doc_id", "fp", "component_id")
+        known = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", "first_sig", F.coalesce("root", "fp").alias("root"))
+        best = known.groupBy("root").agg(least("first", "first_sig").alias("f")).select(F.col("root").alias("r"), F.col("f.id").alias("component_id"), F.col("f.sig").alias("root_sig"))
+        ids = known.join(best, F.col("root") == F.col("r")).select(F.col("fp").alias("node"), "component_id", "root_sig")
+    return rows.join(ids, rows["fp"] == ids["node"]).drop("node")
+
+
+def near_duplicates(docs: DataFrame, params: SimHashParams | None = None) -> DataFrame:
+    """doc_id, fp (signed long), component_id for each row of ``docs`` (doc_id, text)."""
+    return labelled(docs, params or SimHashParams()).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, params: SimHashParams | None = None) -> DataFrame:
-    """``docs`` without near duplicates: of each group the row with the smallest doc_id stays, once."""
-    found = near_duplicates(docs, params)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    taken = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
+    """``docs`` without near duplicates: of each group the document with the smallest doc_id stays, once."""
+    found = labelled(docs, params or SimHashParams())
+    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("sig") == F.col("root_sig"))).select(F.col("doc_id").alias("_kept"), F.col("sig").alias("_kept_sig")).distinct()
+    taken = docs.withColumn("_sig", F.xxhash64("text"))
+    taken = taken.join(kept, taken["doc_id"].eqNullSafe(kept["_kept"]) & (taken["_sig"] == kept["_kept_sig"]), "left_semi").drop("_sig")
     return taken.dropDuplicates(["doc_id", "text"])

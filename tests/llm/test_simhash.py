@@ -93,3 +93,34 @@ def test_edge_cases(spark, docs):
     kept = keep_one(docs(*rows, (20, "A b"), (7, "a b")))
     assert sorted(((r["doc_id"], len(r["text"])) for r in kept.collect()), key=str) == sorted([(3, 0), (7, 3), (None, 9), (11, len(long))], key=str)
     assert near_duplicates(docs(*rows).filter("false")).count() == 0
+
+
+def test_one_doc_id_with_two_texts(spark, docs):
+    a, b = "one two three four five six", "seven eight nine ten eleven twelve"
+    kept = keep_one(docs((1, a), (2, a), (2, b), (3, b), (3, b)))
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == [(1, a), (2, b)]
+
+
+def test_hot_buckets_lose_no_link(spark):
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 63, 4, dtype=np.uint64)
+    x = np.unique(np.concatenate([base[rng.integers(0, 4, 400)] ^ (np.uint64(1) << rng.integers(0, 63, 400).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 63, 400).astype(np.uint64)), rng.integers(0, 1 << 63, 200, dtype=np.uint64)]))
+    nodes = spark.createDataFrame([(int(v),) for v in x.view(np.int64)], "fp bigint")
+
+    def groups(edges):
+        root = {int(v): int(v) for v in x}
+
+        def top(v):
+            while root[v] != v:
+                v = root[v]
+            return v
+
+        for a, b in edges:
+            root[top(a)] = top(b)
+        return {v: top(v) for v in root}
+
+    want = groups((int(a), int(b)) for i, a in enumerate(x) for b in x[i + 1 :] if int(a ^ b).bit_count() <= 4)
+    same = lambda g: sorted(sorted(v for v in g if g[v] == r) for r in set(g.values()))
+    for p in (SimHashParams(hot=20, levels=2), SimHashParams(hot=3)):
+        got = groups((r["a"], r["b"]) for r in links(nodes, p).collect())
+        assert same(got) == same(want)
