@@ -16,12 +16,16 @@ Before the walks, windows that cannot match are passed over without loss: with
 at most k edits, ``SPARE`` of an item's k + SPARE rarest words (by the first texts
 of a task; any choice is right) must stand in the window, each at most k places off.
 
+Items below ``min_words`` words, where one edit is more than the similarity allows
+or chance alone would find it, are looked up by their exact words.
+
 The benchmark is a stated query set: it is read in blocks of at most
-``block_words`` words, each broadcast and held against all documents.
+``block_words`` words; ``blocks_per_pass`` of them are broadcast and held against
+all documents in one pass.
 
-Edge cases: null and empty texts have no hits; items that are null or have fewer
-than ``min_words`` words are no queries (they match by chance); repeated items
-are separate items; repeated rows give repeated hits; an empty table on either
+Edge cases: null and empty texts have no hits; items that are null or have no word
+are no queries; repeated items are separate items; rows of one doc_id with
+different texts are different documents; repeated rows give repeated hits; an empty table on either
 side gives no rows; other columns are ignored.
 """
 
@@ -30,6 +34,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
-from .substring import hash_words, mixed, odd_numbers
+from .substring import hash_words, mixed, odd_numbers, rolled
 
 U = np.uint64
 #: Words are runs of ASCII letters, digits and bytes of other characters.
@@ -45,7 +50,7 @@ BREAK = np.array([not (b >= 128 or 48 <= b <= 57 or 97 <= b <= 122) for b in ran
 WORDS = re.compile(rb"[0-9a-z\x80-\xff]+")
 CHUNK = 2 << 20
 SPARE = 4
-HIT = "doc_id bigint, item_id bigint, start_word bigint, n_words bigint, distance int, similarity double"
+HIT = "doc_id bigint, sig bigint, item_id bigint, start_word bigint, n_words bigint, distance int, similarity double"
 
 
 @dataclass(frozen=True)
@@ -58,6 +63,9 @@ class LeakParams:
     #: widths of the size classes, in words
     class_width: int = 8
     block_words: int = 1_000_000
+    blocks_per_pass: int = 4
+    #: items from this length on make a document leave (``drop_leaks``); a shorter run of words stands anywhere
+    drop_words: int = 5
     seed: int = 7
 
 
@@ -96,14 +104,21 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]], p: LeakParams):
         self.p = p
-        known = [(i, hash_words([plain(t)], p.seed, BREAK)[0]) for i, t in items]
-        known = [(i, h) for i, h in known if len(h) >= p.min_words]
+        every = [(i, hash_words([plain(t)], p.seed, BREAK)[0]) for i, t in items]
+        known = [(i, h) for i, h in every if len(h) >= p.min_words]
+        #: short items by their number of words: sorted hashes of their words, and who they are
+        self.short: list[tuple[int, np.ndarray, list[int]]] = []
+        for n in range(1, p.min_words):
+            own = sorted((int(rolled(h, n, p.seed + 5)[0]), i) for i, h in every if len(h) == n)
+            if own:
+                self.short.append((n, np.array([k for k, _ in own], np.uint64), [i for _, i in own]))
         self.ids = [i for i, _ in known]
         self.words = np.unique(np.concatenate([h for _, h in known])) if known else np.zeros(0, np.uint64)
         self.items = [np.searchsorted(self.words, h) for _, h in known]
         self.anchors: tuple[np.ndarray, ...] | None = None
         self.classes: list[tuple] = []
         self.kind = np.array([len(it) // p.class_width for it in self.items], np.int64)
+        self.sizes = [len(it) for it in self.items]
         for c in np.unique(self.kind):
             own = np.flatnonzero(self.kind == c)
             shortest, longest = min(len(self.items[k]) for k in own), max(len(self.items[k]) for k in own)
@@ -178,10 +193,8 @@ class Index:
     def hits(self, data: list[bytes]) -> list[list[tuple[int, int, int, int]]]:
         """For each text (plain form) its hits (item number, start, words, distance)."""
         out: list[list[tuple[int, int, int, int]]] = [[] for _ in data]
-        if not self.items:
-            return out
         h, size = hash_words(data, self.p.seed, BREAK)
-        if not len(h):
+        if not self.items or not len(h):
             return out
         none = len(self.words)
         code = np.minimum(np.searchsorted(self.words, h), none - 1)
@@ -211,6 +224,28 @@ class Index:
         return [best(x) for x in out]
 
 
+    def exact(self, data: list[bytes]) -> list[list[tuple[int, int, int]]]:
+        """For each text (plain form) the places of short items: (item id, start, words), the first of overlapping ones."""
+        out: list[list[tuple[int, int, int]]] = [[] for _ in data]
+        if not self.short:
+            return out
+        h, size = hash_words(data, self.p.seed, BREAK)
+        row, first = np.repeat(np.arange(len(size)), size), np.cumsum(size) - size
+        for n, keys, ids in self.short:
+            window = rolled(h, n, self.p.seed + 5)
+            lo, hi = np.searchsorted(keys, window, "left"), np.searchsorted(keys, window, "right")
+            last: dict[tuple[int, int], int] = {}
+            for s in np.flatnonzero(hi > lo).tolist():
+                r = int(row[s])
+                if row[s + n - 1] != r:
+                    continue
+                for k in range(int(lo[s]), int(hi[s])):
+                    if last.get((r, k), -n) + n <= s:
+                        last[r, k] = s
+                        out[r].append((ids[k], int(s - first[r]), n))
+        return out
+
+
 def best(hits: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
     """Of overlapping hits of one item the nearest, then the first."""
     out: list[tuple[int, int, int, int]] = []
@@ -235,44 +270,53 @@ def item_blocks(benchmark: DataFrame, p: LeakParams) -> Iterator[list[tuple[int,
         yield block
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, params: LeakParams | None = None) -> DataFrame:
-    """doc_id, item_id, start_word, n_words, distance, similarity of every hit.
-
-    ``docs`` needs doc_id and text, ``benchmark`` item_id and text.
-    """
-    p = params or LeakParams()
-    rows = docs.select("doc_id", "text")
-    found = None
-    for block in item_blocks(benchmark, p):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
+def hit_rows(docs: DataFrame, benchmark: DataFrame, p: LeakParams) -> DataFrame:
+    """Columns of HIT: every hit, and of which text of a doc_id (sig)."""
+    rows = docs.select("doc_id", F.xxhash64("text").alias("sig"), "text")
+    blocks, found = item_blocks(benchmark, p), None
+    names = [x.split()[0] for x in HIT.split(", ")]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.float64())
+    while group := list(islice(blocks, p.blocks_per_pass)):
+        shared = docs.sparkSession.sparkContext.broadcast(group)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = Index(shared.value, p)
+            indexes = [Index(block, p) for block in shared.value]
 
-            def search(ids: list, texts: list[bytes]) -> pa.RecordBatch:
-                hits = [(d, *x) for d, own in zip(ids, index.hits(texts), strict=True) for x in own]
-                cols = ([x[0] for x in hits], [index.ids[x[1]] for x in hits], [x[2] for x in hits], [x[3] for x in hits], [x[4] for x in hits], [round(1 - x[4] / len(index.items[x[1]]), 6) for x in hits])
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.float64())
-                return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in HIT.split(", ")])
+            def search(ids: list[tuple], texts: list[bytes]) -> Iterator[pa.RecordBatch]:
+                for index in indexes:
+                    hits = [(*d, index.ids[k], s, n, e, round(1 - e / index.sizes[k], 6)) for d, own in zip(ids, index.hits(texts), strict=True) for k, s, n, e in own]
+                    hits += [(*d, i, s, n, 0, 1.0) for d, own in zip(ids, index.exact(texts), strict=True) for i, s, n in own]
+                    yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in hits], t) for c, t in enumerate(kinds)], names=names)
 
             ids, texts, size = [], [], 0
             for batch in batches:
-                for d, t in zip(batch.column("doc_id"), batch.column("text"), strict=True):
-                    ids.append(d.as_py())
+                for d, x, t in zip(batch.column("doc_id").to_pylist(), batch.column("sig").to_pylist(), batch.column("text"), strict=True):
+                    ids.append((d, x))
                     texts.append(plain(t.as_py()))
                     size += len(texts[-1])
                     if size >= CHUNK:
-                        yield search(ids, texts)
+                        yield from search(ids, texts)
                         ids, texts, size = [], [], 0
             if ids:
-                yield search(ids, texts)
+                yield from search(ids, texts)
 
         part = rows.mapInArrow(run, HIT)
         found = part if found is None else found.unionByName(part)
     return docs.sparkSession.createDataFrame([], HIT) if found is None else found
 
 
+def find_leaks(docs: DataFrame, benchmark: DataFrame, params: LeakParams | None = None) -> DataFrame:
+    """doc_id, item_id, start_word, n_words, distance, similarity of every hit.
+
+    ``docs`` needs doc_id and text, ``benchmark`` item_id and text.
+    """
+    return hit_rows(docs, benchmark, params or LeakParams()).drop("sig")
+
+
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, params: LeakParams | None = None) -> DataFrame:
-    """The documents without a hit, all columns unchanged."""
-    leaked = stored(find_leaks(docs, benchmark, params).select(F.col("doc_id").alias("_leaked")).distinct(), "leaks")
-    return docs.join(leaked, docs["doc_id"].eqNullSafe(leaked["_leaked"]), "left_anti")
+    """The documents without a hit of ``drop_words`` words or more, all columns unchanged."""
+    p = params or LeakParams()
+    hits = hit_rows(docs, benchmark, p).filter(F.col("n_words") + F.col("distance") >= p.drop_words)
+    leaked = stored(hits.select(F.col("doc_id").alias("_leaked"), F.col("sig").alias("_leaked_sig")).distinct(), "leaks")
+    rows = docs.withColumn("_sig", F.xxhash64("text"))
+    return rows.join(leaked, rows["doc_id"].eqNullSafe(leaked["_leaked"]) & (rows["_sig"] == leaked["_leaked_sig"]), "left_anti").drop("_sig")

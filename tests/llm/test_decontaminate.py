@@ -97,3 +97,13 @@ def test_edge_cases(spark, docs):
     assert sorted(r["doc_id"] for r in drop_leaks(docs(*rows), bench).collect()) == [1, 2, 6]
     assert find_leaks(docs(*rows), bench.filter("false")).count() == 0 and find_leaks(docs(*rows).filter("false"), bench).count() == 0
     assert Index([], LeakParams()).hits([b"a b"]) == [[]]
+
+
+def test_short_items_and_one_doc_id_with_two_texts(spark, docs):
+    long = "one two three four five six seven eight nine ten"
+    bench = spark.createDataFrame([(1, "capital of France now please"), (2, "Yes"), (3, "a b"), (4, long)], "item_id bigint, text string")
+    rows = [(1, "yes, the CAPITAL of france now, please? Yes"), (2, "a b b a b"), (3, "capital of france"), (3, f"x {long}"), (4, "a"), (4, "b")]
+    got = sorted(tuple(r) for r in find_leaks(docs(*rows), bench).collect())
+    assert got == [(1, 1, 2, 5, 0, 1.0), (1, 2, 0, 1, 0, 1.0), (1, 2, 7, 1, 0, 1.0), (2, 3, 0, 2, 0, 1.0), (2, 3, 3, 2, 0, 1.0), (3, 4, 1, 10, 0, 1.0)]
+    kept = drop_leaks(docs(*rows), bench).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == [(2, "a b b a b"), (3, "capital of france"), (4, "a"), (4, "b")]
