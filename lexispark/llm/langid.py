@@ -7,11 +7,14 @@ training, and takes the codeword with the least loss; a small margin to the
 next one flags the document as ambiguous.
 
 The classifiers are fitted on a bounded sample: about ``per_lang`` labelled
-training documents of each language, drawn by a hash of the doc_id.  Their
-n-gram counts are made on the executors; the driver holds only these sparse
-counts.  The fitted matrix has a fixed size and is broadcast.
-
-Edge cases: null text and texts without a letter give ``und`` with score 0;
+training documents of each language, drawn by a hash of the doc_id; with very many
+languages fewer of each, so that the sample stays near ``max_sample``, but never
+below ``least_per_lang``.  Their n-gram counts are made on the executors; the driver
+holds only these sparse counts and makes them dense block by block.  The fitted
+matrix has ``dims`` rows and a column for each bit, and is broadcast.
+
+Edge cases: null text and texts without a letter (Unicode category L) give ``und``
+with score 0; any number of languages can be learned;
 null languages and held-out documents are never learned from; without any
 labelled document everything is ``und``; with one language it is the answer
 for every text with a letter; ties go to the language that sorts first; a null
@@ -20,7 +23,6 @@ doc_id is not held out; repeated rows give repeated results.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,7 +31,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-LETTER = re.compile(r"[^\W\d_]")
 #: ASCII other than a-z becomes a blank before n-grams are taken.
 PLAIN = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 
@@ -37,7 +38,10 @@ PLAIN = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 @dataclass(frozen=True)
 class LangParams:
     per_lang: int = 500
-    max_langs: int = 200
+    max_sample: int = 20_000
+    least_per_lang: int = 20
+    #: documents whose counts are dense at once
+    block: int = 4096
     #: buckets of the hashed n-grams
     dims: int = 8192
     steps: int = 120
@@ -75,6 +79,8 @@ def codewords(n: int, p: LangParams) -> np.ndarray:
         columns = [[1] + [1 if k >> i & 1 else -1 for i in range(n - 1)] for k in range(2 ** (n - 1) - 1)]
         return np.array(columns, np.float32).T.reshape(n, -1)
     rng = np.random.default_rng(p.seed)
+    if n > 1000:  # distances of so many random codewords hardly differ
+        return rng.choice(np.array([-1, 1], np.float32), (n, int(np.ceil(p.bits_per_log * np.log2(n)))))
     best, gap = None, -1.0
     for _ in range(100):
         code = rng.choice(np.array([-1, 1], np.float32), (n, int(np.ceil(p.bits_per_log * np.log2(n)))))
@@ -87,16 +93,13 @@ def codewords(n: int, p: LangParams) -> np.ndarray:
 def fit(docs: DataFrame, p: LangParams) -> LangModel | None:
     """Fit the bit classifiers on the bounded sample of labelled training documents."""
     labelled = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).limit(p.max_langs + 1).collect()}
-    if len(sizes) > p.max_langs:
-        raise ValueError(f"more than {p.max_langs} languages")
-    if not sizes:
+    sizes = labelled.groupBy(F.col("lang").alias("_lang")).agg(F.count("*").alias("_n"))
+    n_langs = sizes.count()
+    if not n_langs:
         return None
-    langs = sorted(sizes)
+    per_lang = min(p.per_lang, max(p.least_per_lang, p.max_sample // n_langs))
     draw = F.pmod(F.xxhash64("doc_id", F.lit(p.seed)), F.lit(1 << 30)) / float(1 << 30)
-    share = F.lit(0.0)
-    for lang in langs:
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, p.per_lang / sizes[lang]))).otherwise(share)
+    drawn = labelled.join(sizes, F.col("lang") == F.col("_lang")).filter(draw * F.col("_n") < per_lang)
     dims = p.dims
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,28 +110,45 @@ def fit(docs: DataFrame, p: LangParams) -> LangModel | None:
                 names=["lang", "bucket", "n"],
             )
 
-    sample = labelled.filter(draw < share).orderBy(F.xxhash64("doc_id"), "text").limit(2 * p.per_lang * len(langs)).select("text", "lang")
+    sample = drawn.select("doc_id", "text", "lang").orderBy(F.xxhash64("doc_id"), "text").limit(2 * per_lang * n_langs).select("text", "lang")
     got = sample.mapInArrow(count, "lang string, bucket array<int>, n array<int>").toArrow()
-    y = np.array([langs.index(x) for x in got.column("lang").to_pylist()])
-    x = np.zeros((len(y), dims), np.float32)
-    for i, (b, n) in enumerate(zip(got.column("bucket").to_pylist(), got.column("n").to_pylist(), strict=True)):
-        x[i, b] = np.array(n, np.float32) / np.float32(sum(n)) * 100
+    langs = sorted(set(got.column("lang").to_pylist()))
+    at = {x: i for i, x in enumerate(langs)}
+    y = np.array([at[x] for x in got.column("lang").to_pylist()])
+    columns = [got.column(c).combine_chunks() for c in ("bucket", "n")]
+    ends = columns[0].offsets.to_numpy()
+    bucket, n = (c.values.to_numpy() for c in columns)
+
+    def dense(a: int, z: int) -> np.ndarray:
+        """Shares of the n-grams of the documents from a to z, in hundredths."""
+        x, own = np.zeros((z - a, dims), np.float32), slice(ends[a], ends[z])
+        rows = np.repeat(np.arange(z - a), np.diff(ends[a : z + 1]))
+        total = np.bincount(rows, n[own], z - a)
+        x[rows, bucket[own]] = n[own] / total[rows] * 100
+        return x
+
+    blocks = [(a, min(a + p.block, len(y))) for a in range(0, len(y), p.block)]
+    held = dense(*blocks[0]) if len(blocks) == 1 else None
     code = codewords(len(langs), p)
     bits = code.shape[1]
     weights, bias = np.zeros((dims, bits), np.float32), np.zeros(bits, np.float32)
     balance = (1.0 / np.bincount(y, minlength=len(langs)).clip(1))[y].astype(np.float32)[:, None]
     balance /= balance.sum()
-    target = code[y]
     seen_w, seen_b = np.full_like(weights, 1e-6), np.full_like(bias, 1e-6)
     for _ in range(p.steps if bits else 0):
-        z = target * (x @ weights + bias)
-        slope = -target * balance / (1 + np.exp(np.clip(z, -30, 30)))
-        gw, gb = x.T @ slope + 1e-5 * weights, slope.sum(0)
+        gw, gb = 1e-5 * weights, np.zeros_like(bias)
+        for a, z in blocks:
+            x, target = dense(a, z) if held is None else held, code[y[a:z]]
+            slope = -target * balance[a:z] / (1 + np.exp(np.clip(target * (x @ weights + bias), -30, 30)))
+            gw += x.T @ slope
+            gb += slope.sum(0)
         seen_w += gw**2
         seen_b += gb**2
         weights -= 0.3 * gw / np.sqrt(seen_w)
         bias -= 0.3 * gb / np.sqrt(seen_b)
-    right = ((target * (x @ weights + bias) > 0) * balance).sum(0) if bits else np.zeros(0, np.float32)
+    right = np.zeros(bits, np.float32)
+    for a, z in blocks if bits else ():
+        right += ((code[y[a:z]] * ((dense(a, z) if held is None else held) @ weights + bias) > 0) * balance[a:z]).sum(0)
     return LangModel(langs, code, weights, bias, np.maximum(2 * right - 1, 0.01).astype(np.float32))
 
 
@@ -157,7 +177,7 @@ def identify(docs: DataFrame, params: LangParams | None = None, model: LangModel
             out = []
             for value in batch.column("text"):
                 text = value.as_py()
-                if m is None or text is None or not LETTER.search(text):
+                if m is None or text is None or not any(map(str.isalpha, text)):
                     out.append(("und", 0.0, True))
                     continue
                 at = ngram_buckets(text, dims)

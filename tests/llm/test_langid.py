@@ -3,7 +3,7 @@ import zlib
 import numpy as np
 
 from lexispark.llm.common import documents
-from lexispark.llm.langid import LangModel, LangParams, codewords, decode, identify
+from lexispark.llm.langid import LangModel, LangParams, codewords, decode, fit, identify, ngram_buckets
 from lexispark.llm.queries import op1_language_id
 
 D = "/root/testdata/sf0.01"
@@ -47,3 +47,28 @@ def test_edge_cases(spark, docs):
     assert identify(docs(*rows).filter("false")).count() == 0
     one = identify(docs(*[(i, "abc def", "xx") for i in range(8)], (50, "zzz", None))).collect()
     assert {r["lang_pred"] for r in one} == {"xx"}
+
+
+def test_numbers_are_no_letters(spark, docs):
+    rows = [(i, "the cat and the dog " * 5, "en") for i in range(8)] + [(50, "½ ² ①", None), (51, "²é", None)]
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in identify(docs(*rows)).collect()}
+    assert got[50] == ("und", 0.0) and got[51] == ("en", 1.0)
+
+
+def test_many_languages_and_brute_force_decoding(spark, docs):
+    rng = np.random.default_rng(2)
+    alphabets = ["".join(chr(0x4E00 + 3 * i + j) for j in range(3)) for i in range(250)]
+    text = lambda a: " ".join("".join(a[k] for k in rng.integers(0, 3, 4)) for _ in range(12))
+    rows = [(10 * i + k, text(a), f"l{i:03d}") for i, a in enumerate(alphabets) for k in range(4)]
+    p = LangParams(max_sample=300, least_per_lang=3, steps=30, block=100)
+    df = docs(*rows)
+    model = fit(df, p)
+    assert len(model.langs) == 250
+    got = {r["doc_id"]: r for r in identify(df, p, model).collect()}
+    for d, t, _ in rows[::50]:
+        counts = np.bincount(ngram_buckets(t, p.dims), minlength=p.dims)
+        f = counts / counts.sum() * 100 @ model.weights + model.bias
+        loss = [sum(w * np.log1p(np.exp(-c * x)) for c, x, w in zip(code, f, model.reliability, strict=True)) for code in model.code]
+        assert got[d]["lang_pred"] == model.langs[int(np.argmin(loss))]
+        assert abs(got[d]["score"] - 1 / sum(np.exp(min(loss) - x) for x in loss)) < 1e-3
+    assert sum(got[d]["lang_pred"] == lang for d, _, lang in rows) > 0.9 * len(rows)
