@@ -67,12 +67,10 @@ def rates(docs: DataFrame, p: MixParams) -> DataFrame:
     """One row per source: _source, _rate, the number of equal parts and a part's distribution function."""
     sizes = docs.groupBy(F.col("source").alias("_source")).agg(F.count("*").alias("_n"))
     if p.weights is None:
-        weight = F.lit(1.0)
+        sizes = sizes.withColumn("_weight", F.lit(1.0))
     else:
-        weight = F.lit(0.0)
-        for source, w in sorted(p.weights.items()):
-            weight = F.when(F.col("_source") == source, F.lit(float(w))).otherwise(weight)
-    sizes = sizes.withColumn("_weight", weight)
+        given = docs.sparkSession.createDataFrame([(s, float(w)) for s, w in p.weights.items()], "_named string, _weight double")
+        sizes = sizes.join(given, F.col("_source") == F.col("_named"), "left").drop("_named").withColumn("_weight", F.coalesce("_weight", F.lit(0.0)))
     sums = sizes.agg(F.sum("_weight").alias("_all"), (F.lit(p.total) if p.total is not None else F.sum("_n")).cast("double").alias("_total"))
     rate = F.when(F.col("_all") > 0, F.col("_total") * F.col("_weight") / (F.col("_all") * F.col("_n"))).otherwise(F.lit(0.0))
     df = sizes.crossJoin(F.broadcast(sums)).withColumn("_rate", rate)  # sums: one row
