@@ -1,8 +1,12 @@
 import hashlib
+import math
+import random
 import re
+import time
+from collections import defaultdict
 
 from lexispark.llm.common import documents
-from lexispark.llm.pii import KINDS, find_pii, redact
+from lexispark.llm.pii import KINDS, PiiParams, find_pii, learn, redact
 from lexispark.llm.queries import op2_pii
 
 PLAIN = {
@@ -65,6 +69,76 @@ def test_context_finds_unseen_identifiers(spark, docs):
     assert out[100] == "please call me at <phone> after noon" and out[0] == out[100]
 
 
+def learn_brute(occ, p):
+    edges, seeds = defaultdict(set), {}
+    for k, inst, pats in occ:
+        for pat in pats:
+            edges[pat].add(inst)
+        if k is not None:
+            seeds[inst] = min(seeds.get(inst, k), k)
+    edges = {pat: own for pat, own in edges.items() if len(own) >= p.min_support}
+    known, before, rounds = {i: (k, 1.0) for i, k in seeds.items()}, None, 0
+    for _ in range(p.rounds):
+        rounds += 1
+        trust = {}
+        for pat, own in edges.items():
+            for k in range(len(KINDS)):
+                scores = [known[i][1] for i in own if i in known and known[i][0] == k]
+                if len(scores) >= p.min_support and sum(scores) / len(own) >= p.min_confidence:
+                    trust[pat, k] = round(sum(scores) / len(own), 6)
+        doubt = defaultdict(float)
+        for (pat, k), conf in trust.items():
+            for i in edges[pat] - seeds.keys():
+                doubt[i, k] += math.log(max(1 - conf, 1e-6))
+        best = {}
+        for (i, k), x in doubt.items():
+            score = round(1 - math.exp(x), 6)
+            if score >= p.min_score:
+                best[i] = max(best.get(i, (0, -9)), (score, -k))
+        found = {i: (-k, score) for i, (score, k) in best.items()}
+        known = {i: (k, 1.0) for i, k in seeds.items()} | found
+        if found == before:
+            break
+        before = found
+    return {i: k for i, (k, _) in found.items()}, rounds
+
+
+def test_rounds_equal_brute_force(spark):
+    rng, p = random.Random(3), PiiParams(salts=3, min_confidence=0.5, min_score=0.55)
+    occ = []
+    for c in range(40):  # chains of contexts: each shares instances with the next
+        for _ in range(rng.randint(5, 25)):
+            i = rng.randint(3 * c, 3 * c + 8)
+            seed = (c // 10) % 4 if c % 10 == 0 and rng.random() < 0.95 else None
+            occ.append((seed, f"i{i}", [f"p{c}", f"q{rng.randint(0, 400)}"]))
+    got = {r["inst"]: r["k"] for r in learn(spark.createDataFrame(occ, "k int, inst string, pats array<string>"), p).collect()}
+    want, rounds = learn_brute(occ, p)
+    assert got == want and len(want) > 10 and rounds > 2
+
+
+def test_known_instances_induce_patterns(spark, docs):
+    seeds = [f"please call me at +1 (415) 555-26{i:02d} after noon" for i in range(30)]
+    bridge = [f"please call me at 555-01{i:02d} after noon" for i in range(5)] + [f"dial our desk 555-01{i:02d} right away" for i in range(5)]
+    rows = list(enumerate([*seeds, *bridge, "dial our desk 77-1234 right away", "gate 77-9999 is shut"]))
+    got = {r["doc_id"]: [(KINDS[x["k"]], x["s"], x["e"]) for x in r["added"]] for r in find_pii(docs(*rows)).collect()}
+    assert got[40] == [("phone", 14, 21)] and got[41] == []
+    assert all(got[i] == [("phone", 14, 22)] for i in range(35, 40))
+    once = {r["doc_id"]: r["added"] for r in find_pii(docs(*rows), PiiParams(rounds=1)).collect()}
+    assert once[40] == [] and once[35]
+
+
+def test_many_tokens_in_one_text(spark, docs):
+    text = " ".join(f"tok{i} a{i}@x.com" if i % 10 == 0 else f"tok{i} word" for i in range(100_000))
+    began = time.perf_counter()
+    r = find_pii(docs((1, text))).first()
+    assert len(r["base"]) == 10_000 and time.perf_counter() - began < 60
+
+
+def test_one_doc_id_with_two_texts(spark, docs):
+    rows = [(1, "x a@b.cd"), (1, "write to longer@mail.example.org now"), (None, "+1 (415) 555-2671"), (None, None)]
+    assert sorted((r["text"] or "" for r in redact(docs(*rows)).collect())) == ["", "<phone>", "write to <email> now", "x <email>"]
+
+
 def test_edge_cases(spark, docs):
     many = " ".join(f"u{i}@x.com" for i in range(3000))
     rows = [(1, None), (2, ""), (3, many), (3, many), (None, "a@b.cd"), (4, "x" * 200_000 + "1" * 50_000)]
