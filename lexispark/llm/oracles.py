@@ -10,14 +10,12 @@ from .substring import SubstringParams
 
 def _quality() -> str:
     p = QualityParams()
-    vocabulary = p.vocabulary()
-    langs = ", ".join(f"'{x}'" for x in p.common_words)
     classes = {"accented": r"[\p{L}]"} | {k: rx for k, rx in CLASSES if k != "accented"}
     n = {k: f"len(regexp_extract_all(t, '{rx.replace(chr(39), chr(39) * 2)}'))" for k, rx in classes.items()}
     n["accented"] = f"({n['accented']} - {n['lower']} - {n['upper']})"
     cls = ", ".join(n[k] for k, _ in CLASSES)
-    wrd = ", ".join(f"len(list_filter(lw, lambda x: x = '{w}'))" for w in vocabulary)
-    known = ", ".join(f"'{w}'" for w in vocabulary)
+    k = p.n_common
+    counts = f"list_transform(range(1, {k + 1}), lambda i: len(list_filter(lw, lambda x: x = words[i])))"
     share = lambda c: f"list_transform({c}, lambda x: CASE WHEN list_sum({c}) > 0 THEN x / list_sum({c})::DOUBLE ELSE 0.0 END)"
     mean = lambda c, size: "[" + ", ".join(f"sum(round({c}[{i}] * 1000000)::BIGINT) / count(*) / 1000000" for i in range(1, size + 1)) + "]"
     js = lambda a, b: (
@@ -39,16 +37,22 @@ f AS (
   SELECT a.doc_id, lang, len(w)::BIGINT AS n_words, coalesce(length(array_to_string(w, '')), 0)::BIGINT AS word_chars,
          len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
          coalesce(r.n, 0)::BIGINT AS n_repeat_words, list_append([{cls}], 0) AS c0, length(t) AS chars,
-         list_append([{wrd}], len(list_filter(lw, lambda x: x NOT IN ({known})))) AS v
+         lw
   FROM a LEFT JOIN r USING (doc_id)),
 h AS (SELECT *, list_append(c0[1:{len(CLASSES)}], chars - list_sum(c0)) AS c, c0[1] + c0[2] + c0[3] AS letters,
              n_words < {p.min_words} OR 100 * n_repeat_words > {p.max_repeat_percent} * n_words AS base_failed FROM f),
-s AS (SELECT *, {share('c')} AS pc, {share('v')} AS pv FROM h),
-refs AS (SELECT lang AS ref, {mean('pc', len(CLASSES) + 1)} AS rc, {mean('pv', len(vocabulary) + 1)} AS rv
-         FROM s WHERE lang IN ({langs}) AND NOT base_failed AND letters >= {p.min_letters} GROUP BY 1),
-d AS (SELECT doc_id, ref, round({js('pc', 'rc')}, 6) AS dc, round({js('pv', 'rv')}, 6) AS dv, round({js('pc', 'rc')} + {js('pv', 'rv')}, 6) AS ds
-      FROM s, refs WHERE letters >= {p.min_letters} AND (lang IS NULL OR lang IN (SELECT ref FROM refs))),
-m AS (SELECT doc_id, ref, dc, dv FROM d QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY ds, ref) = 1)
+s AS (SELECT *, {share('c')} AS pc FROM h),
+tw AS (SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(lw) AS word FROM a WHERE lang IS NOT NULL) GROUP BY 1, 2),
+tk AS (SELECT lang, list(word ORDER BY i) AS words FROM (SELECT lang, word, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS i FROM tw) WHERE i <= {k} GROUP BY 1),
+tl AS (SELECT tk.* FROM tk JOIN (SELECT lang FROM documents GROUP BY 1 HAVING count(*) >= {p.min_docs}) USING (lang)),
+x AS (SELECT s.doc_id, s.lang, tl.lang AS ref, base_failed, letters, pc, {counts} AS v0, len(lw) AS runs FROM s, tl),
+y AS (SELECT *, {share('list_append(v0, runs - list_sum(v0))')} AS pv FROM x),
+refs AS (SELECT ref, {mean('pc', len(CLASSES) + 1)} AS rc, {mean('pv', k + 1)} AS rv
+         FROM y WHERE lang = ref AND NOT base_failed AND letters >= {p.min_letters} GROUP BY 1),
+d AS (SELECT doc_id, lang, ref, round({js('pc', 'rc')}, 6) AS dc, round({js('pv', 'rv')}, 6) AS dv, round({js('pc', 'rc')} + {js('pv', 'rv')}, 6) AS ds
+      FROM y JOIN refs USING (ref) WHERE letters >= {p.min_letters} AND (lang IS NULL OR lang IN (SELECT ref FROM refs))),
+m AS (SELECT doc_id, ref, dc, dv FROM d
+      QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN lang = ref AND dc <= {p.max_class_distance} AND dv <= {p.max_word_distance} THEN 0 ELSE 1 END, ds, ref) = 1)
 SELECT h.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND NOT coalesce(dc > {p.max_class_distance} OR dv > {p.max_word_distance}, false) AS kept,
        ref AS ref_lang, dc AS class_distance, dv AS word_distance
@@ -93,7 +97,8 @@ def _lines() -> str:
     same = lambda i, j: f"len(list_filter(range(1, least(length(a) - ({i}), length(b) - ({j})) + 1), lambda t: substring(a, ({i}) + 1, t) = substring(b, ({j}) + 1, t)))"
     return rf"""
 WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(0, len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents),
-c AS (SELECT *, regexp_matches(line, '[^ 	-]') AS worded FROM l),
+c AS (SELECT *, regexp_matches(line, '[^ 	-
+]') AS worded FROM l),
 f AS (SELECT line, length(line) AS len, doc_id AS k, pos AS p FROM c WHERE worded QUALIFY row_number() OVER (PARTITION BY line ORDER BY doc_id, pos) = 1),
 z AS (SELECT line, len, d, len - d AS n, {edits("(len - d)")} AS e FROM f, (SELECT unnest(range(0, {p.most_edits + 1})) AS d) WHERE len > d),
 y AS (SELECT *, unnest(range(0, e + 1)) AS seg FROM z WHERE e > 0 AND d <= e),

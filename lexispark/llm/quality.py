@@ -1,40 +1,36 @@
 """Quality rules by distribution divergence (DataFrame functions only).
 
 A document's character-class histogram and its common-word histogram are
-compared by Jensen-Shannon distance with references of each language.  The
-references are means over all documents of that language that pass the base
-rules, so they come from the corpus itself; which words count as common is a
-parameter.
+compared by Jensen-Shannon distance with references of the languages.  A reference
+is the mean over all documents of a language that pass the base rules, and its
+common words are the ``n_common`` most frequent words of all its documents, so both
+come from the corpus itself, for every language that labels ``min_docs`` documents.
 
-Two passes: the first turns each text into a row of counts (no shuffle) that is
-written to the shared folder, the second averages these small rows per language
-and scores them.  The references are at most one row per configured language,
-which bounds what is broadcast.
+A document is compared with the reference of its own language; if that one is too
+far, or the language is null, with all of them, and the nearest decides.
+
+Three passes: the first counts words by language (counts are aggregated before
+they are shuffled), the second turns each text into a row of counts (no shuffle) that
+is written to the shared folder, the third averages these rows per language and scores
+them.  Common words and references are a row per language, which bounds what the
+driver sees.
 
 Edge cases: a null text has no words and fails the length rule; null ``lang``
 never enters a reference but is scored; a document in a language without a
 reference, or shorter than the guard, is kept unless a base rule fails; with no
-reference at all every document that passes the base rules is kept; repeated
-rows give repeated results.
+reference at all every document that passes the base rules is kept; ties between
+common words go to the one that sorts first; repeated rows give repeated results.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD_BREAK, bind, stored, words
 
-#: Frequent function words of each language that can have a reference.
-COMMON_WORDS = {
-    "en": ("the", "of", "and", "to", "in", "is", "that", "it", "for", "on", "was", "with"),
-    "de": ("der", "die", "und", "den", "von", "zu", "das", "ist", "nicht", "ein", "mit", "auf"),
-    "fr": ("de", "la", "le", "et", "les", "des", "que", "un", "du", "une", "dans", "pour"),
-    "es": ("el", "los", "y", "las", "del", "se", "por", "con", "una", "su", "para", "al"),
-}
-
 #: Character classes; what is in none of them counts as other.
 CLASSES = (
     ("lower", r"[a-z]"),
@@ -54,10 +50,12 @@ class QualityParams:
     min_letters: int = 200
     max_class_distance: float = 0.30
     max_word_distance: float = 0.45
-    common_words: dict[str, tuple[str, ...]] = field(default_factory=lambda: COMMON_WORDS)
-
-    def vocabulary(self) -> list[str]:
-        return list(dict.fromkeys(w for ws in self.common_words.values() for w in ws))
+    #: most frequent words of a language that make its histogram
+    n_common: int = 12
+    #: documents that a language needs for a reference
+    min_docs: int = 10
+    #: parts of a language's words in the first ranking
+    salts: int = 32
 
 
 def repeated_words(ws: Column) -> Column:
@@ -103,19 +101,37 @@ def repeated_words(ws: Column) -> Column:
     return bind(grams, lambda g: F.when(F.size(F.array_distinct(g)) < F.size(g), covered(g)).otherwise(F.lit(0).cast("long")))
 
 
-def features(docs: DataFrame, p: QualityParams) -> DataFrame:
-    """Counts of each document: base counts, class histogram, common-word histogram."""
-    vocabulary = p.vocabulary()
+def lowered(text: Column) -> Column:
+    """Runs of letters in lower case, and empty strings at the ends."""
+    return F.split(F.lower(text), r"[^\p{L}]+")
+
+
+def common_words(docs: DataFrame, p: QualityParams) -> dict[str, list[str]]:
+    """The most frequent words of each language with enough documents."""
+    labelled = docs.select("lang", "text").filter(F.col("lang").isNotNull())
+    enough = labelled.groupBy("lang").agg(F.count("*").alias("n")).filter(F.col("n") >= p.min_docs).select("lang")
+    seen = labelled.select("lang", F.explode(lowered(F.coalesce("text", F.lit("")))).alias("word")).filter(F.col("word") != "")
+    seen = seen.groupBy("lang", "word").agg(F.count("*").alias("n")).join(enough, "lang", "left_semi")
+    # a language's words are ranked in parts first, as one may have most of all words
+    for part in (F.pmod(F.xxhash64("word"), F.lit(p.salts)), F.lit(0)):
+        rank = F.row_number().over(Window.partitionBy("lang", part).orderBy(F.col("n").desc(), "word"))
+        seen = seen.withColumn("i", rank).filter(F.col("i") <= p.n_common)
+    found: dict[str, list[str]] = {r["lang"]: [] for r in enough.collect()}
+    for r in seen.orderBy("lang", "i").collect():
+        found[r["lang"]].append(r["word"])
+    return found
+
+
+def features(docs: DataFrame, vocabulary: list[str], p: QualityParams) -> DataFrame:
+    """Counts of each document: base counts, class histogram, the common words it has."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    code = F.create_map(*[F.lit(x) for i, w in enumerate(vocabulary) for x in (w, chr(0x4E00 + i))])
     df = docs.select("doc_id", "lang", text.alias("_t")).withColumn("_w", words(F.col("_t")))
     lines = F.filter(F.split("_t", "\n"), lambda s: s.rlike(r"[^\x20\x09-\x0D]"))
     # a column of its own, as two expressions use it
-    df = df.withColumn("_l", F.split(F.lower("_t"), r"[^\p{L}]+"))
-    lowered = F.col("_l")
-    common = F.array_join(
-        F.transform(F.filter(lowered, lambda w: w.isin(*vocabulary)), lambda w: F.element_at(code, w)), ""
-    )
+    df = df.withColumn("_l", F.filter(lowered(F.col("_t")), lambda w: w != ""))
+    removed = lambda rx: (F.length("_t") - F.length(F.regexp_replace("_t", rx, ""))).cast("long")
+    # frequent classes go run by run
+    counts = [removed(rx + "+") if name in ("lower", "space") else F.regexp_count("_t", F.lit(rx)).cast("long") for name, rx in CLASSES]
     df = df.select(
         "doc_id",
         "lang",
@@ -125,24 +141,28 @@ def features(docs: DataFrame, p: QualityParams) -> DataFrame:
         bind(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("_w")).alias("n_repeat_words"),
         F.length("_t").cast("long").alias("_chars"),
-        F.array(*[F.regexp_count("_t", F.lit(rx)).cast("long") for _, rx in CLASSES]).alias("_cls"),
-        F.size(F.filter(lowered, lambda w: w != "")).cast("long").alias("_runs"),
-        common.alias("_common"),
+        F.array(*counts).alias("_cls"),
+        F.size("_l").cast("long").alias("_runs"),
+        F.filter("_l", lambda w: w.isin(*vocabulary) if vocabulary else F.lit(False)).alias("_common"),
     )
-    counts = [(F.length("_common") - F.length(F.replace("_common", F.lit(chr(0x4E00 + i))))).cast("long") for i in range(len(vocabulary))]
     total = F.aggregate("_cls", F.lit(0).cast("long"), lambda a, x: a + x)
     return (
         df.withColumn("_cls", F.concat("_cls", F.array(F.col("_chars") - total)))
-        .withColumn("_wrd", F.concat(F.array(*counts), F.array(F.col("_runs") - F.length("_common"))))
         .withColumn("_letters", F.get("_cls", 0) + F.get("_cls", 1) + F.get("_cls", 2))
         .withColumn(
             "base_failed",
             (F.col("n_words") < p.min_words) | (100 * F.col("n_repeat_words") > p.max_repeat_percent * F.col("n_words")),
         )
-        .drop("_chars", "_runs", "_common")
+        .drop("_chars")
     )
 
 
+def word_counts(of: Column, p: QualityParams) -> Column:
+    """How often a document has each of the words ``of`` (fewer than n_common: zeros), and all others."""
+    counts = F.transform(F.sequence(F.lit(0), F.lit(p.n_common - 1)), lambda i: bind(F.get(of, i), lambda w: F.size(F.filter("_common", lambda x: x == w)).cast("long")))
+    return bind(counts, lambda c: F.concat(c, F.array(F.col("_runs") - F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x))))
+
+
 def shares(counts: Column) -> Column:
     return bind(
         counts,
@@ -163,48 +183,47 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(divergence, F.lit(0.0)))
 
 
-def references(feats: DataFrame, p: QualityParams) -> DataFrame:
-    """One row: the array of (lang, class shares, word shares), means over documents."""
-    n_cls, n_wrd = len(CLASSES) + 1, len(p.vocabulary()) + 1
-    rows = feats.filter(F.col("lang").isin(*p.common_words) & ~F.col("base_failed") & (F.col("_letters") >= p.min_letters))
-    rows = rows.select("lang", shares(F.col("_cls")).alias("_c"), shares(F.col("_wrd")).alias("_v"))
+def references(feats: DataFrame, common: dict[str, list[str]], p: QualityParams) -> DataFrame:
+    """One row: the array of (lang, words, class shares, word shares), means over documents."""
+    table = feats.sparkSession.createDataFrame([(k, v) for k, v in common.items()], "_lang string, _of array<string>")
+    rows = feats.filter(~F.col("base_failed") & (F.col("_letters") >= p.min_letters)).join(table, F.col("lang") == F.col("_lang"))
+    rows = rows.select("lang", "_of", shares(F.col("_cls")).alias("_c"), shares(word_counts(F.col("_of"), p)).alias("_v"))
     # means of millionths as integers: the sum does not depend on the order of rows
     unit = lambda c, i: F.sum(F.round(F.get(c, i) * 1_000_000).cast("long")) / F.count("*") / 1_000_000
     means = rows.groupBy("lang").agg(
-        F.array(*[unit(F.col("_c"), i) for i in range(n_cls)]).alias("c"),
-        F.array(*[unit(F.col("_v"), i) for i in range(n_wrd)]).alias("v"),
+        F.first("_of").alias("of"),
+        F.array(*[unit(F.col("_c"), i) for i in range(len(CLASSES) + 1)]).alias("c"),
+        F.array(*[unit(F.col("_v"), i) for i in range(p.n_common + 1)]).alias("v"),
     )
-    return means.agg(F.array_sort(F.collect_list(F.struct("lang", "c", "v"))).alias("_refs"))
+    return means.agg(F.array_sort(F.collect_list(F.struct("lang", "of", "c", "v"))).alias("_refs"))
 
 
 def quality_rules(docs: DataFrame, params: QualityParams | None = None) -> DataFrame:
     """Base counts and the verdict of each document.
 
     ``docs`` needs doc_id, text and lang.  Returns doc_id, n_words, word_chars,
-    n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, ref_lang (nearest
-    reference; null where the guard applies), class_distance, word_distance.
+    n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, ref_lang (the
+    reference that decides; null where the guard applies), class_distance, word_distance.
     """
     p = params or QualityParams()
-    feats = stored(features(docs, p), "quality")
-    scored = feats.crossJoin(F.broadcast(references(feats, p)))  # one row
+    common = common_words(docs, p)
+    feats = stored(features(docs, sorted({w for ws in common.values() for w in ws}), p), "quality")
+    scored = feats.crossJoin(F.broadcast(references(feats, common, p)))  # one row
     judged = (F.col("_letters") >= p.min_letters) & (F.col("lang").isNull() | F.exists("_refs", lambda r: r["lang"] == F.col("lang")))
-    near = bind(
-        F.struct(shares(F.col("_cls")).alias("c"), shares(F.col("_wrd")).alias("v")),
-        lambda d: F.array_min(
-            F.transform(
-                "_refs",
-                lambda r: bind(
-                    F.struct(js_distance(d["c"], r["c"]).alias("c"), js_distance(d["v"], r["v"]).alias("v")),
-                    lambda x: F.struct(F.round(x["c"] + x["v"], 6).alias("sum"), r["lang"].alias("lang"), F.round(x["c"], 6).alias("c"), F.round(x["v"], 6).alias("v")),
-                ),
-            )
-        ),
-    )
+
+    def distances(r: Column) -> Column:
+        return bind(
+            F.struct(js_distance(shares(F.col("_cls")), r["c"]).alias("c"), js_distance(shares(word_counts(r["of"], p)), r["v"]).alias("v")),
+            lambda x: F.struct(F.round(x["c"] + x["v"], 6).alias("sum"), r["lang"].alias("lang"), F.round(x["c"], 6).alias("c"), F.round(x["v"], 6).alias("v")),
+        )
+
+    far = lambda x: (x["c"] > p.max_class_distance) | (x["v"] > p.max_word_distance)
+    own = F.get(F.transform(F.filter("_refs", lambda r: r["lang"] == F.col("lang")), distances), 0)
+    near = bind(own, lambda o: F.when(o.isNotNull() & ~far(o), o).otherwise(F.array_min(F.transform("_refs", distances))))
     scored = scored.withColumn("_near", F.when(judged & (F.size("_refs") > 0), near))
-    rejected = (F.col("_near.c") > p.max_class_distance) | (F.col("_near.v") > p.max_word_distance)
     return scored.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & ~F.coalesce(rejected, F.lit(False))).alias("kept"),
+        (~F.col("base_failed") & ~F.coalesce(far(F.col("_near")), F.lit(False))).alias("kept"),
         F.col("_near.lang").alias("ref_lang"),
         F.col("_near.c").alias("class_distance"),
         F.col("_near.v").alias("word_distance"),

@@ -21,7 +21,7 @@ def test_stages_equal_brute_force(spark):
             keep = {r["doc_id"] for r in quality_rules(docs).collect() if r["kept"]}
             assert {r["doc_id"]: tuple(r) for r in out} == {k: (r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"]) for k, r in now.items() if k in keep}
         elif name == "line dedup":
-            want = {x[0]: x[5] for x in lines_brute([(k, r["text"]) for k, r in now.items()], 1)}
+            want = {x[0]: x[5] for x in lines_brute([(k, r["text"]) for k, r in now.items()])}
             want = {k: t for k, t in want.items() if t.strip() or t == now[k]["text"]}
             assert {r["doc_id"]: r["text"] for r in out} == want
             assert all(r["n_chars"] == len(r["text"]) for r in out)

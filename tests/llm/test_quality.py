@@ -54,3 +54,19 @@ def test_edge_cases(spark, docs):
     assert quality_filter(docs(*rows)).count() == 2
     assert quality_rules(docs(*rows).filter("false")).count() == 0
     assert QualityParams().min_words == 50
+
+
+def test_any_language_gets_a_reference(spark, docs):
+    alphabet = {"pt": "abcdeor", "pl": "szcyrnia"}
+
+    def text(lang, seed):
+        rng, fixed = random.Random(f"{lang}{seed}"), random.Random(lang)
+        common = ["".join(fixed.choice(alphabet[lang]) for _ in range(3)) for _ in range(12)]
+        return " ".join(rng.choice(common) if rng.random() < 0.5 else "".join(rng.choice(alphabet[lang]) for _ in range(7)) for _ in range(150))
+
+    rows = [(100 * k + i, text(lang, i), lang) for k, lang in enumerate(alphabet) for i in range(30)]
+    rows += [(900, text("pl", 900).replace("a", "#%"), "pl"), (901, text("pl", 901), "pt"), (902, text("pt", 902), None), (903, "7 " * 20 + " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(120)), "pt"), (904, text("pt", 904), "xx")]
+    got = {r["doc_id"]: (r["kept"], r["ref_lang"]) for r in quality_rules(docs(*rows)).collect()}
+    assert all(got[100 * k + i] == (True, lang) for k, lang in enumerate(alphabet) for i in range(30))
+    assert got[901] == (True, "pl") and got[902] == (True, "pt") and got[904] == (True, None)
+    assert not got[903][0]
