@@ -1,21 +1,23 @@
 """Bulk ingest: indexes to links to pages to tables, with change and health reports.
 
 Every step is a table, so a run is a handful of jobs whatever the number of
-pages.  New rows are staged and swapped in; failed pages never delete old rows.
+pages.  New rows are staged and swapped in; failed pages never delete old rows:
+what a page gave stays until the page gives something else or no index lists it.
 """
 
 from __future__ import annotations
 
 import time
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import urls
+from ..functions import quality, urls
 from ..sources import fetch as source
 from ..sources.store import Store
-from . import diff, lookup, pages
+from . import diff, lookup, merge, pages
 
 
 @dataclass(frozen=True)
@@ -50,10 +52,16 @@ def report(run: Ingest, doc_type: str, before: DataFrame, after: DataFrame, tota
     return judged
 
 
+#: Where the URL of a link names its taxonomy.
+FOLDERS = {"tax-answer": r"/taxanswer/([^/]+)/", "qa-jirei": r"/shitsugi/([^/]+)/"}
+
+
 def links_of(run: Ingest, index: DataFrame, kind: str, limit: int | None, taxonomies: list[str] | None) -> DataFrame:
     """Links of index pages; ``limit`` caps the links of each index page, 0 or None keeps all."""
     found = pages.index_links(source.parsed(run.pages(index, f"{kind}-index")), kind)
-    if taxonomies and "taxonomy" in found.columns:
+    if taxonomies:
+        if kind in FOLDERS:
+            found = found.withColumn("taxonomy", F.regexp_extract("url", FOLDERS[kind], 1))
         found = diff.scoped(found, "taxonomy", taxonomies)
     found = lookup.capped(found, ["page_url"], [F.col("pos")], limit)
     return found.select("url", F.col("title").alias("link_title"), F.col("issued_at").alias("link_issued_at")).dropDuplicates(["url"])
@@ -74,6 +82,9 @@ def documents(run: Ingest, doc_type: str, index: DataFrame, limit: int | None =
     parsed = source.parsed(raw)
     made = pages.tax_answers(parsed) if doc_type == "tax-answer" else pages.qa_cases(parsed) if doc_type == "qa-jirei" else pages.document_pages(parsed, doc_type)
     made = made.join(links, made["source_url"] == links["url"], "left").withColumn("issued_at", F.coalesce("issued_at", "link_issued_at"))
+    path = f"{run.store.root}/raw/{doc_type}-made-{time.time_ns()}"
+    made.write.parquet(path)
+    made = run.store.spark.read.parquet(path)
     good = made.filter(F.col("error").isNull() & (F.col("doc_id") != ""))
     own = run.store["document"]
     before = own.read().filter(F.col("doc_type") == doc_type).select("doc_id", "content_hash", "title")
@@ -88,7 +99,9 @@ def documents(run: Ingest, doc_type: str, index: DataFrame, limit: int | None =
 def circulars(run: Ingest, contents: DataFrame, only_chapter: int | None = None) -> DataFrame:
     """Ingest circulars from their tables of contents (formal_name, abbr, url); returns a report per circular.
 
-    A circular's rows are replaced as a whole, and only if one of its pages was read.
+    The clauses of a page replace those it gave before.  A listed page that could not
+    be read, or has no clause, keeps its old ones; clauses of pages that the contents no
+    longer list leave.  A circular whose contents could not be read stays as it is.
     """
     began, spark = time.time(), run.store.spark
     named = contents.select("formal_name", "abbr", "url", F.xxhash64("formal_name").alias("id"))
@@ -104,36 +117,46 @@ def circulars(run: Ingest, contents: DataFrame, only_chapter: int | None = None)
     clauses = pages.section_clauses(source.parsed(raw))
     placed = clauses.join(entries.select("circular_id", "chapter_number", "section_number", "url"), "url")
     own = placed.select(
-        F.xxhash64("circular_id", "clause_number").alias("id"), "circular_id", "clause_number", F.col("url").alias("source_url"), "chapter_number", "section_number", "title", "full_text", "paragraphs",
-    ).dropDuplicates(["circular_id", "clause_number"])
+        F.xxhash64("circular_id", "clause_number").alias("id"), "circular_id", "clause_number", F.col("url").alias("source_url"), "chapter_number", "section_number", "title", "full_text", "paragraphs", "pos",
+    )
+    own = merge.latest(own, ["circular_id", "clause_number"], "pos")
     heads = named.select("id", "formal_name", "abbr", F.col("url").alias("source_root_url"))
     reports, names = [], [r["formal_name"] for r in named.collect()]
     before = {n: diff.clause_snapshot(run.store.read("clause"), run.store.read("circular"), n) for n in names}
     run.store["circular"].merge(heads)
     run.store["chapter"].merge(entries.select("circular_id", F.col("chapter_number").alias("number"), F.col("chapter_title").alias("title")).distinct())
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("clause_number", "title", "full_text"))), lambda c: F.concat(c["clause_number"], F.lit("\n"), c["title"], F.lit("\n"), c["full_text"], F.lit("\n---\n"))), "")
-    hashes = own.groupBy("circular_id", "chapter_number", "section_number").agg(F.sha1(body.cast("binary")).alias("content_hash"))
+    hashes = own.groupBy("circular_id", "chapter_number", "section_number").agg(quality.ordered_hash(F.col("pos"), F.col("clause_number"), F.col("title"), F.col("full_text")).alias("content_hash"))
     stamped = entries.join(raw.filter("error IS NULL").select("url", "fetched_at"), "url").join(hashes, ["circular_id", "chapter_number", "section_number"], "left")
     run.store["section"].merge(stamped.select("circular_id", "chapter_number", "section_number", F.col("section_title").alias("title"), "url", "fetched_at", "content_hash"))
-    partition = ["circular_id", "chapter_number"] if only_chapter else ["circular_id"]
-    run.store["clause"].replace(own, partition)
+    scope = entries.select("circular_id", *(["chapter_number"] if only_chapter else [])).distinct()
+    unread = entries.select("circular_id", F.col("url").alias("source_url")).distinct().join(own.select("circular_id", "source_url").distinct(), ["circular_id", "source_url"], "left_anti")
+    old = run.store["clause"].read()
+    kept = old.join(scope, scope.columns, "left_anti").unionByName(old.join(scope, scope.columns, "left_semi").join(unread, ["circular_id", "source_url"], "left_semi").select(*old.columns))
+    run.store["clause"].overwrite(merge.upserted(kept, own, ["circular_id", "clause_number"]))
     bad = raw.filter("error IS NOT NULL").select("url")
     counts = {r["circular_id"]: (r["n"], r["bad"]) for r in entries.join(bad.withColumn("_b", F.lit(1)), "url", "left").groupBy("circular_id").agg(F.count("*").alias("n"), F.count("_b").alias("bad")).collect()}
     ids = {r["formal_name"]: r["id"] for r in named.collect()}
+    kinds = {r["formal_name"]: r["kind"] for r in named.select("formal_name", F.coalesce(urls.baseline_type(F.col("formal_name")), F.concat(F.lit("tsutatsu-"), "formal_name")).alias("kind")).collect()}
     for n in names:
         after = diff.clause_snapshot(run.store.read("clause"), run.store.read("circular"), n)
         total, failed = counts.get(ids[n], (0, 0))
-        kind = "tsutatsu-" + urls.TOC_STYLES.get(n, "shohi")
-        reports.append(report(run, kind, before[n], after, total, failed, began, record=not only_chapter))
-    out = reports[0]
-    for r in reports[1:]:
-        out = out.unionByName(r)
-    return out
+        reports.append(report(run, kinds[n], before[n], after, total, failed, began, record=not only_chapter))
+    if not reports:  # no circular: a report without rows
+        none = run.store.read("clause").limit(0).select(F.col("clause_number").alias("doc_id"), F.lit("").alias("content_hash"), "title")
+        return report(run, "tsutatsu", none, none, 0, 0, began, record=False).limit(0)
+    return reduce(DataFrame.unionByName, reports)
 
 
-def write_back(run: Ingest, section: DataFrame) -> None:
-    """Merge live clauses (the columns of the clause table) into the store."""
-    run.store["clause"].merge(section)
+def live_documents(run: Ingest, doc_type: str, targets: DataFrame) -> DataFrame:
+    """Documents of single pages (column url), read now and merged into the store; pages without one are left out."""
+    parsed = source.parsed(run.pages(targets, "live"))
+    made = pages.tax_answers(parsed) if doc_type == "tax-answer" else pages.qa_cases(parsed) if doc_type == "qa-jirei" else pages.document_pages(parsed, doc_type)
+    good = made.filter(F.col("error").isNull() & (F.col("doc_id") != ""))
+    path = f"{run.store.root}/raw/live-made-{time.time_ns()}"
+    good.write.parquet(path)
+    good = run.store.spark.read.parquet(path)
+    run.store["document"].merge(good)
+    return good.select(*run.store["document"].read().columns)
 
 
 def canaries(run: Ingest, targets: DataFrame) -> DataFrame:

@@ -12,10 +12,9 @@ from pyspark.sql import functions as F
 
 
 def latest(rows: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
-    """One row per key: the one with the greatest ``order``, else any."""
-    if order is None:
-        return rows.dropDuplicates(keys)
-    w = Window.partitionBy(*keys).orderBy(F.col(order).desc_nulls_last())
+    """One row per key: the one with the greatest ``order``; ties go by the content, so that a rerun gives the same."""
+    content = F.xxhash64(*[F.col(c) for c in rows.columns])
+    w = Window.partitionBy(*keys).orderBy(*([] if order is None else [F.col(order).desc_nulls_last()]), content)
     return rows.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == 1).drop("_r")
 
 

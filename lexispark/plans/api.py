@@ -6,7 +6,9 @@ freshness of its data and what it binds.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import cached_property
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import pdf, text, urls
@@ -23,17 +25,21 @@ TEXT = ("title", "full_text")
 class Engine:
     def __init__(self, spark: SparkSession, root: str | None = None, now: str | None = None, fetcher: source.Fetcher = source.http_get, params: source.FetchParams | None = None):
         self.store = Store(spark, root)
-        self.spark, self.now = spark, now
+        self.spark, self._now = spark, now
         self.run = ingest.Ingest(self.store, fetcher, params or source.FetchParams(), now)
 
+    @cached_property
+    def now(self) -> str:
+        """The time that freshness is told against: as given, else that of the first question."""
+        return self._now or str(self.spark.sql("SELECT current_timestamp()").first()[0])
+
     # -- search
 
     def _binding(self, doc_type: str) -> Column:
         return F.struct(*[F.lit(v).alias(k) for k, v in legal_status(doc_type).items()])
 
     def _fresh(self, found: DataFrame, rows: DataFrame) -> DataFrame:
-        now = self.now or str(self.spark.sql("SELECT current_timestamp()").first()[0])
-        one = diff.freshness(rows, "fetched_at", now, hint="ingest again").select(F.struct("oldest", "newest", "n", "days", "staleness", "warning").alias("freshness"))
+        one = diff.freshness(rows, "fetched_at", self.now, hint="ingest again").select(F.struct("oldest", "newest", "n", "days", "staleness", "warning").alias("freshness"))
         return found.join(F.broadcast(one), how="left")  # one row at most
 
     def search_circulars(self, keyword: str, formal_name: str | None = None, limit: int | None = None) -> DataFrame:
@@ -105,15 +111,26 @@ class Engine:
         rows = self.store.read("document")
         return lookup.with_fallback(requests, rows, rows.limit(0) if live is None else live.select(*rows.columns), ["doc_type", "doc_id"])
 
-    def get_qa(self, topic: str, category: str, number: str) -> DataFrame:
+    def get_or_fetch(self, doc_type: str, doc_id: str, url: str | None) -> DataFrame:
+        """The stored document; with a ``url``, one that is not stored is read from there and written back."""
+        asked = self._ask(doc_type, doc_id)
+        found = self.get_documents(asked)
+        if url is None or not found.isEmpty():
+            return found
+        return self.get_documents(asked, ingest.live_documents(self.run, doc_type, self.spark.createDataFrame([(url,)], "url string")).filter(F.col("doc_id") == doc_id)).withColumn("source", F.lit("live"))
+
+    def get_qa(self, topic: str, category: str, number: str, site: str | None = None) -> DataFrame:
+        """With a ``site`` (scheme and host) a case that is not stored is fetched."""
         if topic not in QA_TOPICS:
             raise ValueError(f"unknown topic {topic}")
-        return self.get_documents(self._ask("qa-jirei", f"{topic}/{category.zfill(2)}/{number.zfill(2)}"))
+        doc_id = f"{topic}/{category.zfill(2)}/{number.zfill(2)}"
+        return self.get_or_fetch("qa-jirei", doc_id, site and f"{site}/law/shitsugi/{doc_id}.htm")
 
-    def get_tax_answer(self, number: str) -> DataFrame:
+    def get_tax_answer(self, number: str, site: str | None = None) -> DataFrame:
+        """With a ``site`` (scheme and host) an answer that is not stored is fetched."""
         if number[:1] not in urls.ANSWER_FOLDERS:
             raise ValueError(f"no folder for {number}")
-        return self.get_documents(self._ask("tax-answer", number))
+        return self.get_or_fetch("tax-answer", number, site and f"{site}/taxes/shiraberu/taxanswer/{urls.ANSWER_FOLDERS[number[:1]]}/{number}.htm")
 
     def get_revision(self, doc_id: str) -> DataFrame:
         return self.get_documents(self._ask("kaisei", doc_id))
@@ -130,6 +147,14 @@ class Engine:
     def available_documents(self, doc_type: str, limit: int = 30) -> DataFrame:
         return lookup.available_documents(self.store.read("document"), doc_type, limit)
 
+    def available_on_miss(self, requests: DataFrame, limit: int = 30) -> DataFrame:
+        """For every request (doc_type, doc_id) that is not stored, the latest documents of its type: asked, rank, doc_id, title, issued_at."""
+        rows = self.store.read("document")
+        missed = requests.select("doc_type", "doc_id").distinct().join(rows, ["doc_type", "doc_id"], "left_anti").withColumnRenamed("doc_id", "asked")
+        order = Window.partitionBy("doc_type").orderBy(F.col("issued_at").desc_nulls_last(), F.col("doc_id").desc())
+        some = rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).select("doc_type", "rank", "doc_id", "title", "issued_at")
+        return missed.join(some, "doc_type").select("doc_type", "asked", "rank", "doc_id", "title", "issued_at")
+
     def resolve_abbreviations(self, names: DataFrame) -> DataFrame:
         return names.select("abbr", urls.resolve_abbreviation(F.col("abbr")).alias("_r")).select("abbr", "_r.*")
 
@@ -143,8 +168,7 @@ class Engine:
         circulars = self.store.read("circular").select(F.col("id").alias("circular_id"), "formal_name")
         rows = self.store.read("section").join(circulars, "circular_id")
         test = lookup.given(formal_name=formal_name)
-        now = self.now or str(self.spark.sql("SELECT current_timestamp()").first()[0])
-        return diff.stale(rows if test is None else rows.filter(test), "fetched_at", now, days, ["formal_name", "chapter_number", "section_number"])
+        return diff.stale(rows if test is None else rows.filter(test), "fetched_at", self.now, days, ["formal_name", "chapter_number", "section_number"])
 
     # -- renderings
 

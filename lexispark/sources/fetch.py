@@ -33,6 +33,8 @@ class FetchParams:
     backoff: float = 1.0
     #: seconds between requests to a host
     interval: float = 1.1
+    #: bodies that are held before they are handed on
+    batch: int = 32
     agent: str = "lexispark"
 
 
@@ -70,17 +72,18 @@ def fetch(targets: DataFrame, fetcher: Fetcher = http_get, params: FetchParams |
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: dict[str, float] = {}
         for batch in batches:
-            rows = []
-            for url in batch.column("url").to_pylist():
-                host = pages.host_of(url or "")
-                wait = last.get(host, 0.0) + p.interval - time.monotonic()
-                if wait > 0:
-                    time.sleep(wait)
-                rows.append((url, *fetch_one(url, fetcher, p)))
-                last[host] = time.monotonic()
-            body, kind, status, tries, error = ([r[i] for r in rows] for i in range(1, 6))
-            cols = [batch.column("url"), pa.array(body, pa.binary()), pa.array(kind, pa.string()), pa.array(status, pa.int32()), pa.array(tries, pa.int32()), pa.array(error, pa.string())]
-            yield pa.RecordBatch.from_arrays(cols, names=["url", "content", "content_type", "status", "attempts", "error"])
+            urls = batch.column("url").to_pylist()
+            for at in range(0, len(urls), p.batch):  # bodies are handed on in small batches
+                own, rows = urls[at : at + p.batch], []
+                for url in own:
+                    host = pages.host_of(url or "")
+                    wait = last.get(host, 0.0) + p.interval - time.monotonic()
+                    if wait > 0:
+                        time.sleep(wait)
+                    rows.append((url, *fetch_one(url, fetcher, p)))
+                    last[host] = time.monotonic()
+                kinds = (pa.string(), pa.binary(), pa.string(), pa.int32(), pa.int32(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["url", "content", "content_type", "status", "attempts", "error"])
 
     host = F.regexp_extract("url", r"^[a-z]+://([^/?#]+)", 1)
     dealt = targets.select("url").distinct().repartition(host).select("url")

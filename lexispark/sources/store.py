@@ -22,6 +22,8 @@ def default_root() -> str:
 
 class Store:
     def __init__(self, spark: SparkSession, root: str | None = None):
+        if root is None and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("name a root that all executors share")
         self.spark, self.root = spark, root or default_root()
         self.tables = {n: Table(spark, self.root, n, ddl, keys, SCHEMA_VERSION) for n, (ddl, keys) in TABLES.items()}
 

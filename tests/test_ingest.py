@@ -118,6 +118,52 @@ def test_circular_end_to_end(spark, engine):
     assert ok == {"a": True, "b": False}
 
 
+def test_failed_pages_keep_their_clauses(spark, tmp_path):
+    pages_ = site()
+    down, contents = set(), [TOC]
+
+    def get(url, timeout):
+        path = url.removeprefix(BASE)
+        if path in down:
+            return (503, "", b"")
+        return (200, "text/html; charset=Shift_JIS", contents[0].encode("cp932")) if path == "/toc.htm" else pages_(url, timeout)
+
+    e = Engine(spark, f"file://{tmp_path}", "2026-05-01T00:00:00Z", get, fetch.FetchParams(retries=0, interval=0.0))
+    toc = spark.createDataFrame([("消費税法基本通達", "消基通", f"{BASE}/toc.htm")], "formal_name string, abbr string, url string")
+    numbers = lambda: sorted(r["clause_number"] for r in e.store.read("clause").collect())
+    ingest.circulars(e.run, toc)
+    everything = numbers()
+    assert len(everything) == 6
+    down.add("/01/02.htm")
+    assert ingest.circulars(e.run, toc).first()["failed"] == 2 and numbers() == everything
+    down.add("/toc.htm")
+    ingest.circulars(e.run, toc)
+    assert numbers() == everything
+    down.discard("/toc.htm")
+    contents[0] = TOC.replace("01/02.htm", "01/01.htm")  # the contents drop a page
+    ingest.circulars(e.run, toc)
+    assert numbers() == [n for n in everything if n.startswith("1-1-")]
+    assert ingest.circulars(e.run, toc.filter("false")).count() == 0
+
+
+def test_allow_list_and_live_documents(spark, tmp_path):
+    links = '<div id="bodyArea"><ul><li><a href="/taxes/shiraberu/taxanswer/shohi/6101.htm">6101 a</a></li><li><a href="/taxes/shiraberu/taxanswer/gensen/2502.htm">2502 b</a></li></ul></div>'
+    at = {"/answers.htm": links, "/taxes/shiraberu/taxanswer/shohi/6101.htm": ANSWER, "/taxes/shiraberu/taxanswer/gensen/2502.htm": ANSWER.replace("6101", "2502"), "/law/shitsugi/shohi/03/07.htm": QA}
+    get = lambda url, timeout: (200, "text/html; charset=utf-8", at[url.removeprefix(BASE)].encode()) if url.removeprefix(BASE) in at else (404, "", b"")
+    e = Engine(spark, f"file://{tmp_path}", "2026-05-01T00:00:00Z", get, fetch.FetchParams(retries=0, interval=0.0))
+    index = spark.createDataFrame([(f"{BASE}/answers.htm",)], "url string")
+    assert ingest.documents(e.run, "tax-answer", index, taxonomies=["gensen"]).first()["total"] == 1
+    assert [r["doc_id"] for r in e.store.read("document").collect()] == ["2502"]
+    assert e.get_tax_answer("6101").count() == 0
+    asked = spark.createDataFrame([("tax-answer", "6101"), ("tax-answer", "2502")], "doc_type string, doc_id string")
+    assert [(r["asked"], r["doc_id"]) for r in e.available_on_miss(asked).collect()] == [("6101", "2502")]
+    live = e.get_tax_answer("6101", site=BASE)
+    assert live.first()["source"] == "live" and "消費税のしくみ" in e.document_markdown(live).first()["markdown"]
+    assert e.get_tax_answer("6101").first()["source"] == "db"
+    assert e.get_qa("shohi", "3", "7", site=BASE).first()["doc_id"] == "shohi/03/07"
+    assert e.get_qa("shohi", "3", "9", site=BASE).count() == 0
+
+
 def test_retry_and_charset(spark):
     seen = []
 
