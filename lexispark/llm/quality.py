@@ -109,16 +109,17 @@ def lowered(text: Column) -> Column:
 def common_words(docs: DataFrame, p: QualityParams) -> dict[str, list[str]]:
     """The most frequent words of each language with enough documents."""
     labelled = docs.select("lang", "text").filter(F.col("lang").isNotNull())
-    enough = labelled.groupBy("lang").agg(F.count("*").alias("n")).filter(F.col("n") >= p.min_docs).select("lang")
+    enough = labelled.groupBy("lang").agg(F.count("*").alias("n")).filter(F.col("n") >= p.min_docs)
     seen = labelled.select("lang", F.explode(lowered(F.coalesce("text", F.lit("")))).alias("word")).filter(F.col("word") != "")
-    seen = seen.groupBy("lang", "word").agg(F.count("*").alias("n")).join(enough, "lang", "left_semi")
+    seen = seen.groupBy("lang", "word").agg(F.count("*").alias("n"))
     # a language's words are ranked in parts first, as one may have most of all words
     for part in (F.pmod(F.xxhash64("word"), F.lit(p.salts)), F.lit(0)):
         rank = F.row_number().over(Window.partitionBy("lang", part).orderBy(F.col("n").desc(), "word"))
         seen = seen.withColumn("i", rank).filter(F.col("i") <= p.n_common)
     found: dict[str, list[str]] = {r["lang"]: [] for r in enough.collect()}
     for r in seen.orderBy("lang", "i").collect():
-        found[r["lang"]].append(r["word"])
+        if r["lang"] in found:
+            found[r["lang"]].append(r["word"])
     return found
 
 
