@@ -24,6 +24,7 @@ common words go to the one that sorts first; repeated rows give repeated results
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -129,7 +130,8 @@ def features(docs: DataFrame, vocabulary: list[str], p: QualityParams) -> DataFr
     df = docs.select("doc_id", "lang", text.alias("_t")).withColumn("_w", words(F.col("_t")))
     lines = F.filter(F.split("_t", "\n"), lambda s: s.rlike(r"[^\x20\x09-\x0D]"))
     # a column of its own, as two expressions use it
-    df = df.withColumn("_l", F.filter(lowered(F.col("_t")), lambda w: w != ""))
+    df = df.withColumn("_l", lowered(F.col("_t")))
+    ends = (F.get("_l", 0) == "").cast("int") + ((F.size("_l") > 1) & (F.element_at("_l", -1) == "")).cast("int")  # only they can be empty
     removed = lambda rx: (F.length("_t") - F.length(F.regexp_replace("_t", rx, ""))).cast("long")
     # frequent classes go run by run
     counts = [removed(rx + "+") if name in ("lower", "space") else F.regexp_count("_t", F.lit(rx)).cast("long") for name, rx in CLASSES]
@@ -143,7 +145,7 @@ def features(docs: DataFrame, vocabulary: list[str], p: QualityParams) -> DataFr
         repeated_words(F.col("_w")).alias("n_repeat_words"),
         F.length("_t").cast("long").alias("_chars"),
         F.array(*counts).alias("_cls"),
-        F.size("_l").cast("long").alias("_runs"),
+        (F.size("_l") - ends).cast("long").alias("_runs"),
         F.filter("_l", lambda w: w.isin(*vocabulary) if vocabulary else F.lit(False)).alias("_common"),
     )
     total = F.aggregate("_cls", F.lit(0).cast("long"), lambda a, x: a + x)
@@ -186,8 +188,8 @@ def js_distance(p: Column, q: Column) -> Column:
 
 def references(feats: DataFrame, common: dict[str, list[str]], p: QualityParams) -> DataFrame:
     """One row: the array of (lang, words, class shares, word shares), means over documents."""
-    table = feats.sparkSession.createDataFrame([(k, v) for k, v in common.items()], "_lang string, _of array<string>")
-    rows = feats.filter(~F.col("base_failed") & (F.col("_letters") >= p.min_letters)).join(table, F.col("lang") == F.col("_lang"))
+    table = F.from_json(F.lit(json.dumps(common)), "map<string,array<string>>")  # no join: one language may have most rows
+    rows = feats.filter(~F.col("base_failed") & (F.col("_letters") >= p.min_letters)).withColumn("_of", F.element_at(table, F.col("lang"))).filter(F.col("_of").isNotNull())
     rows = rows.select("lang", "_of", shares(F.col("_cls")).alias("_c"), shares(word_counts(F.col("_of"), p)).alias("_v"))
     # means of millionths as integers: the sum does not depend on the order of rows
     unit = lambda c, i: F.sum(F.round(F.get(c, i) * 1_000_000).cast("long")) / F.count("*") / 1_000_000
