@@ -30,7 +30,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_BREAK, bind, stored, words
+from .common import bind, stored, words
 
 #: Character classes; what is in none of them counts as other.
 CLASSES = (
@@ -67,10 +67,11 @@ def repeated_words(ws: Column) -> Column:
     """
 
     def covered(g: Column) -> Column:
-        pairs = F.array_sort(F.transform(g, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        # sort_array compares natively, array_sort by an interpreted lambda
+        pairs = F.sort_array(F.transform(g, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
         hits = bind(
             pairs,
-            lambda s: F.array_sort(
+            lambda s: F.sort_array(
                 F.transform(
                     F.filter(
                         F.transform(s, lambda e, k: F.struct(
@@ -118,7 +119,7 @@ def common_words(docs: DataFrame, p: QualityParams) -> dict[str, list[str]]:
         rank = F.row_number().over(Window.partitionBy("lang", part).orderBy(F.col("n").desc(), "word"))
         seen = seen.withColumn("i", rank).filter(F.col("i") <= p.n_common)
     found: dict[str, list[str]] = {r["lang"]: [] for r in enough.collect()}
-    for r in seen.orderBy("lang", "i").collect():
+    for r in sorted(seen.collect(), key=lambda r: (r["lang"], r["i"])):  # n_common rows a language
         if r["lang"] in found:
             found[r["lang"]].append(r["word"])
     return found
@@ -133,13 +134,14 @@ def features(docs: DataFrame, vocabulary: list[str], p: QualityParams) -> DataFr
     df = df.withColumn("_l", lowered(F.col("_t")))
     ends = (F.get("_l", 0) == "").cast("int") + ((F.size("_l") > 1) & (F.element_at("_l", -1) == "")).cast("int")  # only they can be empty
     removed = lambda rx: (F.length("_t") - F.length(F.regexp_replace("_t", rx, ""))).cast("long")
-    # frequent classes go run by run
-    counts = [removed(rx + "+") if name in ("lower", "space") else F.regexp_count("_t", F.lit(rx)).cast("long") for name, rx in CLASSES]
+    word_chars = F.length(F.array_join("_w", "")).cast("long")
+    frequent = {"lower": removed("[a-z]+"), "space": F.length("_t").cast("long") - word_chars}  # words and breaks make a text
+    counts = [frequent.get(name, F.regexp_count("_t", F.lit(rx)).cast("long")) for name, rx in CLASSES]
     df = df.select(
         "doc_id",
         "lang",
         F.size("_w").cast("long").alias("n_words"),
-        F.length(F.regexp_replace("_t", WORD_BREAK, "")).cast("long").alias("word_chars"),
+        word_chars.alias("word_chars"),
         F.regexp_count("_t", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         bind(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("_w")).alias("n_repeat_words"),
