@@ -156,12 +156,15 @@ def clean_text_multi(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.clean_block(spread).alias("block"))
 
 
+# the SQL has patterns of its own, so that a wrong one in the functions shows
+ERA_RX = r"(令和|平成|昭和|大正|明治)\s*(元|[0-9]{1,2})\s*年\s*([0-9]{1,2})\s*月\s*([0-9]{1,2})\s*日"
+SIZE_RX = r"(?:PDF|pdf)[^/]*/([0-9,.]+)(KB|MB|kb)"
 ERA_SQL = "CASE doc_id % 6 WHEN 0 THEN '（令和７年４月１日）' WHEN 1 THEN '平成元年 ' || (doc_id % 12 + 1) || ' 月8日' WHEN 2 THEN '昭和43年12月' || (doc_id % 28 + 1) || '日' WHEN 3 THEN '大正' || (doc_id % 14 + 1) || '年1月2日' WHEN 4 THEN '明治' || (doc_id % 44 + 1) || '年11月30日' ELSE title END"
 
 
-@query(rf"""SELECT doc_id, CASE WHEN regexp_matches(t, '{dates.ERA_DATE}') THEN
-  printf('%04d-%02d-%02d', CASE regexp_extract(t, '{dates.ERA_DATE}', 1) WHEN '令和' THEN 2018 WHEN '平成' THEN 1988 WHEN '昭和' THEN 1925 WHEN '大正' THEN 1911 ELSE 1867 END
-  + CASE WHEN regexp_extract(t, '{dates.ERA_DATE}', 2) = '元' THEN 1 ELSE regexp_extract(t, '{dates.ERA_DATE}', 2)::INT END, regexp_extract(t, '{dates.ERA_DATE}', 3)::INT, regexp_extract(t, '{dates.ERA_DATE}', 4)::INT) END AS issued_at
+@query(rf"""SELECT doc_id, CASE WHEN regexp_matches(t, '{ERA_RX}') THEN
+  printf('%04d-%02d-%02d', CASE regexp_extract(t, '{ERA_RX}', 1) WHEN '令和' THEN 2018 WHEN '平成' THEN 1988 WHEN '昭和' THEN 1925 WHEN '大正' THEN 1911 ELSE 1867 END
+  + CASE WHEN regexp_extract(t, '{ERA_RX}', 2) = '元' THEN 1 ELSE regexp_extract(t, '{ERA_RX}', 2)::INT END, regexp_extract(t, '{ERA_RX}', 3)::INT, regexp_extract(t, '{ERA_RX}', 4)::INT) END AS issued_at
 FROM (SELECT doc_id, {NORM(ERA_SQL)} AS t FROM ({DOCS_SQL}))""")
 def era_dates(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", dates.era_date(F.expr(ERA_SQL)).alias("issued_at"))
@@ -183,14 +186,16 @@ def folder_dates(spark, sf_dir):
 SIZE_SQL = "title || CASE doc_id % 4 WHEN 0 THEN '（PDF/' || doc_id || '.18MB）' WHEN 1 THEN '(PDFファイル/1,' || lpad((doc_id % 1000)::{0}, 3, '0') || 'KB)' WHEN 2 THEN '(pdf/' || doc_id || 'kb)' ELSE '' END"
 
 
-@query(rf"""SELECT doc_id, CASE WHEN regexp_matches(t, '{pdf.SIZE}') THEN floor(replace(regexp_extract(t, '{pdf.SIZE}', 1), ',', '')::DOUBLE * CASE WHEN upper(regexp_extract(t, '{pdf.SIZE}', 2)) = 'MB' THEN 1024 ELSE 1 END + 0.5)::INT END AS size_kb
+@query(rf"""SELECT doc_id, CASE WHEN regexp_matches(t, '{SIZE_RX}') THEN floor(replace(regexp_extract(t, '{SIZE_RX}', 1), ',', '')::DOUBLE * CASE WHEN upper(regexp_extract(t, '{SIZE_RX}', 2)) = 'MB' THEN 1024 ELSE 1 END + 0.5)::INT END AS size_kb
 FROM (SELECT doc_id, {SIZE_SQL.format('VARCHAR')} AS t FROM ({DOCS_SQL}))""")
 def pdf_size(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", pdf.size_kb(F.expr(SIZE_SQL.format("STRING"))).alias("size_kb"))
 
 
 KIND_SQL = "title || CASE doc_id % 8 WHEN 0 THEN '新旧 対応表' WHEN 1 THEN 'インボイス　Ｑ＆Ａ' WHEN 2 THEN '別紙の通知' WHEN 3 THEN 'お知らせ' WHEN 4 THEN '参考資料' WHEN 5 THEN 'ｆａｑ' WHEN 6 THEN '資料1' ELSE '新旧対照表（別紙）' END"
-KIND_CASE = " ".join(f"WHEN regexp_matches(t, '{rx}') THEN '{k}'" for k, rx in pdf.KIND_PATTERNS)
+KIND_CASE = """WHEN contains(t, '新旧対照表') OR contains(t, '新旧対応表') OR contains(t, '対比表') THEN 'comparison' WHEN contains(lower(t), 'q&a') OR contains(lower(t), 'faq') OR contains(t, '質疑応答') THEN 'qa-pdf'
+  WHEN contains(t, '別紙') OR contains(t, '別表') OR contains(t, '様式') OR contains(t, '付録') OR contains(t, '添付資料') THEN 'attachment'
+  WHEN contains(t, '通知') OR contains(t, 'お知らせ') OR contains(t, '連絡') THEN 'notice' WHEN contains(t, '参考') OR contains(t, '関連資料') THEN 'related'"""
 
 
 @query(f"""SELECT doc_id, CASE {KIND_CASE} ELSE 'unknown' END AS kind FROM (SELECT doc_id,
@@ -200,8 +205,8 @@ def pdf_kind(spark, sf_dir):
 
 
 NUMBER_SQL = "CASE doc_id % 5 WHEN 0 THEN ' 1－4－' || doc_id || 'の2　' WHEN 1 THEN '183～' || doc_id || '共－1 ' WHEN 2 THEN '1の3・' || doc_id || 'の4共-1' WHEN 3 THEN doc_id || '-' || doc_id || '-3  ' ELSE '' END || title"
-PART = f"{text.DIGIT}+(?:の{text.DIGIT}+)?"
-SHAPES = [rf"(?s)^({x})[\s　]*(.*)$" for x in (f"{PART}(?:・{PART})+共[-－]{PART}", f"{text.DIGIT}+[〜ー～]{text.DIGIT}+共[-－]{PART}", f"{PART}(?:[-－]{PART})+")]
+PART = "[0-9０-９]+(?:の[0-9０-９]+)?"
+SHAPES = [rf"(?s)^({x})[\s　]*(.*)$" for x in (f"{PART}(?:・{PART})+共[-－]{PART}", f"[0-9０-９]+[〜ー～][0-9０-９]+共[-－]{PART}", f"{PART}(?:[-－]{PART})+")]
 SHAPE = lambda i: "coalesce(" + ", ".join(f"CASE WHEN regexp_matches(t, '{rx}') THEN regexp_extract(t, '{rx}', {i}) END" for rx in SHAPES) + ")"
 
 
