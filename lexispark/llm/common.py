@@ -60,13 +60,27 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_stored(df: DataFrame) -> None:
-    """Delete the files behind a table that ``stored`` made and nothing reads any more."""
+def stored_by(df: DataFrame, label: str, *keys: str) -> tuple[DataFrame, str]:
+    """As ``stored``, in one bucket of ``keys`` for each shuffle partition: joins on exactly these keys then shuffle the other side only.
+
+    Also returns the name of the table, for ``drop_stored``.
+    """
+    spark = df.sparkSession
+    name = f"{label}-{uuid.uuid4().hex}"
+    table = name.replace("-", "_")
+    df.write.bucketBy(partitions(spark), *keys).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(table, format="parquet")
+    return spark.table(table), table
+
+
+def drop_stored(df: DataFrame, table: str | None = None) -> None:
+    """Delete the files behind a table that ``stored`` or ``stored_by`` made and nothing reads any more."""
     spark = df.sparkSession
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(conf).delete(path, True)
+    if table:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
 
 
 def keyed(docs: DataFrame, *columns: str) -> DataFrame:

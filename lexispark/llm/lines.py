@@ -37,7 +37,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, bind, drop_stored, keyed, stored
+from .common import NULL_ID, bind, drop_stored, keyed, stored, stored_by
 
 #: Characters whose counts make the profile, four bits each.
 PROFILE = "etaoinsrhdlucmp "
@@ -202,12 +202,12 @@ def edit_distance(a: Column, b: Column, most: int) -> Column:
     return bind(F.struct(a.alias("a"), b.alias("b"), common_start(a, b).alias("p")), middle)
 
 
-def first_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
-    """h1, k, sig, pos, line of the places in ``firsts``: each document is read once."""
+def first_lines(texts: DataFrame, firsts: DataFrame) -> DataFrame:
+    """h1, k, sig, pos, line, n (its length) of the places in ``firsts``; ``texts`` (k, sig, text) is in buckets of k and sig and isn't shuffled."""
     wanted = firsts.groupBy("k", "sig").agg(F.collect_list(F.struct("pos", "h1")).alias("at"))
-    texts = keyed(docs, "text").join(wanted, (F.col("_k") == F.col("k")) & (F.col("_sig") == F.col("sig")))
     taken = bind(F.split("text", "\n"), lambda ls: F.transform("at", lambda x: F.struct(x["h1"].alias("h1"), x["pos"].alias("pos"), F.get(ls, x["pos"]).alias("line"))))
-    return texts.select("k", "sig", F.explode(taken).alias("x")).select("x.h1", "k", "sig", "x.pos", "x.line")
+    found = texts.join(wanted, ["k", "sig"]).select("k", "sig", F.explode(taken).alias("x"))
+    return found.select("x.h1", "k", "sig", "x.pos", "x.line", F.length("x.line").alias("n"))
 
 
 def entries(lines: DataFrame, p: LineParams, *carried: str, rest: bool) -> DataFrame:
@@ -230,14 +230,14 @@ def met(rows: DataFrame, *columns: str) -> DataFrame:
     return counted.filter((F.col("n_all") > 1) & (F.col("n_index") > 0)).drop("n_all")
 
 
-def line_pairs(texts: DataFrame, p: LineParams) -> tuple[DataFrame, DataFrame]:
+def line_pairs(texts: DataFrame, firsts: DataFrame, p: LineParams) -> tuple[DataFrame, DataFrame]:
     """(x < y: h1 of the lines that share a segment and have near profiles; the table of these lines with their profiles)."""
     found, shares = [], []
     for i in range(p.passes):
-        rows = entries(texts, p, rest=False)
+        rows = entries(first_lines(texts, firsts), p, rest=False)
         shares.append(stored(met(rows if p.passes == 1 else rows.filter(F.pmod("key", F.lit(p.passes)) == i)), "line-keys"))
     level = reduce(DataFrame.union, shares)
-    lines = texts.join(level.select("h1").distinct(), "h1", "left_semi")
+    lines = first_lines(texts, firsts.join(level.select("h1").distinct(), "h1", "left_semi"))
     lines = stored(lines.withColumn("prof", profile(F.col("line"))), "line-wanted")
     level = level.join(lines.select("h1", "prof"), "h1")
     for depth in range(p.levels + 1):
@@ -261,9 +261,9 @@ def line_pairs(texts: DataFrame, p: LineParams) -> tuple[DataFrame, DataFrame]:
     return reduce(DataFrame.union, found).distinct(), lines
 
 
-def near_links(texts: DataFrame, p: LineParams) -> DataFrame:
+def near_links(texts: DataFrame, firsts: DataFrame, p: LineParams) -> DataFrame:
     """The places (a_ and b_ columns) of the earlier and the later line of every verified link."""
-    pairs, lines = line_pairs(texts, p)
+    pairs, lines = line_pairs(texts, firsts, p)
     pairs = stored(pairs, "line-pairs")
     side = lambda c: lines.select(F.col("h1").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in (*PLACE, "line")])
     joined = pairs.join(side("x"), "x").join(side("y"), "y")
@@ -278,9 +278,9 @@ def removals(docs: DataFrame, p: LineParams) -> DataFrame:
     lines = keyed(docs, F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line")).filter(has_word(F.col("line")))
     rows = stored(lines.select(F.col("_k").alias("k"), F.col("_sig").alias("sig"), "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")), "lines")
     firsts = stored(rows.groupBy("h1", "h2").agg(F.min(F.struct(*PLACE)).alias("f"), F.count("*").alias("copies")).select("h1", "h2", "f.*", "copies"), "line-firsts")
-    texts = stored(first_lines(docs, firsts).withColumn("n", F.length("line")), "line-texts")
-    links = stored(near_links(texts, p), "line-links")
-    drop_stored(texts)
+    texts, table = stored_by(keyed(docs, "text").toDF("k", "sig", "text").dropDuplicates(["k", "sig"]), "line-texts", "k", "sig")
+    links = stored(near_links(texts, firsts, p), "line-links")
+    drop_stored(texts, table)
     later = links.groupBy(*[F.col(f"b_{c}").alias(c) for c in PLACE]).agg(F.min("a_k").alias("near_k"))
     ends = links.select(F.explode(F.array(*[F.struct(*[F.col(f"{s}_{c}").alias(c) for c in PLACE]) for s in "ab"])).alias("x")).select("x.*")
     degree = ends.groupBy(*PLACE).agg(F.count("*").alias("links"))
