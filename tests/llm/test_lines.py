@@ -176,5 +176,14 @@ def test_lines_with_a_common_half(spark):
 def test_one_word_of_a_long_line(spark, docs):
     line = " ".join(f"word{i:02d} of" for i in range(35))
     rows = [(1, line), (2, line.replace("word17", "ward71")), (3, line.replace("word20 of", "word20 in"))]
-    assert [r["n_near"] for r in line_dedup(docs(*rows)).orderBy("doc_id").collect()] == [0, 1, 1]
-    assert sorted(r["doc_id"] for r in drop_lines(docs(*rows)).collect()) == [1]
+    three = LineParams(most_edits=3)
+    assert [r["n_near"] for r in line_dedup(docs(*rows), three).orderBy("doc_id").collect()] == [0, 1, 1]
+    assert sorted(r["doc_id"] for r in drop_lines(docs(*rows), three).collect()) == [1]
+    # the default allows two edits, the first change has three
+    assert [r["n_near"] for r in line_dedup(docs(*rows)).orderBy("doc_id").collect()] == [0, 0, 1]
+
+
+def test_one_row_many_times(spark, docs):
+    rows = [(1, "the very same row stands here")] * 400 + [(2, "the very same row stand here")]
+    got = [(r["doc_id"], r["n_exact"], r["n_near"], r["n_links"]) for r in line_dedup(docs(*rows)).orderBy("doc_id").collect()]
+    assert got == [(1, 0, 0, 1)] * 400 + [(2, 0, 1, 1)]
