@@ -121,4 +121,22 @@ s AS (SELECT doc_id, count(*) FILTER (worded) AS n_lines, count(*) FILTER (again
 SELECT d.doc_id, n_lines, n_exact, n_near, n_links, dup_of, CASE WHEN text IS NOT NULL THEN length(coalesce(kept, '')) END AS n_chars, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents d JOIN s USING (doc_id)"""
 
 
-ORACLES = {"op3_line_dedup": _lines(), "op4_substring_dedup": SUBSTRING, "op6_quality_rules": _quality(), "op10_mixing": mixing_sql()}
+_CRC = "list_transform(range(0, 256), lambda i: list_reduce(list_prepend(i, range(0, 8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END))"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+SPELLING = rf"""
+WITH RECURSIVE r AS (SELECT doc_id, run, count(*) AS c FROM (SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '[a-zÀ-ÿ]+')) AS run FROM documents) GROUP BY ALL),
+b AS (SELECT run, c, flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [195::BIGINT, unicode(x)::BIGINT - 64] END)) AS bytes FROM r),
+t AS (SELECT {_CRC} AS tbl),
+h AS (SELECT run, c, xor(list_reduce(list_prepend(4294967295, bytes), lambda s, y: xor(tbl[(xor(s, y) & 255) + 1], s >> 8)), 4294967295) AS h FROM b, t),
+o AS (SELECT CASE WHEN h % 97 = 0 THEN substring(run, 1, h % length(run)) || substring(run, h % length(run) + 2) ELSE run END AS word, c FROM h),
+w AS (SELECT word, sum(c)::BIGINT AS n FROM o WHERE length(word) >= 5 GROUP BY 1 HAVING sum(c) >= 3),
+x AS (SELECT word, i, length(word) AS len, substring(word, 1, i - 1) || substring(word, i + 1) AS cut FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM w)),
+d AS (SELECT x.word AS long, w.word AS short FROM x JOIN w ON cut = w.word),
+p AS (SELECT a.word AS word, b.word AS other FROM x a JOIN x b USING (i, len, cut) WHERE a.word <> b.word UNION SELECT long, short FROM d UNION SELECT short, long FROM d),
+k AS (SELECT p.word, count(*) AS n_near, min({{'m': -w.n, 'other': other}}) AS best FROM p JOIN w ON w.word = other GROUP BY 1),
+f AS (SELECT w.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.m >= 2 * n THEN best.other END AS form, CASE WHEN -best.m >= 2 * n THEN -best.m END AS form_n FROM w LEFT JOIN k USING (word)),
+g AS (SELECT word, word AS root, 0 AS depth FROM f UNION ALL SELECT g.word, f.form, depth + 1 FROM g JOIN f ON g.root = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN (SELECT word, arg_max(root, depth) AS root FROM g GROUP BY 1) USING (word)"""
+
+ORACLES = {"op3_line_dedup": _lines(), "op4_substring_dedup": SUBSTRING, "op6_quality_rules": _quality(), "op10_mixing": mixing_sql(), "op13_spelling_variants": SPELLING}

@@ -17,6 +17,7 @@ from .oracles import ORACLES
 from .pii import KINDS, find_pii, spans_string
 from .quality import quality_rules
 from .simhash import near_duplicates
+from .spelling import SpellingParams, spelling_variants
 from .substring import substring_dedup
 from .tokens import token_counts
 
@@ -74,7 +75,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).select("doc_id", "source", "copy", "shuffle_key", "n_chars", "text")
 
 
-QUERIES = (op1_language_id, op2_pii, op3_line_dedup, op4_substring_dedup, op5_decontamination, op6_quality_rules, op7_simhash, op8_token_counts, op9_license_scan, op10_mixing)
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(documents(spark, sf_dir), SpellingParams(drop_every=97)).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+QUERIES = (op1_language_id, op2_pii, op3_line_dedup, op4_substring_dedup, op5_decontamination, op6_quality_rules, op7_simhash, op8_token_counts, op9_license_scan, op10_mixing, op13_spelling_variants)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
