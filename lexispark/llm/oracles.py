@@ -139,4 +139,20 @@ f AS (SELECT w.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.m >= 2 *
 g AS (SELECT word, word AS root, 0 AS depth FROM f UNION ALL SELECT g.word, f.form, depth + 1 FROM g JOIN f ON g.root = f.word WHERE f.form IS NOT NULL)
 SELECT f.word, form, root, n, n_near, form_n FROM f JOIN (SELECT word, arg_max(root, depth) AS root FROM g GROUP BY 1) USING (word)"""
 
-ORACLES = {"op3_line_dedup": _lines(), "op4_substring_dedup": SUBSTRING, "op6_quality_rules": _quality(), "op10_mixing": mixing_sql(), "op13_spelling_variants": SPELLING}
+PHRASES = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+g AS (SELECT lang, s, unnest(list_transform(range(1, len(ws) - s + 2), lambda i: array_to_string(ws[i:i + s - 1], ' '))) AS phrase FROM w, (SELECT unnest([1, 2, 3, 4]) AS s) WHERE len(ws) >= s),
+f AS (SELECT lang, s, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30),
+t AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY 1),
+c AS (SELECT lang, s, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE s > 1),
+k AS (SELECT *, unnest(range(1, s)) AS k FROM c),
+x AS (SELECT k.lang, k.phrase, k.a, k.k, y.f AS l, z.f AS r, (2000000::HUGEINT * k.a // (y.f::HUGEINT + z.f))::BIGINT AS score
+      FROM k JOIN f y ON y.lang = k.lang AND y.phrase = array_to_string(ws[1:k], ' ') JOIN f z ON z.lang = k.lang AND z.phrase = array_to_string(ws[k + 1:], ' ')),
+m AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+d AS (SELECT DISTINCT c.lang, c.phrase FROM c JOIN (SELECT lang, s, a, unnest(range(2, s)) AS size, ws FROM c) q USING (lang), (SELECT unnest([1, 2, 3]) AS i)
+      WHERE c.s = size AND i + size - 1 <= q.s AND c.phrase = array_to_string(q.ws[i:i + size - 1], ' ') AND 100 * q.a >= 80 * c.a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM m ANTI JOIN d USING (lang, phrase)) JOIN t USING (lang) WHERE rank <= 2000"""
+
+ORACLES = {"op3_line_dedup": _lines(), "op4_substring_dedup": SUBSTRING, "op6_quality_rules": _quality(), "op10_mixing": mixing_sql(), "op12_collocations": PHRASES, "op13_spelling_variants": SPELLING}

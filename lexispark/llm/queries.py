@@ -14,6 +14,7 @@ from .licenses import scan
 from .lines import line_dedup
 from .mixing import mix
 from .oracles import ORACLES
+from .phrases import collocations
 from .pii import KINDS, find_pii, spans_string
 from .quality import quality_rules
 from .simhash import near_duplicates
@@ -75,11 +76,15 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).select("doc_id", "source", "copy", "shuffle_key", "n_chars", "text")
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(documents(spark, sf_dir))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(documents(spark, sf_dir), SpellingParams(drop_every=97)).select("word", "form", "root", "n", "n_near", "form_n")
 
 
-QUERIES = (op1_language_id, op2_pii, op3_line_dedup, op4_substring_dedup, op5_decontamination, op6_quality_rules, op7_simhash, op8_token_counts, op9_license_scan, op10_mixing, op13_spelling_variants)
+QUERIES = (op1_language_id, op2_pii, op3_line_dedup, op4_substring_dedup, op5_decontamination, op6_quality_rules, op7_simhash, op8_token_counts, op9_license_scan, op10_mixing, op12_collocations, op13_spelling_variants)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
