@@ -139,6 +139,17 @@ f AS (SELECT w.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.m >= 2 *
 g AS (SELECT word, word AS root, 0 AS depth FROM f UNION ALL SELECT g.word, f.form, depth + 1 FROM g JOIN f ON g.root = f.word WHERE f.form IS NOT NULL)
 SELECT f.word, form, root, n, n_near, form_n FROM f JOIN (SELECT word, arg_max(root, depth) AS root FROM g GROUP BY 1) USING (word)"""
 
+MINHASH = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS m FROM s a JOIN s b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n u ON u.doc_id = x JOIN n v ON v.doc_id = y WHERE 100 * m >= 85 * (u.n + v.n - m)),
+r AS (SELECT DISTINCT x AS doc_id, x AS z FROM l UNION SELECT r.doc_id, l.y FROM r JOIN l ON l.x = r.z),
+c AS (SELECT doc_id, min(z) AS component_id FROM r GROUP BY 1)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, d.doc_id) AS component_id, coalesce(component_id, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)"""
+
 PHRASES = rf"""
 WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
 w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
@@ -155,4 +166,4 @@ d AS (SELECT DISTINCT c.lang, c.phrase FROM c JOIN (SELECT lang, s, a, unnest(ra
 SELECT lang, rank, phrase, a, l, r, n, score FROM (
   SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM m ANTI JOIN d USING (lang, phrase)) JOIN t USING (lang) WHERE rank <= 2000"""
 
-ORACLES = {"op3_line_dedup": _lines(), "op4_substring_dedup": SUBSTRING, "op6_quality_rules": _quality(), "op10_mixing": mixing_sql(), "op12_collocations": PHRASES, "op13_spelling_variants": SPELLING}
+ORACLES = {"op3_line_dedup": _lines(), "op4_substring_dedup": SUBSTRING, "op6_quality_rules": _quality(), "op10_mixing": mixing_sql(), "op11_minhash": MINHASH, "op12_collocations": PHRASES, "op13_spelling_variants": SPELLING}
