@@ -46,7 +46,7 @@ class PhraseParams:
     scale: int = 2_000_000
     #: phrases reported of each language
     top: int = 2000
-    shard_bytes: int = 6 << 20
+    shard_bytes: int = 3 << 20
     max_bits: int = 1 << 28
 
 
@@ -246,6 +246,8 @@ def phrase_counts(index: DataFrame, words: np.ndarray, pairs: np.ndarray | None,
                     found, side = fm.extended(found, side), 1 - side
                     if size > 2 or pairs is None:
                         yield counted(lang, pc.binary_join_element_wise(*(own.take(pa.array(c - 1)) for c in found.ids.T), " "), size, found.size)
+                del fm, found
+                pa.default_memory_pool().release_unused()
 
     return summed(index.select("lang", "words", "ids").mapInArrow(run, COUNTED), p)
 
