@@ -7,10 +7,12 @@ training, and takes the codeword with the least loss; a small margin to the
 next one flags the document as ambiguous.
 
 The classifiers are fitted on a bounded sample: about ``per_lang`` labelled
-training documents of each language, drawn by a hash of the doc_id; with very many
-languages fewer of each, so that the sample stays near ``max_sample``, but never
-below ``least_per_lang``.  Their n-gram counts are made on the executors; the driver
-holds only these sparse counts and makes them dense block by block.  The fitted
+training documents of each language (twice as many at most), drawn by a hash of
+doc_id and text; with very many languages fewer of each, so that the sample stays
+near ``max_sample``, but never below ``least_per_lang``.  A language of which the draw
+takes nothing (few different rows) gives its first ``least_per_lang`` rows, so every
+labelled language is learned.  N-grams are counted on the executors before the sample
+is cut; the driver holds only these sparse counts and makes them dense block by block.  The fitted
 matrix has ``dims`` rows and a column for each bit, and is broadcast.
 
 Edge cases: null text and texts without a letter (Unicode category L) give ``und``
@@ -28,7 +30,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: ASCII other than a-z becomes a blank before n-grams are taken.
@@ -98,20 +101,31 @@ def fit(docs: DataFrame, p: LangParams) -> LangModel | None:
     if not n_langs:
         return None
     per_lang = min(p.per_lang, max(p.least_per_lang, p.max_sample // n_langs))
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(p.seed)), F.lit(1 << 30)) / float(1 << 30)
-    drawn = labelled.join(sizes, F.col("lang") == F.col("_lang")).filter(draw * F.col("_n") < per_lang)
+    labelled = labelled.withColumn("draw", F.xxhash64("doc_id", "text", F.lit(p.seed)))
+    chance = F.pmod("draw", F.lit(1 << 30)) / float(1 << 30)
+    drawn = labelled.join(sizes, F.col("lang") == F.col("_lang")).filter(chance * F.col("_n") < per_lang).select("lang", "draw", "text")
     dims = p.dims
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [np.unique(ngram_buckets(t, dims), return_counts=True) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("lang"), pa.array([f[0].astype(np.int32) for f in found], pa.list_(pa.int32())), pa.array([f[1].astype(np.int32) for f in found], pa.list_(pa.int32()))],
-                names=["lang", "bucket", "n"],
+                [batch.column("lang"), batch.column("draw"), pa.array([f[0].astype(np.int32) for f in found], pa.list_(pa.int32())), pa.array([f[1].astype(np.int32) for f in found], pa.list_(pa.int32()))],
+                names=["lang", "draw", "bucket", "n"],
             )
 
-    sample = drawn.select("doc_id", "text", "lang").orderBy(F.xxhash64("doc_id"), "text").limit(2 * per_lang * n_langs).select("text", "lang")
-    got = sample.mapInArrow(count, "lang string, bucket array<int>, n array<int>").toArrow()
+    def taken(rows: DataFrame, most: int) -> DataFrame:
+        first = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
+        return rows.withColumn("_r", first).filter(F.col("_r") <= most).drop("_r")
+
+    def counts(rows: DataFrame) -> DataFrame:
+        return rows.select("lang", "draw", "text").mapInArrow(count, "lang string, draw bigint, bucket array<int>, n array<int>")
+
+    got = taken(counts(drawn), 2 * per_lang).toArrow()
+    if pc.count_distinct(got.column("lang")).as_py() < n_langs:
+        missed = labelled.join(drawn.select("lang").distinct(), "lang", "left_anti")
+        got = pa.concat_tables([got, counts(taken(missed, p.least_per_lang)).toArrow()])
+    got = got.sort_by([("draw", "ascending"), ("lang", "ascending")])
     langs = sorted(set(got.column("lang").to_pylist()))
     at = {x: i for i, x in enumerate(langs)}
     y = np.array([at[x] for x in got.column("lang").to_pylist()])

@@ -72,3 +72,16 @@ def test_many_languages_and_brute_force_decoding(spark, docs):
         assert got[d]["lang_pred"] == model.langs[int(np.argmin(loss))]
         assert abs(got[d]["score"] - 1 / sum(np.exp(min(loss) - x) for x in loss)) < 1e-3
     assert sum(got[d]["lang_pred"] == lang for d, _, lang in rows) > 0.9 * len(rows)
+
+
+def test_every_language_is_learned_whatever_the_ids(spark, docs):
+    words = {"en": "the cat and dog of house is not with".split(), "fr": "le chat et les chiens dans une maison pas".split()}
+    rng = np.random.default_rng(4)
+    rows = [(None, " ".join(rng.choice(ws, 12)), lang) for lang, ws in words.items() for _ in range(3000)]
+    for own in (rows, [(1, t, x) for _, t, x in rows[::10]], [(6, t, x) for _, t, x in rows[::10]], rows[:2] * 600 + rows[-1:] * 900):
+        df = docs(*own)
+        model = fit(df, LangParams(per_lang=100))
+        assert model.langs == ["en", "fr"]
+        want = [x for _, _, x in own]
+        got = [r["lang_pred"] for r in identify(df, LangParams(), model).collect()]
+        assert len(got) == len(want) and sorted(got) == sorted(want)
