@@ -22,7 +22,7 @@ longest match at a word may reach over anchors, chunks and parts.
 Windows are compared by their hashes, never by words: 48 bits of the window and
 64 of its anchor (128 bits within a chunk).  At 10^13 windows fewer than 10^-7
 pairs of different windows are expected to agree.  Documents are told apart by
-doc_id and 32 bits of a text hash.
+doc_id and 64 bits of a text hash.
 
 Edge cases: null text has no words; texts shorter than a window keep all words;
 repeated rows are one document, neither is earlier than the other; rows of one
@@ -167,7 +167,7 @@ def parse(key: np.ndarray, known: np.ndarray, src: np.ndarray, end: np.ndarray)
 class Runs:
     """Stretches of neighbouring windows with one anchor: doc, sig, pos, count, anchor of each, and all keys."""
 
-    FIELDS = (("doc", np.int64), ("anchor", np.uint64), ("sig", np.int32), ("pos", np.int32), ("count", np.uint16))
+    FIELDS = (("doc", np.int64), ("anchor", np.uint64), ("sig", np.int64), ("pos", np.int32), ("count", np.uint16))
 
     def __init__(self, doc: np.ndarray, anchor: np.ndarray, sig: np.ndarray, pos: np.ndarray, count: np.ndarray, key: np.ndarray):
         self.doc, self.anchor, self.sig, self.pos, self.count, self.key = doc, anchor, sig, pos, count, key
@@ -209,7 +209,7 @@ class Runs:
         return np.repeat(self.doc, self.count), np.repeat(self.sig, self.count), np.repeat(self.pos, self.count) + step, np.repeat(last, self.count)
 
 
-PIECE = pa.schema([("doc", pa.int64()), ("sig", pa.int32()), ("start", pa.int64()), ("size", pa.int64()), ("src_doc", pa.int64()), ("src_sig", pa.int32()), ("src_start", pa.int64())])
+PIECE = pa.schema([("doc", pa.int64()), ("sig", pa.int64()), ("start", pa.int64()), ("size", pa.int64()), ("src_doc", pa.int64()), ("src_sig", pa.int64()), ("src_start", pa.int64())])
 
 
 def pieces(doc: np.ndarray, sig: np.ndarray, pos: np.ndarray, key: np.ndarray, src: np.ndarray, end: np.ndarray, window: int) -> pa.RecordBatch:
@@ -236,7 +236,7 @@ def index_entries(docs: list[tuple[int, int, bytes]], p: SubstringParams, parts:
     row = row[:n][valid]
     if not len(row):
         return [], pa.RecordBatch.from_pylist([], schema=PIECE)
-    doc, sig = np.array([d for d, _, _ in docs], np.int64)[row], np.array([x for _, x, _ in docs], np.int32)[row]
+    doc, sig = np.array([d for d, _, _ in docs], np.int64)[row], np.array([x for _, x, _ in docs], np.int64)[row]
     src = first_places(key)
     src = np.where(anchor[src] == anchor, src, np.arange(len(src)))
     end = np.cumsum(np.bincount(row, minlength=len(size)))[row]
@@ -299,8 +299,8 @@ def compose(matches: list[tuple[int, int, int, int, int]], window: int) -> list[
             return out
 
 
-ENTRY = "part int, blob binary, doc bigint, sig int, start bigint, size bigint, src_doc bigint, src_sig int, src_start bigint"
-FACTOR = "doc bigint, sig int, start bigint, size bigint, src_doc bigint, src_sig int, src_start bigint"
+ENTRY = "part int, blob binary, doc bigint, sig bigint, start bigint, size bigint, src_doc bigint, src_sig bigint, src_start bigint"
+FACTOR = "doc bigint, sig bigint, start bigint, size bigint, src_doc bigint, src_sig bigint, src_start bigint"
 
 
 def find_matches(docs: DataFrame, params: SubstringParams | None = None) -> DataFrame:
@@ -356,7 +356,7 @@ def find_matches(docs: DataFrame, params: SubstringParams | None = None) -> Data
         if blobs:
             yield resolve(blobs, p.window)[0]
 
-    rows = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc"), F.hash("text").alias("sig"), F.col("text").cast("binary").alias("text"))
+    rows = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc"), F.xxhash64("text").alias("sig"), F.col("text").cast("binary").alias("text"))
     dealt = rows.mapInArrow(entries, ENTRY).repartition(width, "part").sortWithinPartitions("part")
     return dealt.mapInArrow(look_up, FACTOR)
 
@@ -370,7 +370,7 @@ def substring_dedup(docs: DataFrame, params: SubstringParams | None = None) -> D
     p = params or SubstringParams()
     names = ("start", "size", "src_doc", "src_sig", "src_start")
     found = find_matches(docs, p).groupBy("doc", "sig").agg(F.collect_list(F.struct(*names)).alias("matches"))
-    rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc"), F.hash("text").alias("sig"), F.col("text").cast("binary").alias("text"))
+    rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc"), F.xxhash64("text").alias("sig"), F.col("text").cast("binary").alias("text"))
     joined = rows.join(found, ["doc", "sig"], "left").select("doc_id", "text", "matches")
     item = pa.struct([(x, pa.int64()) for x in ("start", "size", "src_doc", "src_start")])
 

@@ -93,3 +93,13 @@ def test_factors_are_greedy_and_agree_with_their_sources(spark, docs):
     for f in got[3]:
         assert texts[3][f["start"] : f["start"] + f["size"]] == texts[f["src_doc"]][f["src_start"] : f["src_start"] + f["size"]]
     assert compose([(0, 25, 1, 0, 5), (6, 24, 1, 0, 11), (3, 40, 2, 0, 0), (50, 20, 1, 0, 70)], 20) == [(0, 30, 1, 0, 5), (11, 32, 2, 0, 8), (50, 20, 1, 0, 70)]
+
+
+def test_texts_with_one_32_bit_hash_are_told_apart(spark, docs):
+    texts = spark.range(400_000).selectExpr("concat_ws(' ', transform(sequence(1, 25), i -> concat('w', id, 'x', i))) AS text")
+    pair = texts.selectExpr("text", "hash(text) AS h").groupBy("h").agg({"text": "collect_list"}).filter("size(`collect_list(text)`) = 2").first()[1]
+    for d in (2, None):
+        first = 1 if d else -(2**62)
+        got = substring_dedup(docs((first, pair[0]), (d, pair[0]), (d, pair[1]))).select("doc_id", "n_removed", "kept_text").collect()
+        assert sum(r["n_removed"] for r in got) == 25
+        assert pair[1] in {r["kept_text"] for r in got}
