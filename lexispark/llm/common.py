@@ -1,8 +1,8 @@
 """Helpers shared by the training-data operators.
 
-Every operator selects the columns it needs by name and keeps its working
-columns under names that start with ``_``, so extra columns of the input, even
-ones with clashing names, never reach a join.  Two rows are the same document
+Every operator selects the columns it needs by name, or carries whole rows in one
+struct (``wrapped``), so extra columns of the input, even ones named like working
+columns, never meet these.  Two rows are the same document
 when ``doc_id`` and ``text`` agree (``keyed``); rows of one ``doc_id`` with
 different texts are different documents, in the order of their text hashes.  A
 null ``doc_id`` sorts before all others.
@@ -83,6 +83,11 @@ def drop_stored(df: DataFrame, table: str | None = None) -> None:
         spark.sql(f"DROP TABLE IF EXISTS {table}")
 
 
+def wrapped(docs: DataFrame, **working: Column) -> DataFrame:
+    """Each whole row in the struct ``_row``, with working columns beside it that no column of the row can clash with."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *[c.alias(name) for name, c in working.items()])
+
+
 def keyed(docs: DataFrame, *columns: str) -> DataFrame:
     """_k and _sig, which tell documents apart, and the named columns."""
     return docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_k"), F.xxhash64("text").alias("_sig"), *columns)

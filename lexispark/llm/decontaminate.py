@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, wrapped
 from .substring import hash_words, mixed, odd_numbers, rolled
 
 U = np.uint64
@@ -318,5 +318,5 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, params: LeakParams | None
     p = params or LeakParams()
     hits = hit_rows(docs, benchmark, p).filter(F.col("n_words") + F.col("distance") >= p.drop_words)
     leaked = stored(hits.select(F.col("doc_id").alias("_leaked"), F.col("sig").alias("_leaked_sig")).distinct(), "leaks")
-    rows = docs.withColumn("_sig", F.xxhash64("text"))
-    return rows.join(leaked, rows["doc_id"].eqNullSafe(leaked["_leaked"]) & (rows["_sig"] == leaked["_leaked_sig"]), "left_anti").drop("_sig")
+    rows = wrapped(docs, _id=F.col("doc_id"), _sig=F.xxhash64("text"))
+    return rows.join(leaked, F.col("_id").eqNullSafe(F.col("_leaked")) & (F.col("_sig") == F.col("_leaked_sig")), "left_anti").select("_row.*")

@@ -37,7 +37,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, bind, drop_stored, keyed, stored, stored_by
+from .common import NULL_ID, bind, drop_stored, keyed, stored, stored_by, wrapped
 
 #: Characters whose counts make the profile, four bits each.
 PROFILE = "etaoinsrhdlucmp "
@@ -301,9 +301,9 @@ def removals(docs: DataFrame, p: LineParams) -> DataFrame:
 
 
 def applied(docs: DataFrame, p: LineParams) -> DataFrame:
-    """``docs`` with working columns: _gone (what is removed), _links, _new (the text after it)."""
+    """The rows of ``docs`` as _row, with doc_id, text, _gone (what is removed), _links, _new (the text after it)."""
     gone = removals(docs, p).select(F.col("k").alias("_k"), F.col("sig").alias("_sig"), F.col("gone").alias("_gone"), F.col("n_links").alias("_links"))
-    rows = docs.withColumns({"_k": F.coalesce("doc_id", F.lit(NULL_ID)), "_sig": F.xxhash64("text")}).join(gone, ["_k", "_sig"], "left")
+    rows = wrapped(docs, doc_id=F.col("doc_id"), text=F.col("text"), _k=F.coalesce("doc_id", F.lit(NULL_ID)), _sig=F.xxhash64("text")).join(gone, ["_k", "_sig"], "left")
     lines = F.split("text", "\n")
     # kept lines are what stands between removed ones
     at = F.array_sort(F.transform("_gone", lambda g: g["pos"]))
@@ -319,7 +319,7 @@ def line_dedup(docs: DataFrame, params: LineParams | None = None) -> DataFrame:
     """doc_id, n_lines (with a word), n_exact and n_near (removed lines), n_links (links of its lines to other
     texts), dup_of (first documents of removed lines, sorted), text and n_chars (long) after the removal.
     """
-    rows = applied(docs, params or LineParams())
+    rows = applied(docs.select("doc_id", "text"), params or LineParams())
     lines = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), has_word)).cast("long")
     near = F.size(F.filter("_gone", lambda g: g["near"]))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
@@ -335,5 +335,5 @@ def drop_lines(docs: DataFrame, params: LineParams | None = None) -> DataFrame:
     """``docs`` with repeated lines removed from text and n_chars adjusted; documents that lose all their words leave."""
     rows = applied(docs, params or LineParams())
     lost = (F.coalesce(F.size("_gone"), F.lit(0)) > 0) & ~F.coalesce(has_word(F.col("_new")), F.lit(False))
-    made = {"text": F.col("_new"), "n_chars": F.when(F.col("_new").eqNullSafe(F.col("text")), F.col("n_chars")).otherwise(F.length("_new").cast("long")) if "n_chars" in docs.columns else None}
-    return rows.filter(~lost).select(*[(made[c] if made.get(c) is not None else F.col(c)).alias(c) for c in docs.columns])
+    made = {"text": F.col("_new"), "n_chars": F.when(F.col("_new").eqNullSafe(F.col("text")), F.col("_row.n_chars")).otherwise(F.length("_new").cast("long")) if "n_chars" in docs.columns else None}
+    return rows.filter(~lost).select(*[(made[c] if made.get(c) is not None else F.col("_row")[c]).alias(c) for c in docs.columns])

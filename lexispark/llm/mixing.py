@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bind, stored
+from .common import bind, stored, wrapped
 
 #: Largest mean that is inverted at once; larger ones are sums of equal parts.
 PART = 16
@@ -86,17 +86,20 @@ def mix(docs: DataFrame, params: MixParams | None = None) -> DataFrame:
     p = params or MixParams()
     taken = [c for c in docs.columns if c not in ("copy", "shuffle_key")]
     table = stored(rates(docs, p), "rates")
+    rows = wrapped(docs.select(taken), _id=F.col("doc_id"), _from=F.col("source"))
     if table.count() <= p.max_broadcast_sources:
-        joined = docs.select(taken).join(F.broadcast(table), F.col("source").eqNullSafe(F.col("_source")))
+        joined = rows.join(F.broadcast(table), F.col("_from").eqNullSafe(F.col("_source")))
     else:
         spread = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(p.salts - 1))))
-        salted = docs.select(taken).withColumn("_own", F.pmod(F.xxhash64("doc_id"), F.lit(p.salts)).cast("int"))
-        joined = salted.join(spread, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_own") == F.col("_salt"))).drop("_own", "_salt")
+        salted = rows.withColumn("_own", F.pmod(F.xxhash64("_id"), F.lit(p.salts)).cast("int"))
+        joined = salted.join(spread, F.col("_from").eqNullSafe(F.col("_source")) & (F.col("_own") == F.col("_salt")))
     drawn = F.aggregate(
         F.sequence(F.lit(0), F.col("_parts") - 1),
         F.lit(0),
-        lambda a, j: a + bind(hashed(p.seed, "u", F.col("doc_id"), j) / float(16**HEX), lambda u: F.size(F.filter("_cdf", lambda c: c <= u))),
+        lambda a, j: a + bind(hashed(p.seed, "u", F.col("_id"), j) / float(16**HEX), lambda u: F.size(F.filter("_cdf", lambda c: c <= u))),
     )
     copies = joined.withColumn("_count", drawn).filter(F.col("_count") > 0)
-    copies = copies.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_count") - 1))).drop("_count", "_cdf", "_parts", "_rate", "_source")
-    return copies.withColumn("shuffle_key", hashed(p.seed, "s", F.col("doc_id"), F.col("copy"))).repartition("shuffle_key").sortWithinPartitions("shuffle_key", "doc_id", "copy")
+    copies = copies.select("_row", "_id", F.explode(F.sequence(F.lit(0), F.col("_count") - 1)).alias("_copy"))
+    keyed = copies.select("_row", "_id", "_copy", hashed(p.seed, "s", F.col("_id"), F.col("_copy")).alias("_key"))
+    dealt = keyed.repartition("_key").sortWithinPartitions("_key", "_id", "_copy")
+    return dealt.select("_row.*", F.col("_copy").alias("copy"), F.col("_key").alias("shuffle_key"))

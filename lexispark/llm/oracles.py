@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from .lines import LineParams
 from .mixing import HEX, PART, TERMS, MixParams
-from .quality import CLASSES, QualityParams
+from .quality import QualityParams
 from .substring import SubstringParams
 
 
 def _quality() -> str:
     p = QualityParams()
-    classes = {"accented": r"[\p{L}]"} | {k: rx for k, rx in CLASSES if k != "accented"}
-    n = {k: f"len(regexp_extract_all(t, '{rx.replace(chr(39), chr(39) * 2)}'))" for k, rx in classes.items()}
-    n["accented"] = f"({n['accented']} - {n['lower']} - {n['upper']})"
-    cls = ", ".join(n[k] for k, _ in CLASSES)
+    has = lambda rx: f"len(regexp_extract_all(t, '{rx}'))"
+    lower, upper = has("[a-z]"), has(r"[\p{Lu}]")
+    classes = [lower, upper, rf"({has('[\p{L}]')} - {lower} - {upper})", has("[0-9]"), has(r"[\x20\x09-\x0D]"), has("[.,;:''()-]")]
+    cls = ", ".join(classes)
     k = p.n_common
     counts = f"list_transform(range(1, {k + 1}), lambda i: len(list_filter(lw, lambda x: x = words[i])))"
     share = lambda c: f"list_transform({c}, lambda x: CASE WHEN list_sum({c}) > 0 THEN x / list_sum({c})::DOUBLE ELSE 0.0 END)"
@@ -39,7 +39,7 @@ f AS (
          coalesce(r.n, 0)::BIGINT AS n_repeat_words, list_append([{cls}], 0) AS c0, length(t) AS chars,
          lw
   FROM a LEFT JOIN r USING (doc_id)),
-h AS (SELECT *, list_append(c0[1:{len(CLASSES)}], chars - list_sum(c0)) AS c, c0[1] + c0[2] + c0[3] AS letters,
+h AS (SELECT *, list_append(c0[1:{len(classes)}], chars - list_sum(c0)) AS c, c0[1] + c0[2] + c0[3] AS letters,
              n_words < {p.min_words} OR 100 * n_repeat_words > {p.max_repeat_percent} * n_words AS base_failed FROM f),
 s AS (SELECT *, {share('c')} AS pc FROM h),
 tw AS (SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(lw) AS word FROM a WHERE lang IS NOT NULL) GROUP BY 1, 2),
@@ -47,10 +47,10 @@ tk AS (SELECT lang, list(word ORDER BY i) AS words FROM (SELECT lang, word, row_
 tl AS (SELECT tk.* FROM tk JOIN (SELECT lang FROM documents GROUP BY 1 HAVING count(*) >= {p.min_docs}) USING (lang)),
 x AS (SELECT s.doc_id, s.lang, tl.lang AS ref, base_failed, letters, pc, {counts} AS v0, len(lw) AS runs FROM s, tl),
 y AS (SELECT *, {share('list_append(v0, runs - list_sum(v0))')} AS pv FROM x),
-refs AS (SELECT ref, {mean('pc', len(CLASSES) + 1)} AS rc, {mean('pv', k + 1)} AS rv
+refs AS (SELECT ref, {mean('pc', len(classes) + 1)} AS rc, {mean('pv', k + 1)} AS rv
          FROM y WHERE lang = ref AND NOT base_failed AND letters >= {p.min_letters} GROUP BY 1),
 d AS (SELECT doc_id, lang, ref, round({js('pc', 'rc')}, 6) AS dc, round({js('pv', 'rv')}, 6) AS dv, round({js('pc', 'rc')} + {js('pv', 'rv')}, 6) AS ds
-      FROM y JOIN refs USING (ref) WHERE letters >= {p.min_letters} AND (lang IS NULL OR lang IN (SELECT ref FROM refs))),
+      FROM y JOIN refs USING (ref) WHERE letters >= {p.min_letters}),
 m AS (SELECT doc_id, ref, dc, dv FROM d
       QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN lang = ref AND dc <= {p.max_class_distance} AND dv <= {p.max_word_distance} THEN 0 ELSE 1 END, ds, ref) = 1)
 SELECT h.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,

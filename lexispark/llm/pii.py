@@ -58,7 +58,8 @@ MASK = "\ufdd0"
 
 @dataclass(frozen=True)
 class PiiParams:
-    rounds: int = 6
+    #: the rounds go on until a state repeats; an error beyond so many
+    rounds: int = 200
     #: distinct known instances of a kind that a pattern needs
     min_support: int = 3
     min_confidence: float = 0.6
@@ -224,7 +225,7 @@ def learn(occ: DataFrame, p: PiiParams) -> DataFrame:
     edges = edges.select("pat", "inst", salt.alias("salt")).join(sizes.withColumn("salt", every), ["pat", "salt"])
     edges = stored(edges, "pii-graph")
     open_ = edges.join(seeds.select("inst"), "inst", "left_anti")
-    known, n_known = seeds, -1
+    known, states = seeds, set()
     for _ in range(p.rounds):
         met = edges.join(known, "inst").groupBy("pat", "k").agg(F.sum("score").alias("sum"), F.count("*").alias("support"), F.first("n").alias("n"))
         # rounded, so that the order of additions does not matter
@@ -236,10 +237,10 @@ def learn(occ: DataFrame, p: PiiParams) -> DataFrame:
         found = stored(best.select("inst", (-F.col("b.k")).alias("k"), F.col("b.score").alias("score")), "pii-known")
         state = found.agg(F.count("*"), F.sum(F.xxhash64("inst", "k", "score").cast("decimal(20,0)"))).first()
         known = seeds.unionByName(found)
-        if state == n_known or not state[0]:
-            break
-        n_known = state
-    return found.select("inst", "k")
+        if state in states or not state[0]:
+            return found.select("inst", "k")
+        states.add(state)
+    raise RuntimeError("scores did not settle")
 
 
 def spans_string(spans: Column) -> Column:

@@ -30,7 +30,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bind, stored, words
+from .common import bind, stored, words, wrapped
 
 #: Character classes; what is in none of them counts as other.
 CLASSES = (
@@ -118,10 +118,10 @@ def common_words(docs: DataFrame, p: QualityParams) -> dict[str, list[str]]:
     for part in (F.pmod(F.xxhash64("word"), F.lit(p.salts)), F.lit(0)):
         rank = F.row_number().over(Window.partitionBy("lang", part).orderBy(F.col("n").desc(), "word"))
         seen = seen.withColumn("i", rank).filter(F.col("i") <= p.n_common)
-    found: dict[str, list[str]] = {r["lang"]: [] for r in enough.collect()}
-    for r in sorted(seen.collect(), key=lambda r: (r["lang"], r["i"])):  # n_common rows a language
-        if r["lang"] in found:
-            found[r["lang"]].append(r["word"])
+    rows = enough.select("lang").join(seen.select("lang", "i", "word"), "lang", "left").collect()  # n_common rows for each language with a reference
+    found: dict[str, list[str]] = {r["lang"]: [] for r in rows}
+    for r in sorted((r for r in rows if r["word"] is not None), key=lambda r: (r["lang"], r["i"])):
+        found[r["lang"]].append(r["word"])
     return found
 
 
@@ -214,7 +214,7 @@ def quality_rules(docs: DataFrame, params: QualityParams | None = None) -> DataF
     common = common_words(docs, p)
     feats = stored(features(docs, sorted({w for ws in common.values() for w in ws}), p), "quality")
     scored = feats.crossJoin(F.broadcast(references(feats, common, p)))  # one row
-    judged = (F.col("_letters") >= p.min_letters) & (F.col("lang").isNull() | F.exists("_refs", lambda r: r["lang"] == F.col("lang")))
+    judged = F.col("_letters") >= p.min_letters  # a language without a reference is held against all
 
     def distances(r: Column) -> Column:
         return bind(
@@ -241,7 +241,6 @@ def quality_filter(docs: DataFrame, params: QualityParams | None = None) -> Data
     Rows are matched by doc_id and text, so repeated rows stay repeated.
     """
     key = F.struct(F.col("doc_id"), F.xxhash64("text"))
-    tagged = docs.withColumn("_k", F.to_json(key))
-    verdict = quality_rules(tagged.select(F.col("_k").alias("doc_id"), "text", "lang"), params)
+    verdict = quality_rules(docs.select(F.to_json(key).alias("doc_id"), "text", "lang"), params)
     rejected = verdict.filter(~F.col("kept")).select(F.col("doc_id").alias("_k")).distinct()
-    return tagged.join(rejected, "_k", "left_anti").drop("_k")
+    return wrapped(docs, _k=F.to_json(key)).join(rejected, "_k", "left_anti").select("_row.*")

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stored, stored
+from .common import drop_stored, stored, wrapped
 from .substring import odd_numbers
 
 BITS = 64
@@ -258,6 +258,6 @@ def keep_one(docs: DataFrame, params: SimHashParams | None = None) -> DataFrame:
     """``docs`` without near duplicates: of each group the document with the smallest doc_id stays, once."""
     found = labelled(docs, params or SimHashParams())
     kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("sig") == F.col("root_sig"))).select(F.col("doc_id").alias("_kept"), F.col("sig").alias("_kept_sig")).distinct()
-    taken = docs.withColumn("_sig", F.xxhash64("text"))
-    taken = taken.join(kept, taken["doc_id"].eqNullSafe(kept["_kept"]) & (taken["_sig"] == kept["_kept_sig"]), "left_semi").drop("_sig")
-    return taken.dropDuplicates(["doc_id", "text"])
+    taken = wrapped(docs, _id=F.col("doc_id"), _sig=F.xxhash64("text"))
+    taken = taken.join(kept, F.col("_id").eqNullSafe(F.col("_kept")) & (F.col("_sig") == F.col("_kept_sig")), "left_semi")
+    return taken.dropDuplicates(["_id", "_sig"]).select("_row.*")
