@@ -9,13 +9,18 @@ independent hashes.
 
 Nodes that agree on a band of the signature meet in a bucket.  A pair at the threshold
 misses all 32 bands of 5 with a chance below 10^-8.  Within a bucket pairs whose
-signatures agree too little to be linked (by six standard deviations) go; what is left
-is confirmed on the full sets.  Two rounds lose no link and need not try all pairs of a
-group: the first one links a bucket as a forest, the second tries whatever still lies
-in different components.  Buckets above ``hot`` nodes must agree on a second band of
-those they share, which leaves hardly any pair below 0.5 and misses less than one link
-in a million; a bucket that is dense even so is dealt out in chunks, and the nodes
-outside its largest component are tried against every chunk.
+signatures agree too little to be linked (by six standard deviations) go, and a forest
+over the others joins nodes to clusters, which hold every link.  Buckets above ``hot``
+nodes must agree on a second band of those they share, which leaves hardly any pair
+below 0.5 and misses less than one link in a million; a bucket that is dense even so
+is part of one cluster as it is.
+
+Links are confirmed on full sets, cluster by cluster: a task reaches all linked nodes
+from one another, and tries every pair that might still join two components.  Clusters
+above ``hot`` nodes or ``group_bytes`` are dealt out in chunks that share one node.
+Then only what lies outside a cluster's largest component visits the other chunks.  So
+no link is lost, and a group of linked nodes is never tried pair by pair; nodes that
+agree as much as links do without being any are, which no bound of a set can spare.
 
 Edges become components by alternating stars, each round written to the shared folder.
 
@@ -34,9 +39,10 @@ from math import sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bloom import Bloom, bloom
 from .common import NULL_ID, stored
 from .simhash import components
 from .substring import hash_words, mixed, odd_numbers, rolled
@@ -54,8 +60,12 @@ class MinHashParams:
     seed: int = 17
     #: nodes of a bucket that one task compares
     hot: int = 1000
-    #: nodes of a bucket up to which all pairs are confirmed in the first round
+    #: nodes of a bucket up to which all pairs that agree are edges of the cluster
     small: int = 6
+    #: bytes of sets that one task holds
+    group_bytes: int = 32 << 20
+    #: bits of the filter of documents whose sets are read again
+    max_bits: int = 1 << 28
     #: shingles that walk at once
     block: int = 100_000
 
@@ -119,6 +129,13 @@ def band_keys(signature: np.ndarray, p: MinHashParams) -> np.ndarray:
     return mixed((mixed(cut + U(1)) * odd_numbers(p.rows, p.seed + 2)).sum(2) + odd_numbers(n, p.seed + 3))
 
 
+def set_hashes(v: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """One 64-bit hash of each set; of no meaning for empty sets."""
+    total = np.concatenate(([U(0)], np.cumsum(mixed(v))))
+    ends = np.cumsum(size)
+    return mixed(total[ends] - total[ends - size] + size.astype(np.uint64)).view(np.int64)
+
+
 SKETCH = "doc_id bigint, sig bigint, n bigint, node bigint, keys array<bigint>, code binary"
 
 
@@ -130,8 +147,7 @@ def sketches(docs: DataFrame, p: MinHashParams) -> DataFrame:
             for batch in (whole.slice(a, 200) for a in range(0, whole.num_rows, 200)):
                 v, size = shingle_sets([t.as_py() or b"" for t in batch.column("text")], p)
                 s = signatures(v, size, p)
-                total = np.add.reduceat(np.append(mixed(v), U(0)), np.cumsum(size) - size) if len(v) else np.zeros(len(size), np.uint64)
-                node = mixed(total + size.astype(np.uint64)).view(np.int64)
+                node = set_hashes(v, size)
                 keys = band_keys(s, p)
                 ends = pa.array(np.arange(0, keys.size + 1, keys.shape[1]), pa.int32())
                 yield pa.RecordBatch.from_arrays(
@@ -148,17 +164,14 @@ def met(entries: DataFrame) -> DataFrame:
     return stored(entries.join(sizes, "key"), "met")
 
 
-def compare(buckets: DataFrame, nodes: DataFrame, solve, schema: str = "a bigint, b bigint") -> DataFrame:
-    """What ``solve`` gives for each bucket (key, node, side, comp) that joins with codes, whole buckets at a time."""
+def compare(buckets: DataFrame, nodes: DataFrame, p: MinHashParams) -> DataFrame:
+    """a, b: a forest over the pairs of each bucket (key, node) whose signatures agree enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def solved(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            key, node, side, comp = (t.column(c).to_numpy() for c in ("key", "node", "side", "comp"))
-            code = np.frombuffer(b"".join(t.column("code").to_pylist()), np.uint8).reshape(len(key), -1)
-            pairs = [solve(key, node, side, comp, code)]
-            a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+        def solved(t: pa.Table) -> pa.RecordBatch:
+            key, node = (t.column(c).to_numpy() for c in ("key", "node"))
+            a, b = forest(key, node, np.frombuffer(b"".join(t.column("code").to_pylist()), np.uint8).reshape(len(key), -1), p)
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
         held: list[pa.RecordBatch] = []
         for batch in batches:
@@ -167,18 +180,14 @@ def compare(buckets: DataFrame, nodes: DataFrame, solve, schema: str = "a bigint
                 t = pa.Table.from_batches(held)
                 key = t.column("key").to_numpy()
                 cut = int(np.searchsorted(key, key[-1]))
-                yield from solved(t.slice(0, cut)) if cut else ()
+                if cut:
+                    yield solved(t.slice(0, cut))
                 held = t.slice(cut).to_batches()
         if held:
-            yield from solved(pa.Table.from_batches(held))
-
-    full = buckets.join(nodes.select("node", "code"), "node").select("key", "node", "side", "comp", "code")
-    return full.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, schema).distinct()
-
+            yield solved(pa.Table.from_batches(held))
 
-def groups(key: np.ndarray) -> list[tuple[int, int]]:
-    head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-    return list(zip(head.tolist(), np.append(head[1:], len(key)).tolist(), strict=True))
+    full = buckets.join(nodes.select("node", "code"), "node").select("key", "node", "code")
+    return full.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def shifted(key: np.ndarray, code: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -195,122 +204,175 @@ def shifted(key: np.ndarray, code: np.ndarray, least: int) -> tuple[np.ndarray,
         shift += 1
 
 
-def forest(p: MinHashParams):
-    """First round: all pairs of small buckets, of others a forest over the pairs whose codes agree enough."""
-    least, small = p.least, p.small
-
-    def solve(key, node, side, comp, code):
-        bounds = groups(key)
-        size = np.repeat([b - a for a, b in bounds], [b - a for a, b in bounds])
-        few = np.flatnonzero(size <= small)
-        i, j = shifted(key[few], code[few], least)
-        out = [(node[few[i]], node[few[j]])]
-        for a, b in bounds:
-            if b - a <= small:
-                continue
-            left = np.arange(a, b)
-            while left.size > 1:
-                queue, left = [left[0]], left[1:]
-                while queue and left.size:
-                    at = queue.pop()
-                    near = (code[left] == code[at]).sum(1) >= least
-                    if near.any():
-                        reached, left = left[near], left[~near]
-                        out.append((np.full(len(reached), node[at]), node[reached]))
-                        queue += list(reached)
-        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
-
-    return solve
-
-
-def across(p: MinHashParams):
-    """Second round: all pairs in different components whose codes agree enough; rows of side 1 meet all, others only those."""
-    least = p.least
-
-    def solve(key, node, side, comp, code):
-        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-        for a, b in groups(key):
-            own = np.arange(a, b)
-            for i in own[side[a:b] == 1]:
-                other = own[(comp[own] != comp[i]) & ((side[own] == 0) | (own > i))]
-                near = other[(code[other] == code[i]).sum(1) >= least]
-                out.append((np.full(len(near), node[i]), node[near]))
-        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
-
-    return solve
-
-
-def confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, p: MinHashParams) -> DataFrame:
-    """The pairs (a, b) that the full sets of their documents confirm."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node")
-    wanted = stored(wanted.select("node", F.coalesce("doc_id", F.lit(NULL_ID)).alias("_id"), F.col("sig").alias("_sig")), "wanted")
+def forest(key: np.ndarray, node: np.ndarray, code: np.ndarray, p: MinHashParams) -> tuple[np.ndarray, np.ndarray]:
+    """Small buckets give all pairs whose codes agree enough, others a forest over them."""
+    head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    size = np.diff(np.append(head, len(key)))
+    few = np.flatnonzero(np.repeat(size <= p.small, size))
+    i, j = shifted(key[few], code[few], p.least)
+    out = [(node[few[i]], node[few[j]])]
+    for h, n in zip(head[size > p.small], size[size > p.small], strict=True):
+        left = np.arange(h, h + n)
+        while left.size > 1:
+            queue, left = [left[0]], left[1:]
+            while queue and left.size:
+                at = queue.pop()
+                near = (code[left] == code[at]).sum(1) >= p.least
+                if near.any():
+                    reached, left = left[near], left[~near]
+                    out.append((np.full(len(reached), node[at]), node[reached]))
+                    queue += list(reached)
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def members(docs: DataFrame, wanted: DataFrame, p: MinHashParams) -> DataFrame:
+    """node, members (its sorted shingles) for the nodes of ``wanted`` (node, doc_id, sig), and for some others.
+
+    A Bloom filter of the wanted documents stands where a join would shuffle all texts.
+    """
+    name = lambda doc_id, sig: F.xxhash64(F.coalesce(doc_id, F.lit(NULL_ID)), sig).alias("h")
+    words = bloom(wanted.select(name("doc_id", "sig")), wanted.count(), p.max_bits)
+    shared = docs.sparkSession.sparkContext.broadcast(words)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Bloom(shared.value)
         for whole in batches:
-            for batch in (whole.slice(a, 200) for a in range(0, whole.num_rows, 200)):
+            left = whole.filter(pa.array(known.holds(whole.column("h").to_numpy().view(np.uint64))))
+            for batch in (left.slice(a, 200) for a in range(0, left.num_rows, 200)):
                 v, size = shingle_sets([t.as_py() or b"" for t in batch.column("text")], p)
                 ends = np.cumsum(size)
-                yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([v[e - n : e].tobytes() for e, n in zip(ends, size, strict=True)], pa.binary())], names=["node", "members"])
+                blobs = [v[e - n : e].tobytes() for e, n in zip(ends, size, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(set_hashes(v, size)), pa.array(blobs, pa.binary())], names=["node", "members"])
 
-    texts = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_id"), F.xxhash64("text").alias("_sig"), F.col("text").cast("binary").alias("text"))
-    members = texts.join(wanted, ["_id", "_sig"]).select("node", "text").mapInArrow(sets, "node bigint, members binary")
-    members = stored(members.groupBy("node").agg(F.first("members").alias("members")), "sets")
+    rows = docs.select(name("doc_id", F.xxhash64("text")), F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(sets, "node bigint, members binary").groupBy("node").agg(F.first("members").alias("members"))
 
-    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                u, w = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                if len(u) > len(w):
-                    u, w = w, u
-                at = np.searchsorted(w, u)
-                common = int((w[np.minimum(at, len(w) - 1)] == u).sum())
-                keep.append(100 * common >= p.percent * (len(u) + len(w) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    both = pairs.join(members.select(F.col("node").alias("a"), F.col("members").alias("x")), "a").join(members.select(F.col("node").alias("b"), F.col("members").alias("y")), "b")
-    return stored(both.select("a", "b", "x", "y").mapInArrow(test, "a bigint, b bigint"), "links")
+class Group:
+    """Nodes that one task holds, with their components so far."""
 
+    def __init__(self, p: MinHashParams):
+        self.p, self.node, self.comp, self.aside, self.code, self.sets = p, [], [], [], [], []
 
-def chunk(node: Column, size: Column, hot: int) -> Column:
-    return F.pmod(F.xxhash64(node, F.lit(3)), F.ceil(size / hot))
+    def add(self, node: int, comp: int, aside: bool, code: bytes, sets: bytes) -> None:
+        self.node.append(node)
+        self.aside.append(aside)
+        self.comp.append(comp)
+        self.code.append(np.frombuffer(code, np.uint8))
+        self.sets.append(np.frombuffer(sets, np.uint64))
+
+    def ready(self) -> None:
+        self.ids, self.comps, self.codes = np.array(self.node, np.int64), np.array(self.comp, np.int64), np.array(self.code)
+        self.sizes, self.asides = np.array([len(x) for x in self.sets]), np.array(self.aside, bool)
+
+    def linked(self, code: np.ndarray, own: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Which of the nodes ``at`` link with a node of this code and set."""
+        t, n = self.p.percent, self.sizes[at]
+        at = at[(100 * n >= t * len(own)) & (100 * len(own) >= t * n)]
+        at = at[(self.codes[at] == code).sum(1) >= self.p.least]
+        if not at.size:
+            return at
+        both = np.concatenate([self.sets[i] for i in at])
+        hit = own[np.minimum(np.searchsorted(own, both), len(own) - 1)] == both
+        n = self.sizes[at]
+        common = np.add.reduceat(hit, np.cumsum(n) - n, dtype=np.int64)
+        return at[100 * common >= t * (len(own) + n - common)]
+
+    def within(self) -> Iterator[tuple[int, int]]:
+        """A forest over all links of the group."""
+        left = np.arange(len(self.ids))
+        while left.size > 1:
+            queue, left = [left[0]], left[1:]
+            while queue and left.size:
+                i = queue.pop()
+                near = self.linked(self.codes[i], self.sets[i], left)
+                if near.size:
+                    yield from ((self.node[i], self.node[j]) for j in near)
+                    queue += list(near)
+                    left = np.setdiff1d(left, near, assume_unique=True)
+
+
+def confirmed(dealt: DataFrame, again: bool, p: MinHashParams) -> DataFrame:
+    """a, b: links by full sets within the groups of ``dealt`` (key, visitor, aside, node, comp, code, members).
+
+    First time: a forest within each group.  Again: visitors, one after the other,
+    against the nodes of other components that the group holds; of two nodes that
+    visit each other's groups the smaller one does.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, group, open_ = None, Group(p), True
+        names = ("key", "visitor", "aside", "node", "comp", "code", "members")
+
+        def sent(pairs) -> Iterator[pa.RecordBatch]:
+            pairs = list(pairs)
+            if pairs:
+                yield pa.RecordBatch.from_arrays([pa.array([min(x) for x in pairs], pa.int64()), pa.array([max(x) for x in pairs], pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            for k, visitor, aside, node, comp, code, sets in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                if k != key:
+                    if not again and key is not None:
+                        group.ready()
+                        yield from sent(group.within())
+                    key, group, open_ = k, Group(p), True
+                if not visitor:
+                    group.add(node, comp, aside, code, sets)
+                    continue
+                if open_:
+                    group.ready()
+                    open_ = False
+                if group.node:
+                    at = np.flatnonzero((group.comps != comp) & (~group.asides | (group.ids > node)))
+                    found += [(node, group.node[j]) for j in group.linked(np.frombuffer(code, np.uint8), np.frombuffer(sets, np.uint64), at)]
+            yield from sent(found)
+        if not again and key is not None:
+            group.ready()
+            yield from sent(group.within())
+
+    return stored(dealt.repartition("key").sortWithinPartitions("key", "visitor", "node").mapInArrow(run, "a bigint, b bigint"), "links")
 
 
 def links(docs: DataFrame, nodes: DataFrame, p: MinHashParams) -> DataFrame:
     """Edges a, b between nodes (node, doc_id, sig, keys, code) whose components are those of all links."""
     own = met(nodes.select(F.explode("keys").alias("key"), "node"))
     large = F.col("size") > p.hot
-    buckets = own.filter(~large).select("key", "node", "size")
-    dense = None
-    if not own.filter(large).isEmpty():
-        shared = own.filter(large).groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("k"))  # at most one for each band
+    buckets, dense = own.filter(~large).select("key", "node"), own.filter(large)
+    if not dense.isEmpty():
+        shared = dense.groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("k"))  # at most one for each band
         two = F.explode(F.flatten(F.transform("k", lambda x, i: F.transform(F.slice("k", i + 2, F.size("k")), lambda y: F.xxhash64(x, y)))))
-        again = met(shared.select(two.alias("key"), "node"))
-        buckets, dense = buckets.unionByName(again.filter(~large).select("key", "node", "size")), again.filter(large)
-    dealt = buckets
-    if dense is not None:
-        dealt = dealt.unionByName(dense.select(F.xxhash64("key", chunk(F.col("node"), F.col("size"), p.hot)).alias("key"), "node", "size"))
-    none = (F.lit(0).alias("side"), F.lit(0).cast("long").alias("comp"))
-    tried = stored(compare(dealt.select("key", "node", *none), nodes, forest(p)), "pairs")
+        dense = met(shared.select(two.alias("key"), "node"))
+        buckets, dense = buckets.unionByName(dense.filter(~large).select("key", "node")), dense.filter(large)
+    tried = compare(buckets, nodes, p)
+    least = dense.groupBy("key").agg(F.min("node").alias("a"))
+    tried = stored(tried.unionByName(dense.join(least, "key").select("a", F.col("node").alias("b")).filter("a <> b").distinct()), "pairs")
     if tried.isEmpty():
         return tried
-    sure = confirmed(docs, nodes, tried, p)
-    roots = components(sure)
-    comp = lambda rows: rows.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
-    # what one component fills needs no second look
-    open_ = comp(buckets.filter(F.col("size") > p.small))
-    several = open_.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("key")
-    second = open_.join(several, "key").select("key", "node", F.lit(1).alias("side"), "comp")
-    if dense is not None:
-        placed = stored(comp(dense), "dense")
-        main = placed.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("comps")).filter("comps > 1")
-        placed = placed.join(main, "key")
-        aside = placed.filter("comp <> main")
-        every = F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("size") / p.hot) - 1))
-        second = second.unionByName(aside.select("key", "node", F.lit(1).alias("side"), "comp", every.alias("c")).select(F.xxhash64("key", "c").alias("key"), "node", "side", "comp"))
-        second = second.unionByName(placed.filter("comp = main").select(F.xxhash64("key", chunk(F.col("node"), F.col("size"), p.hot)).alias("key"), "node", F.lit(0).alias("side"), "comp"))
-    rest = stored(compare(second, nodes, across(p)).join(tried, ["a", "b"], "left_anti"), "pairs")
-    return sure if rest.isEmpty() else sure.unionByName(confirmed(docs, nodes, rest, p))
+    clusters = components(tried).select("node", F.col("root").alias("cluster"))
+    clusters = clusters.unionByName(clusters.select(F.col("cluster").alias("node"), "cluster").distinct())
+    placed = clusters.join(nodes.select("node", "doc_id", "sig", "code"), "node")
+    placed = stored(placed, "clusters")
+    full = placed.select("node", "cluster", "code").join(members(docs, placed.select("node", "doc_id", "sig"), p), "node")
+    sizes = full.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / p.hot), F.ceil(F.sum(F.length("members")) / p.group_bytes)).alias("chunks"), F.min("node").alias("anchor"))
+    full = stored(full.join(sizes, "cluster"), "members")
+    mark = F.pmod(F.xxhash64("node", F.lit(3)), F.col("chunks"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("c")
+    columns = ("key", "visitor", "aside", "node", "comp", "code", "members")
+    plain = (F.lit(False).alias("visitor"), F.lit(False).alias("aside"), F.lit(0).cast("long").alias("comp"))
+    # a cluster's anchor stands in each of its chunks, so that chunks of one group come together
+    first = full.filter("node <> anchor").select("cluster", mark.alias("c"), "node", "code", "members").unionByName(full.filter("node = anchor").select("cluster", every, "node", "code", "members"))
+    sure = confirmed(first.select(F.xxhash64("cluster", "c").alias("key"), *plain, "node", "code", "members").select(*columns), False, p)
+    cut = full.filter("chunks > 1")
+    if cut.isEmpty():
+        return sure
+    comp = cut.join(components(sure), "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+    counts = comp.groupBy("cluster", "comp").agg(F.count("*").alias("n"))
+    main = counts.groupBy("cluster").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("comps")).filter("comps > 1").drop("comps")
+    rest = stored(comp.join(main, "cluster").withColumn("aside", F.col("comp") != F.col("main")).withColumn("own", mark), "aside")
+    visits = rest.filter("aside").select("*", every).filter("c <> own").withColumn("visitor", F.lit(True))
+    second = visits.unionByName(rest.withColumns({"c": F.col("own"), "visitor": F.lit(False)}))
+    return sure.unionByName(confirmed(second.withColumn("key", F.xxhash64("cluster", "c")).select(*columns), True, p))
 
 
 def near_duplicates(docs: DataFrame, params: MinHashParams | None = None) -> DataFrame:

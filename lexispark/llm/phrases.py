@@ -28,13 +28,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bloom import Bloom, bloom
 from .common import stored
-from .substring import mixed, odd_numbers
+from .substring import mixed
 
 U = np.uint64
 #: Pieces end at these; words end at blanks and tabs.
 ENDS = b".,;:!?\n\x0b\x0c\r"
 PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t" + ENDS, b"abcdefghijklmnopqrstuvwxyz " + b"\n" * len(ENDS))
+#: Rows sent at once.
+ROWS = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -105,19 +108,6 @@ class Patterns:
     size: np.ndarray
 
 
-class Bloom:
-    def __init__(self, words: np.ndarray):
-        self.words, self.mask = words, U(64 * len(words) - 1)
-
-    @staticmethod
-    def places(h: np.ndarray, bits: int) -> np.ndarray:
-        return np.concatenate([mixed(h + m) & U(bits - 1) for m in odd_numbers(4, 5)])
-
-    def holds(self, h: np.ndarray) -> np.ndarray:
-        at = self.places(h, int(self.mask) + 1)
-        return (self.words[(at >> U(6)).astype(np.int64)] >> (at & U(63)) & U(1)).astype(bool).reshape(4, -1).all(0)
-
-
 def word_hashes(lang: str, words: list[str]) -> np.ndarray:
     from xxhash import xxh64_intdigest
 
@@ -182,42 +172,43 @@ def shards(docs: DataFrame, p: PhraseParams) -> DataFrame:
     return docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.col("text").cast("binary").alias("text")).mapInArrow(build, SHARD)
 
 
-def counted(lang: str, phrases: pa.Array, size: int, n: np.ndarray) -> pa.RecordBatch:
-    k = len(n)
-    return pa.RecordBatch.from_arrays([pa.repeat(lang, k), phrases, pa.repeat(pa.scalar(size, pa.int32()), k), pa.array(n, pa.int64())], names=["lang", "phrase", "size", "n"])
+def counted(lang: str, size: int, n: np.ndarray, phrases) -> Iterator[pa.RecordBatch]:
+    """Counts as rows, some at a time; ``phrases`` gives the texts from one place to another."""
+    for a in range(0, len(n), ROWS):
+        k = len(n[a : a + ROWS])
+        yield pa.RecordBatch.from_arrays([pa.repeat(lang, k), phrases(a, a + k), pa.repeat(pa.scalar(size, pa.int32()), k), pa.array(n[a : a + k], pa.int64())], names=["lang", "phrase", "size", "n"])
 
 
 def summed(found: DataFrame, p: PhraseParams) -> DataFrame:
-    """Counts across shards, of phrases that are frequent."""
-    return stored(found.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n")).filter(F.col("n") >= p.min_count), "phrases")
+    """Counts across shards, of phrases that are frequent.
+
+    A shard has counted its own phrases, so counts are dealt out as they are: a task's
+    shards have few phrases in common, and a hash map of them all would fill its memory.
+    """
+    return stored(found.repartition("lang", "phrase", "size").groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n")).filter(F.col("n") >= p.min_count), "phrases")
 
 
 def word_counts(index: DataFrame, p: PhraseParams) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                yield counted(batch.column("lang")[r].as_py(), batch.column("words")[r].values, 1, np.frombuffer(batch.column("counts")[r].as_py(), "<i8"))
+                own = batch.column("words")[r].values
+                yield from counted(batch.column("lang")[r].as_py(), 1, np.frombuffer(batch.column("counts")[r].as_py(), "<i8"), lambda a, z, own=own: own[a:z])
 
     return summed(index.select("lang", "words", "counts").mapInArrow(run, COUNTED), p)
 
 
-def bloom(frequent: DataFrame, p: PhraseParams) -> np.ndarray:
-    """The filter's words for all phrases of ``frequent`` (of one or two words): at most ``max_bits`` bits."""
-    bits = min(p.max_bits, max(1 << 16, 1 << (16 * frequent.count()).bit_length()))
+def filter_of(frequent: DataFrame, p: PhraseParams) -> np.ndarray:
+    """The words of a filter for all phrases of ``frequent`` (of one or two words)."""
 
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lang in set(batch.column("lang").to_pylist()):
                 phrases = batch.filter(pc.equal(batch.column("lang"), lang)).column("phrase").to_pylist()
                 parts = [word_hashes(lang, list(x)) for x in zip(*(q.split(" ") for q in phrases), strict=True)]
-                at = Bloom.places(parts[0] if len(parts) == 1 else pair_hashes(*parts), bits)
-                yield pa.RecordBatch.from_arrays([pa.array((at >> U(6)).astype(np.int64)), pa.array((at & U(63)).astype(np.int32))], names=["slot", "bit"])
+                yield pa.RecordBatch.from_arrays([pa.array((parts[0] if len(parts) == 1 else pair_hashes(*parts)).view(np.int64))], names=["h"])
 
-    set_bits = frequent.select("lang", "phrase").mapInArrow(places, "slot bigint, bit int")
-    got = set_bits.groupBy("slot").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("w")).toArrow()  # at most bits / 64 rows
-    out = np.zeros(bits // 64, np.uint64)
-    out[got.column("slot").to_numpy()] = got.column("w").to_numpy().view(np.uint64)
-    return out
+    return bloom(frequent.select("lang", "phrase").mapInArrow(hashes, "h bigint"), frequent.count(), p.max_bits)
 
 
 def phrase_counts(index: DataFrame, words: np.ndarray, pairs: np.ndarray | None, p: PhraseParams) -> DataFrame:
@@ -245,7 +236,7 @@ def phrase_counts(index: DataFrame, words: np.ndarray, pairs: np.ndarray | None,
                 for size in range(2, deepest + 1):
                     found, side = fm.extended(found, side), 1 - side
                     if size > 2 or pairs is None:
-                        yield counted(lang, pc.binary_join_element_wise(*(own.take(pa.array(c - 1)) for c in found.ids.T), " "), size, found.size)
+                        yield from counted(lang, size, found.size, lambda a, z, own=own, ids=found.ids: pc.binary_join_element_wise(*(own.take(pa.array(c - 1)) for c in ids[a:z].T), " "))
                 del fm, found
                 pa.default_memory_pool().release_unused()
 
@@ -257,9 +248,9 @@ def frequent_phrases(docs: DataFrame, params: PhraseParams | None = None) -> tup
     p = params or PhraseParams()
     index = stored(shards(docs, p), "shards")
     words = word_counts(index, p)
-    by_word = bloom(words, p)
+    by_word = filter_of(words, p)
     pairs = phrase_counts(index, by_word, None, p)
-    longer = phrase_counts(index, by_word, bloom(pairs, p), p) if p.most_words > 2 else pairs.limit(0)
+    longer = phrase_counts(index, by_word, filter_of(pairs, p), p) if p.most_words > 2 else pairs.limit(0)
     return words.unionByName(pairs).unionByName(longer), index.groupBy("lang").agg(F.sum("n").alias("n"))
 
 

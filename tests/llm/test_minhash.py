@@ -52,7 +52,7 @@ def family(rng, base, n, edits):
     return out
 
 
-@pytest.mark.parametrize("p", [MinHashParams(), MinHashParams(hot=5, small=2), MinHashParams(hot=20, small=3, block=50), MinHashParams(percent=60, values=250)])
+@pytest.mark.parametrize("p", [MinHashParams(), MinHashParams(hot=5, small=2), MinHashParams(hot=20, small=3, block=50), MinHashParams(hot=10, group_bytes=5000, max_bits=64), MinHashParams(percent=60, values=250)])
 def test_components_equal_brute_force(spark, docs, p):
     rng = random.Random(8)
     texts = [t for size in (8, 40, 120, 300) for t in family(rng, [f"w{rng.randrange(10**6)}" for _ in range(size)], 45, max(1, size // 35))]

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from lexispark.llm import phrases
+from lexispark.llm.bloom import Bloom
 from lexispark.llm.phrases import FMIndex, PhraseParams
 
 
@@ -73,7 +74,7 @@ def test_large_counts_and_empty(spark, docs):
 def test_filter_never_loses():
     h = phrases.word_hashes("en", [f"w{i}" for i in range(3000)])
     words = np.zeros(1 << 10, np.uint64)
-    at = phrases.Bloom.places(h, 1 << 16)
+    at = Bloom.places(h, 1 << 16)
     np.bitwise_or.at(words, (at >> np.uint64(6)).astype(int), np.uint64(1) << (at & np.uint64(63)))
-    b = phrases.Bloom(words)
+    b = Bloom(words)
     assert b.holds(h).all() and b.holds(phrases.word_hashes("fr", [f"w{i}" for i in range(3000)])).mean() < 0.05
