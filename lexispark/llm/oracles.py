@@ -12,7 +12,7 @@ def _quality() -> str:
     p = QualityParams()
     has = lambda rx: f"len(regexp_extract_all(t, '{rx}'))"
     lower, upper = has("[a-z]"), has(r"[\p{Lu}]")
-    classes = [lower, upper, rf"({has('[\p{L}]')} - {lower} - {upper})", has("[0-9]"), has(r"[\x20\x09-\x0D]"), has("[.,;:''()-]")]
+    classes = [lower, upper, rf"({has(r'[\p{L}]')} - {lower} - {upper})", has("[0-9]"), has(r"[\x20\x09-\x0D]"), has("[.,;:''()-]")]
     cls = ", ".join(classes)
     k = p.n_common
     counts = f"list_transform(range(1, {k + 1}), lambda i: len(list_filter(lw, lambda x: x = words[i])))"

@@ -8,9 +8,12 @@ every word that stands left of it (or right of it) at once, and the other interv
 follows, so extensions may change sides.
 
 Counts grow no more as phrases do, so what is too rare is cut before it is extended:
-words first, then pairs.  What is frequent is known only across shards and grows with
-the corpus; the shards get it as a Bloom filter of at most ``max_bits`` bits.  A full
-filter lets more phrases pass, which costs time and never changes a count.
+words first, then pairs, then longer phrases.  What is frequent is known only across
+shards and grows with the corpus; the shards get it as Bloom filters of at most
+``max_bits`` bits.  A full filter lets more phrases pass, which costs time and never
+changes a count.  Most phrases are rare, so those of all sizes but the last are first
+counted by 32 bits of a hash within a part, packed, which only tells what goes into the
+filter; the last pass counts what the filters let pass by its words.
 
 Edge cases: null text is empty; a null lang counts as ``und``; repeated rows count
 each time; a piece is never cut, however long; an empty table gives no rows; other
@@ -29,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bloom import Bloom, bloom
-from .common import stored
+from .common import partitions, stored
 from .substring import mixed
 
 U = np.uint64
@@ -51,6 +54,8 @@ class PhraseParams:
     top: int = 2000
     shard_bytes: int = 3 << 20
     max_bits: int = 1 << 28
+    #: word occurrences of the corpus for each part by which phrases are counted
+    part_words: int = 4_000_000
 
 
 class FMIndex:
@@ -107,6 +112,9 @@ class Patterns:
     low: list[np.ndarray]
     size: np.ndarray
 
+    def taken(self, own: np.ndarray) -> Patterns:
+        return Patterns(self.ids[own], [x[own] for x in self.low], self.size[own])
+
 
 def word_hashes(lang: str, words: list[str]) -> np.ndarray:
     from xxhash import xxh64_intdigest
@@ -115,8 +123,12 @@ def word_hashes(lang: str, words: list[str]) -> np.ndarray:
     return np.array([xxh64_intdigest(w, seed) for w in words], np.uint64)
 
 
-def pair_hashes(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    return mixed(left * U(0x9E3779B97F4A7C15) + right)
+def gram_hashes(h: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """A hash of each row of ids from the hashes of its words."""
+    out = h[ids[:, 0]]
+    for column in ids.T[1:]:
+        out = mixed(out * U(0x9E3779B97F4A7C15) + h[column])
+    return out
 
 
 def shard_of(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
@@ -198,46 +210,136 @@ def word_counts(index: DataFrame, p: PhraseParams) -> DataFrame:
     return summed(index.select("lang", "words", "counts").mapInArrow(run, COUNTED), p)
 
 
-def filter_of(frequent: DataFrame, p: PhraseParams) -> np.ndarray:
-    """The words of a filter for all phrases of ``frequent`` (of one or two words)."""
-
+def filter_of_words(frequent: DataFrame, p: PhraseParams) -> np.ndarray:
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lang in set(batch.column("lang").to_pylist()):
-                phrases = batch.filter(pc.equal(batch.column("lang"), lang)).column("phrase").to_pylist()
-                parts = [word_hashes(lang, list(x)) for x in zip(*(q.split(" ") for q in phrases), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array((parts[0] if len(parts) == 1 else pair_hashes(*parts)).view(np.int64))], names=["h"])
+                words = batch.filter(pc.equal(batch.column("lang"), lang)).column("phrase").to_pylist()
+                yield pa.RecordBatch.from_arrays([pa.array(word_hashes(lang, words).view(np.int64))], names=["h"])
 
     return bloom(frequent.select("lang", "phrase").mapInArrow(hashes, "h bigint"), frequent.count(), p.max_bits)
 
 
-def phrase_counts(index: DataFrame, words: np.ndarray, pairs: np.ndarray | None, p: PhraseParams) -> DataFrame:
-    """Pairs whose words pass the filter ``words``; with the filter ``pairs`` the longer phrases, all pairs of which pass it."""
+@dataclass
+class Filters:
+    """Bloom filters of frequent words, pairs and longer phrases, in this order."""
+
+    words: list[np.ndarray]
+    parts: int
+
+    def ready(self) -> list[Bloom]:
+        return [Bloom(w) for w in self.words]
+
+    def cell(self, h: np.ndarray) -> np.ndarray:
+        """The part of a hash and 32 of its bits: what phrases are counted by before they are known to be frequent."""
+        return (h % U(self.parts)) << U(32) | h >> U(32)
+
+
+def phrases_of(lang: str, own: pa.Array, ids: np.ndarray, deepest: int, f: Filters, known: list[Bloom]) -> Iterator[tuple[int, Patterns, np.ndarray]]:
+    """Size, patterns and hashes of a shard's phrases up to ``deepest`` words that the filters let pass."""
+    h = np.concatenate((np.zeros(1, np.uint64), word_hashes(lang, own.to_pylist())))
+    ids = joined(np.where(np.concatenate(([False], known[0].holds(h[1:])))[ids], ids, 0))
+    if len(known) > 1:  # cut between the words of pairs that are too rare
+        cut = np.flatnonzero((ids[1:] == 0) | (ids[:-1] == 0) | ~known[1].holds(f.cell(gram_hashes(h, np.stack((ids[:-1], ids[1:]), 1)))))
+        ids = joined(np.insert(ids, cut + 1, 0))
+        lone = (ids[:-2] == 0) & (ids[2:] == 0)
+        ids = joined(np.where(np.concatenate(([False], lone, [False])), 0, ids))
+    if not ids.any():
+        return
+    fm = FMIndex(ids, deepest)
+    found, side = fm.words(), 0
+    for size in range(2, deepest + 1):
+        found, side = fm.extended(found, side), 1 - side
+        keep = np.ones(len(found.size), bool)
+        if 2 < size - 1 < len(known) + 1:
+            for inner in (found.ids[:, 1:], found.ids[:, :-1]):
+                keep &= known[size - 2].holds(f.cell(gram_hashes(h, inner)))
+        key = gram_hashes(h, found.ids)
+        if 2 < size < len(known) + 1:
+            keep &= known[size - 1].holds(f.cell(key))
+        found, key = found.taken(keep), key[keep]
+        yield size, found, key
+
+
+def filter_of_phrases(index: DataFrame, size: int, f: Filters, p: PhraseParams) -> np.ndarray:
+    """The filter of phrases of ``size`` words that are frequent, or share their 32 bits and part with such.
+
+    A shard sends each part the bits of its phrases, packed: without counts those that it has once.
+    """
     spark = index.sparkSession
-    shared = spark.sparkContext.broadcast((words, pairs))
-    deepest = 2 if pairs is None else p.most_words
+    shared, parts = spark.sparkContext.broadcast(f), f.parts
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = shared.value
+        known = f.ready()
+        for batch in batches:
+            for r in range(batch.num_rows):
+                for s, found, key in phrases_of(batch.column("lang")[r].as_py(), batch.column("words")[r].values, np.frombuffer(batch.column("ids")[r].as_py(), "<i4"), size, f, known):
+                    if s < size:
+                        continue
+                    cell = f.cell(key)
+                    order = np.argsort(cell)
+                    cell, n = cell[order], found.size[order]
+                    ends = np.searchsorted(cell, np.arange(1, parts + 1, dtype=np.uint64) << U(32))
+                    rows, a = [], 0
+                    for part, z in enumerate(ends.tolist()):
+                        if z > a:
+                            bits, many = cell[a:z].astype(np.uint32), n[a:z] > 1
+                            rows.append((part, bits[~many].tobytes(), bits[many].tobytes(), n[a:z][many].astype(np.int64).tobytes()))
+                        a = z
+                    if rows:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["part", "once", "bits", "n"])
+                pa.default_memory_pool().release_unused()
+
+    least, hold = p.min_count, 1 << 22
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, bits, n, held = None, [], [], 0
+
+        def thinned() -> tuple[np.ndarray, np.ndarray]:
+            all_, count = np.concatenate(bits), np.concatenate(n)
+            order = np.argsort(all_, kind="stable")
+            all_, count = all_[order], count[order]
+            head = np.flatnonzero(np.concatenate(([True], all_[1:] != all_[:-1])))
+            return all_[head], np.add.reduceat(count, head)
+
+        def frequent() -> pa.RecordBatch:
+            all_, count = thinned()
+            return pa.RecordBatch.from_arrays([pa.array((U(part) << U(32) | all_[count >= least].astype(np.uint64)).view(np.int64))], names=["h"])
+
+        for batch in batches:
+            for k, once, many, count in zip(*(batch.column(c).to_pylist() for c in ("part", "once", "bits", "n")), strict=True):
+                if k != part:
+                    if bits:
+                        yield frequent()
+                    part, bits, n, held = k, [], [], 0
+                one = np.frombuffer(once, np.uint32)
+                bits += [one, np.frombuffer(many, np.uint32)]
+                n += [np.ones(len(one), np.int64), np.frombuffer(count, np.int64)]
+                held += len(one) + len(n[-1])
+                if held > 2 * hold:
+                    x, c = thinned()
+                    bits, n, held = [x], [c], len(x)
+        if bits:
+            yield frequent()
+
+    sent = index.select("lang", "words", "ids").mapInArrow(send, "part int, once binary, bits binary, n binary")
+    cells = stored(sent.repartition("part").sortWithinPartitions("part").mapInArrow(add, "h bigint"), "cells")
+    return bloom(cells, cells.count(), p.max_bits)
+
+
+def phrase_counts(index: DataFrame, f: Filters, p: PhraseParams) -> DataFrame:
+    """Counts of the frequent phrases of two words and more."""
+    shared = index.sparkSession.sparkContext.broadcast(f)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_word, by_pair = (None if x is None else Bloom(x) for x in shared.value)
+        f = shared.value
+        known = f.ready()
         for batch in batches:
             for r in range(batch.num_rows):
-                lang, own, ids = batch.column("lang")[r].as_py(), batch.column("words")[r].values, np.frombuffer(batch.column("ids")[r].as_py(), "<i4")
-                h = np.concatenate((np.zeros(1, np.uint64), word_hashes(lang, own.to_pylist())))
-                ids = joined(np.where(np.concatenate(([False], by_word.holds(h[1:])))[ids], ids, 0))
-                if by_pair is not None:  # cut between the words of pairs that are too rare
-                    cut = np.flatnonzero((ids[1:] == 0) | (ids[:-1] == 0) | ~by_pair.holds(pair_hashes(h[ids[:-1]], h[ids[1:]])))
-                    ids = joined(np.insert(ids, cut + 1, 0))
-                    lone = (ids[:-2] == 0) & (ids[2:] == 0)
-                    ids = joined(np.where(np.concatenate(([False], lone, [False])), 0, ids))
-                if not ids.any():
-                    continue
-                fm = FMIndex(ids, deepest)
-                found, side = fm.words(), 0
-                for size in range(2, deepest + 1):
-                    found, side = fm.extended(found, side), 1 - side
-                    if size > 2 or pairs is None:
-                        yield from counted(lang, size, found.size, lambda a, z, own=own, ids=found.ids: pc.binary_join_element_wise(*(own.take(pa.array(c - 1)) for c in ids[a:z].T), " "))
-                del fm, found
+                lang, own = batch.column("lang")[r].as_py(), batch.column("words")[r].values
+                for size, found, _ in phrases_of(lang, own, np.frombuffer(batch.column("ids")[r].as_py(), "<i4"), p.most_words, f, known):
+                    yield from counted(lang, size, found.size, lambda a, z, own=own, ids=found.ids: pc.binary_join_element_wise(*(own.take(pa.array(c - 1)) for c in ids[a:z].T), " "))
                 pa.default_memory_pool().release_unused()
 
     return summed(index.select("lang", "words", "ids").mapInArrow(run, COUNTED), p)
@@ -247,11 +349,13 @@ def frequent_phrases(docs: DataFrame, params: PhraseParams | None = None) -> tup
     """lang, phrase, size, n of all frequent words and phrases; and lang, n: the word occurrences of each language."""
     p = params or PhraseParams()
     index = stored(shards(docs, p), "shards")
+    totals = index.groupBy("lang").agg(F.sum("n").alias("n"))
     words = word_counts(index, p)
-    by_word = filter_of(words, p)
-    pairs = phrase_counts(index, by_word, None, p)
-    longer = phrase_counts(index, by_word, filter_of(pairs, p), p) if p.most_words > 2 else pairs.limit(0)
-    return words.unionByName(pairs).unionByName(longer), index.groupBy("lang").agg(F.sum("n").alias("n"))
+    total = index.agg(F.sum("n")).first()[0] or 0
+    f = Filters([filter_of_words(words, p)], max(partitions(docs.sparkSession), -(-total // p.part_words)))
+    for size in range(2, p.most_words):
+        f = Filters([*f.words, filter_of_phrases(index, size, f, p)], f.parts)
+    return words.unionByName(phrase_counts(index, f, p)), totals
 
 
 def collocations(docs: DataFrame, params: PhraseParams | None = None) -> DataFrame:
