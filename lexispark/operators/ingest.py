@@ -120,6 +120,9 @@ def circulars(run: Ingest, contents: DataFrame, only_chapter: int | None = None)
         F.xxhash64("circular_id", "clause_number").alias("id"), "circular_id", "clause_number", F.col("url").alias("source_url"), "chapter_number", "section_number", "title", "full_text", "paragraphs", "pos",
     )
     own = merge.latest(own, ["circular_id", "clause_number"], "pos")
+    path = f"{run.store.root}/raw/clauses-{time.time_ns()}"
+    own.write.parquet(path)
+    own = spark.read.parquet(path)
     heads = named.select("id", "formal_name", "abbr", F.col("url").alias("source_root_url"))
     reports, names = [], [r["formal_name"] for r in named.collect()]
     before = {n: diff.clause_snapshot(run.store.read("clause"), run.store.read("circular"), n) for n in names}
@@ -131,8 +134,8 @@ def circulars(run: Ingest, contents: DataFrame, only_chapter: int | None = None)
     scope = entries.select("circular_id", *(["chapter_number"] if only_chapter else [])).distinct()
     unread = entries.select("circular_id", F.col("url").alias("source_url")).distinct().join(own.select("circular_id", "source_url").distinct(), ["circular_id", "source_url"], "left_anti")
     old = run.store["clause"].read()
-    kept = old.join(scope, scope.columns, "left_anti").unionByName(old.join(scope, scope.columns, "left_semi").join(unread, ["circular_id", "source_url"], "left_semi").select(*old.columns))
-    run.store["clause"].overwrite(merge.upserted(kept, own, ["circular_id", "clause_number"]))
+    lost = old.join(scope, scope.columns, "left_semi").join(unread, ["circular_id", "source_url"], "left_anti")
+    run.store["clause"].merge(own, "pos", gone=lost)
     bad = raw.filter("error IS NOT NULL").select("url")
     counts = {r["circular_id"]: (r["n"], r["bad"]) for r in entries.join(bad.withColumn("_b", F.lit(1)), "url", "left").groupBy("circular_id").agg(F.count("*").alias("n"), F.count("_b").alias("bad")).collect()}
     ids = {r["formal_name"]: r["id"] for r in named.collect()}

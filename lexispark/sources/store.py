@@ -40,7 +40,10 @@ class Store:
     def append_run(self, run: DataFrame) -> None:
         """Add runs, keeping the latest of each doc_type."""
         t = self["run_history"]
-        t.overwrite(diff.last_runs(t.read().unionByName(run.select(*t.read().columns)), HISTORY_LIMIT))
+        t.append(run)
+        over = t.read().join(diff.last_runs(t.read(), HISTORY_LIMIT).select(*t.keys), t.keys, "left_anti")
+        if not over.isEmpty():
+            t.delete(over)
 
 
 def read_history_json(spark: SparkSession, path: str) -> DataFrame:
