@@ -45,9 +45,13 @@ def arguments(argv: list[str]) -> argparse.Namespace:
 def execute(engine: Engine, a: argparse.Namespace) -> DataFrame:
     spark = engine.spark
     if a.command == "ingest":
-        return ingest.documents(engine.run, a.doc_type, spark.createDataFrame([(u,) for u in a.url], "url string"), a.limit, a.taxonomy)
+        found = ingest.documents(engine.run, a.doc_type, spark.createDataFrame([(u,) for u in a.url], "url string"), a.limit, a.taxonomy)
+        engine.store.sync()
+        return found
     if a.command == "circular":
-        return ingest.circulars(engine.run, spark.createDataFrame([(a.name, a.abbr, a.url)], "formal_name string, abbr string, url string"), a.chapter)
+        found = ingest.circulars(engine.run, spark.createDataFrame([(a.name, a.abbr, a.url)], "formal_name string, abbr string, url string"), a.chapter)
+        engine.store.sync()
+        return found
     if a.command == "search":
         return engine.search_documents(a.keyword, a.doc_type, a.taxonomy, limit=a.limit) if a.doc_type else engine.search_circulars(a.keyword, limit=a.limit)
     if a.command == "stale":

@@ -216,8 +216,8 @@ def scores(rows: DataFrame, mean: float) -> DataFrame:
     return rows.select("query_id", "segment", "parts").mapInArrow(run, f"query_id {kind}, segment bigint, place int, score double")
 
 
-def top(queries: DataFrame, blocks: DataFrame, segments: DataFrame, n: int, total: int, limit: int) -> tuple[DataFrame, DataFrame]:
-    """The best rows of each query (query_id, key, rank, position); and turn and bound of each segment with whether it was scored."""
+def top(queries: DataFrame, blocks: DataFrame, segments: DataFrame, n: int, total: int, limit: int, kind: str = "string") -> tuple[DataFrame, DataFrame]:
+    """The best rows of each query (query_id, key of type ``kind``, rank, position); and turn and bound of each segment with whether it was scored."""
     mean = total / n if n else 1.0
     plan = written(bounded(queries, blocks, segments, F.lit(n), F.lit(mean)), "bounds")
     first = written(scores(plan.filter(F.col("turn") <= SEEDS), mean), "seeds")
@@ -228,7 +228,7 @@ def top(queries: DataFrame, blocks: DataFrame, segments: DataFrame, n: int, tota
     hits = first.unionByName(rest)
     # more than ``limit`` rows of a segment can't be among the best, but for ties
     near = hits.withColumn("r", F.rank().over(Window.partitionBy("query_id", "segment").orderBy(F.round("score", 9).desc()))).filter(F.col("r") <= limit)
-    named = near.join(segments.select("segment", "keys"), "segment").select("query_id", F.element_at("keys", F.col("place") + 1).alias("key"), (-F.round("score", 9)).alias("rank"))
+    named = near.join(segments.select("segment", "keys"), "segment").select("query_id", F.element_at("keys", F.col("place") + 1).cast(kind).alias("key"), (-F.round("score", 9)).alias("rank"))
     ranked = named.withColumn("position", F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "key")))
     return ranked.filter(F.col("position") <= limit), seen.select("query_id", "segment", "turn", "bound", "scored")
 
@@ -237,13 +237,7 @@ def search_once(rows: DataFrame, queries: DataFrame, key: str, columns: tuple[st
     """``top`` over an index made for these queries; keys keep their type."""
     blocks, segments = build(rows, key, columns)
     n, total = segments.agg(F.sum(F.size("keys")), F.sum(F.aggregate("lens", F.lit(0).cast("long"), lambda a, x: a + x))).first()
-    found, _ = top(queries, blocks, segments, n or 0, total or 0, limit)
-    kind = rows.schema[key].dataType
-    if kind.simpleString() == "string":
-        return found
-    # keys of other types are ordered as such
-    typed = found.withColumn("key", F.col("key").cast(kind))
-    return typed.withColumn("position", F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "key")))
+    return top(queries, blocks, segments, n or 0, total or 0, limit, rows.schema[key].dataType.simpleString())[0]
 
 
 # -- maintenance

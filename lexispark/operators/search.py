@@ -7,19 +7,17 @@ average length are those of the whole index, before any filter.  Terms below
 three characters never hit and empty the result.
 
 Two strategies give the same rows.  ``scan`` counts the terms of one query in
-the texts, one pass without an index.  ``search_batch`` answers a table of
-queries from postings of trigrams: each term's rarest trigram names candidate
-rows, which are verified by counting.
+the texts, one pass without an index.  ``postings`` answers a table of queries from
+positional trigrams, made for them or kept in step with a table.
 """
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.binding import bind
 from ..functions.text import BLANKS, NARROW, WIDE
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -93,49 +91,3 @@ def scan(rows: DataFrame, keyword: str, key: str, columns: tuple[str, ...], keep
     score = sum((term_score(F.col(f"_tf{i}"), F.col(f"_df{i}"), F.col("_n"), F.col("_len"), F.col("_mean")) for i in range(len(terms))), F.lit(0.0))
     out = hits.select(*rows.columns, (-score).alias("rank"), snippet(F.col(columns[-1]), terms[0]).alias("snippet"))
     return out.orderBy("rank", key).limit(clamp_limit(limit))
-
-
-def postings(rows: DataFrame, key: str, columns: tuple[str, ...]) -> DataFrame:
-    """gram, key: the distinct folded trigrams of each row."""
-    def own(c: str) -> Column:
-        letters = F.filter(F.split(F.lower(F.coalesce(F.col(c), F.lit(""))), ""), lambda x: x != "")
-        cut = lambda a: F.transform(F.slice(a, 1, F.greatest(F.size(a) - 2, F.lit(0))), lambda x, i: F.concat(x, F.get(a, i + 1), F.get(a, i + 2)))
-        return bind(letters, cut)
-
-    grams = F.concat(*[own(c) for c in columns])
-    return rows.select(F.explode(F.array_distinct(grams)).alias("gram"), F.col(key).alias("key"))
-
-
-def search_batch(rows: DataFrame, queries: DataFrame, key: str, columns: tuple[str, ...], limit: int = LIMIT, index: DataFrame | None = None) -> DataFrame:
-    """query_id, key, rank, position of the ``limit`` best rows of each query (query_id, keyword).
-
-    ``index`` is a table that ``postings`` made of the same rows.
-    """
-    index = postings(rows, key, columns) if index is None else index
-    clean = F.translate(F.col("keyword"), WIDE, NARROW)
-    clean = F.trim(F.regexp_replace(F.regexp_replace(clean, r'[\r\n\t"*:()]', " "), f"{BLANKS}+", " "))
-    asked = queries.select("query_id", F.filter(F.split(F.lower(clean), " "), lambda t: t != "").alias("terms")).filter(F.size("terms") > 0)
-    asked = asked.filter(F.forall("terms", lambda t: F.length(t) >= 3))
-    wanted = asked.select("query_id", F.posexplode("terms").alias("place", "term"))
-    terms = wanted.select("term").distinct()
-    of_term = F.transform(F.sequence(F.lit(1), F.length("term") - 2), lambda i: F.substring("term", i, F.lit(3)))
-    grams = terms.select("term", F.explode(F.array_distinct(of_term)).alias("gram"))
-    sizes = index.join(grams.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
-    rarest = grams.join(sizes, "gram").groupBy("term").agg(F.min(F.struct("n", "gram")).alias("g"), F.count("*").alias("known"))
-    # a term with a trigram that no row has cannot hit
-    whole = grams.groupBy("term").agg(F.count("*").alias("all"))
-    rarest = rarest.join(whole, "term").filter(F.col("known") == F.col("all")).select("term", F.col("g.gram").alias("gram"))
-    candidates = index.join(rarest, "gram").select("term", "key")
-    texts = rows.select(F.col(key).alias("key"), *[F.lower(F.coalesce(F.col(c), F.lit(""))).alias(f"_c{i}") for i, c in enumerate(columns)])
-    tf = sum((hit_count(F.col(f"_c{i}"), F.col("term")) for i in range(len(columns))), F.lit(0))
-    length = sum((trigrams(F.col(f"_c{i}")) for i in range(len(columns))), F.lit(0))
-    hits = candidates.join(texts, "key").select("term", "key", tf.alias("tf"), length.alias("len")).filter(F.col("tf") > 0)
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    stats = texts.agg(F.count("*").alias("n"), F.avg(length).alias("mean"))
-    scored = hits.join(df, "term").crossJoin(F.broadcast(stats))  # one row
-    scored = scored.select("term", "key", term_score(F.col("tf"), F.col("df"), F.col("n"), F.col("len"), F.col("mean")).alias("score"))
-    found = wanted.join(scored, "term").groupBy("query_id", "key").agg(F.sum("score").alias("score"), F.count("*").alias("hit"))
-    found = found.join(asked.select("query_id", F.size("terms").alias("size")), "query_id").filter(F.col("hit") == F.col("size"))
-    ranked = found.select("query_id", "key", (-F.round("score", 9)).alias("rank"))
-    order = Window.partitionBy("query_id").orderBy("rank", "key")
-    return ranked.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= limit)

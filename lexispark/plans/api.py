@@ -76,9 +76,8 @@ class Engine:
         return self.search_documents(keyword, "bunshokaitou", taxonomy, **given)
 
     def search_many(self, queries: DataFrame, limit: int = search.LIMIT) -> DataFrame:
-        """Queries (query_id, keyword) over all documents at once; key is doc_type and doc_id."""
-        rows = self.store.read("document").withColumn("_key", F.concat_ws("/", "doc_type", "doc_id"))
-        return search.search_batch(rows, queries, "_key", TEXT, limit)
+        """Queries (query_id, keyword) over all documents at once, by the index kept with the store; key is doc_type and doc_id."""
+        return self.store.index("document").search(queries, limit)[0]
 
     # -- lookups
 
@@ -106,15 +105,15 @@ class Engine:
     def available_clauses(self, name: str, limit: int = 50) -> DataFrame:
         return lookup.available_clauses(self.store.read("clause"), self.store.read("circular"), name, limit)
 
-    def get_documents(self, requests: DataFrame, live: DataFrame | None = None) -> DataFrame:
+    def get_documents(self, requests: DataFrame, live: DataFrame | None = None, rows: DataFrame | None = None) -> DataFrame:
         """Documents of the requests (doc_type, doc_id); rows of ``live`` stand in for those not stored."""
-        rows = self.store.read("document")
+        rows = self.store.read("document") if rows is None else rows
         return lookup.with_fallback(requests, rows, rows.limit(0) if live is None else live.select(*rows.columns), ["doc_type", "doc_id"])
 
     def get_or_fetch(self, doc_type: str, doc_id: str, url: str | None) -> DataFrame:
         """The stored document; with a ``url``, one that is not stored is read from there and written back."""
         asked = self._ask(doc_type, doc_id)
-        found = self.get_documents(asked)
+        found = self.get_document(doc_type, doc_id)
         if url is None or not found.isEmpty():
             return found
         return self.get_documents(asked, ingest.live_documents(self.run, doc_type, self.spark.createDataFrame([(url,)], "url string")).filter(F.col("doc_id") == doc_id)).withColumn("source", F.lit("live"))
@@ -132,14 +131,18 @@ class Engine:
             raise ValueError(f"no folder for {number}")
         return self.get_or_fetch("tax-answer", number, site and f"{site}/taxes/shiraberu/taxanswer/{urls.ANSWER_FOLDERS[number[:1]]}/{number}.htm")
 
+    def get_document(self, doc_type: str, doc_id: str) -> DataFrame:
+        """One stored document; only its bucket is opened."""
+        return self.get_documents(self._ask(doc_type, doc_id), rows=self.store["document"].lookup([(doc_type, doc_id)]))
+
     def get_revision(self, doc_id: str) -> DataFrame:
-        return self.get_documents(self._ask("kaisei", doc_id))
+        return self.get_document("kaisei", doc_id)
 
     def get_guideline(self, doc_id: str) -> DataFrame:
-        return self.get_documents(self._ask("jimu-unei", doc_id))
+        return self.get_document("jimu-unei", doc_id)
 
     def get_reply(self, doc_id: str) -> DataFrame:
-        return self.get_documents(self._ask("bunshokaitou", doc_id))
+        return self.get_document("bunshokaitou", doc_id)
 
     def _ask(self, doc_type: str, doc_id: str) -> DataFrame:
         return self.spark.range(1).select(F.lit(doc_type).alias("doc_type"), F.lit(doc_id).alias("doc_id"))
@@ -160,7 +163,7 @@ class Engine:
 
     def inspect_pdfs(self, doc_type: str, doc_id: str) -> DataFrame:
         """The document's files with their kinds, by priority, with reading hints and what the document binds."""
-        own = self.get_documents(self._ask(doc_type, doc_id))
+        own = self.get_document(doc_type, doc_id)
         filled = pdf.by_priority(pdf.fill_kinds(F.col("attached_pdfs")))
         return own.select("doc_type", "doc_id", "title", filled.alias("pdfs"), pdf.hints(F.col("attached_pdfs")).alias("hints"), self._binding(doc_type).alias("binding"))
 

@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from ..functions.quality import HISTORY_LIMIT
 from ..operators import diff
 from ..operators.merge import Table
+from ..operators.postings import SearchIndex
 from ..schema import SCHEMA_VERSION, TABLES
 
+#: Tables with a full-text index, and its columns.
+INDEXED = {"document": ("title", "full_text"), "clause": ("clause_number", "title", "full_text")}
 HISTORY = "doc_type string, history array<struct<ran_at:timestamp,total:bigint,fetched:bigint,failed:bigint,new_docs:bigint,updated_docs:bigint,orphaned_docs:bigint,moved_docs:bigint,fail_rate:double,duration_ms:bigint>>"
 
 
@@ -30,6 +33,15 @@ class Store:
     def __getitem__(self, name: str) -> Table:
         return self.tables[name]
 
+    def index(self, name: str) -> SearchIndex:
+        """The full-text index of a table; it catches up with the table whenever it is searched or refreshed."""
+        return SearchIndex(self.spark, self.root, f"index/{name}", self[name], INDEXED[name])
+
+    def sync(self) -> None:
+        """Bring all indexes up to date, so that no search has to."""
+        for name in INDEXED:
+            self.index(name).refresh()
+
     def read(self, name: str) -> DataFrame:
         return self.tables[name].read()
 

@@ -89,14 +89,16 @@ def test_a_maintained_index_equals_a_rebuild(spark, table, index):
 def test_blocks_are_skipped(spark, monkeypatch):
     monkeypatch.setattr(postings, "SEGMENT_DOCS", 8)
     monkeypatch.setattr(postings, "SEEDS", 2)
-    rows = corpus(spark).coalesce(1).cache()
-    words = ["the and", "tion", "ation with"]
+    # few rows are much better than the others
+    data = [(f"k{i:03d}", "", " ".join(["filler text"] * (5 + i % 40) + ["target word"] * (i % 3 == 0) * (1 if i % 50 else 2 + i // 10))) for i in range(400)]
+    rows = spark.createDataFrame(data, SCHEMA).coalesce(1).cache()
+    words = ["target", "target word", "filler"]
     blocks, segments = postings.build(rows, "k", ("title", "body"))
     n, total = segments.agg(F.sum(F.size("keys")), F.sum(F.aggregate("lens", F.lit(0).cast("long"), lambda a, x: a + x))).first()
     found, plan = postings.top(asked(spark, words), blocks, segments, n, total, 3)
     assert by_index(found) == by_scan(rows, 3, words)
     skipped = plan.filter("NOT scored").groupBy("query_id").count().collect()
-    assert sum(r["count"] for r in skipped) > 0.2 * plan.count()
+    assert sum(r["count"] for r in skipped if r["query_id"] < 2) > 0.5 * plan.filter("query_id < 2").count()
 
 
 def test_an_interrupted_refresh_is_made_good(spark, table, index, monkeypatch):

@@ -2,7 +2,7 @@ import sqlite3
 
 import pytest
 
-from lexispark.operators import search
+from lexispark.operators import postings, search
 from lexispark.plans.catalogue import documents
 
 D = "/root/testdata/sf0.001"
@@ -33,7 +33,7 @@ def test_batch_equals_scan(spark):
     asked = ["thanea", "ation with", "the", "of", "zzzz", "ＴＨＥ　and"]
     queries = spark.createDataFrame(list(enumerate(asked)), "query_id int, keyword string")
     got = {}
-    for r in search.search_batch(rows, queries, "doc_id", ("title", "full_text"), 10).orderBy("query_id", "position").collect():
+    for r in postings.search_once(rows, queries, "doc_id", ("title", "full_text"), 10).orderBy("query_id", "position").collect():
         got.setdefault(r["query_id"], []).append((r["key"], round(r["rank"], 6)))
     for i, k in enumerate(asked):
         want = [(r["doc_id"], round(r["rank"], 6)) for r in search.scan(rows, k, "doc_id", ("title", "full_text"), limit=10).collect()]
