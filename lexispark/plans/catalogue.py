@@ -7,13 +7,15 @@ for fetches and runs, conversations for sections with ordered clauses.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, pdf, quality, text, urls
-from ..operators import diff, lookup, merge, pages, postings, render, search
+from ..operators import diff, lookup, merge, pages, postings, render, search, snapshots
+from ..sources.scratch import scratch_dir
 
 NOW = "2024-02-15T00:00:00Z"
 NOW_SQL = "TIMESTAMP '2024-02-15 00:00:00'"
@@ -410,6 +412,13 @@ def diff_four_patterns(spark, sf_dir):
     return diff.changes(*two_snapshots(spark, sf_dir))
 
 
+@query(SNAPSHOTS + "SELECT * FROM c WHERE status <> 'same'")
+def diff_digests(spark, sf_dir):
+    """Two stored snapshots compared by their digests."""
+    stored = [snapshots.Snapshot.write(s, f"{scratch_dir(spark)}/snapshot-{uuid.uuid4().hex}", 64) for s in two_snapshots(spark, sf_dir)]
+    return snapshots.changed(*stored)
+
+
 @query(SNAPSHOTS + "SELECT * FROM c WHERE status = 'orphaned' AND title IN (SELECT title FROM c WHERE status = 'new')")
 def diff_moved_semi(spark, sf_dir):
     return diff.moved(diff.changes(*two_snapshots(spark, sf_dir)))
@@ -502,9 +511,15 @@ def page_charset(spark, sf_dir):
     return p.select("page_id", F.regexp_extract("html", "<title>(.*?)</title>", 1).alias("raw_title"), pages.detect_charset(F.lit(None).cast("string"), F.col("html")).alias("charset"))
 
 
-@query()
+# the pages' links are absolute or start at the host's root
+@query(r"""
+WITH h AS (SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS own, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS found FROM pages),
+l AS (SELECT page_id, unnest(found) AS href, generate_subscripts(found, 1) AS i, scheme, own FROM h),
+a AS (SELECT page_id, i, CASE WHEN regexp_matches(href, '^[a-z]+://') THEN href WHEN href LIKE '//%' THEN scheme || ':' || href ELSE scheme || '://' || own || href END AS link FROM l),
+f AS (SELECT page_id, link, min(i) AS i FROM a GROUP BY 1, 2)
+SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY i) - 1)::INT AS pos, link, regexp_extract(link, '^[a-z]+://([^/?#]+)', 1) AS host FROM f""")
 def page_links(spark, sf_dir):
-    """Absolute links of every page, keep-first: no SQL resolves URLs."""
+    """Absolute links of every page, the first of each."""
     return pages.links(table(spark, sf_dir, "pages"))
 
 
