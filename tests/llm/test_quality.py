@@ -66,7 +66,8 @@ def test_any_language_gets_a_reference(spark, docs):
 
     rows = [(100 * k + i, text(lang, i), lang) for k, lang in enumerate(alphabet) for i in range(30)]
     rows += [(900, text("pl", 900).replace("a", "#%"), "pl"), (901, text("pl", 901), "pt"), (902, text("pt", 902), None), (903, "7 " * 20 + " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(120)), "pt"), (904, text("pt", 904), "xx")]
+    rows += [(905, rows[-2][1], "xx")]  # a language of few documents is held against all references
     got = {r["doc_id"]: (r["kept"], r["ref_lang"]) for r in quality_rules(docs(*rows)).collect()}
     assert all(got[100 * k + i] == (True, lang) for k, lang in enumerate(alphabet) for i in range(30))
-    assert got[901] == (True, "pl") and got[902] == (True, "pt") and got[904] == (True, None)
-    assert not got[903][0]
+    assert got[901] == (True, "pl") and got[902] == (True, "pt") and got[904] == (True, "pt")
+    assert not got[903][0] and not got[905][0]
