@@ -54,12 +54,13 @@ REACH = 80
 CELL = 256
 #: Stands for the characters of base spans where tokens are looked for.
 MASK = "\ufdd0"
+MOST_ROUNDS = 200
 
 
 @dataclass(frozen=True)
 class PiiParams:
-    #: the rounds go on until a state repeats; an error beyond so many
-    rounds: int = 200
+    #: rounds go on until a state repeats, and fail beyond MOST_ROUNDS; fewer stop on purpose before all is known
+    rounds: int = MOST_ROUNDS
     #: distinct known instances of a kind that a pattern needs
     min_support: int = 3
     min_confidence: float = 0.6
@@ -240,7 +241,9 @@ def learn(occ: DataFrame, p: PiiParams) -> DataFrame:
         if state in states or not state[0]:
             return found.select("inst", "k")
         states.add(state)
-    raise RuntimeError("scores did not settle")
+    if p.rounds >= MOST_ROUNDS:
+        raise RuntimeError("scores did not settle")
+    return found.select("inst", "k")
 
 
 def spans_string(spans: Column) -> Column:
