@@ -132,17 +132,20 @@ def features(docs: DataFrame, vocabulary: list[str], p: QualityParams) -> DataFr
     lines = F.filter(F.split("_t", "\n"), lambda s: s.rlike(r"[^\x20\x09-\x0D]"))
     # a column of its own, as two expressions use it
     df = df.withColumn("_l", lowered(F.col("_t")))
+    # what few characters are counted of, without the runs of others
+    df = df.withColumns({"_marks": F.regexp_replace("_t", r"[^0-9.,;:'()\-#*$%&|<>]+", ""), "_capitals": F.regexp_replace("_t", r"[\x00-@\[-\x7F]+", "")})
     ends = (F.get("_l", 0) == "").cast("int") + ((F.size("_l") > 1) & (F.element_at("_l", -1) == "")).cast("int")  # only they can be empty
     removed = lambda rx: (F.length("_t") - F.length(F.regexp_replace("_t", rx, ""))).cast("long")
     word_chars = F.length(F.array_join("_w", "")).cast("long")
     frequent = {"lower": removed("[a-z]+"), "space": F.length("_t").cast("long") - word_chars}  # words and breaks make a text
-    counts = [frequent.get(name, F.regexp_count("_t", F.lit(rx)).cast("long")) for name, rx in CLASSES]
+    within = {"upper": "_capitals", "accented": "_capitals", "digit": "_marks", "stop": "_marks"}
+    counts = [frequent[name] if name in frequent else F.regexp_count(within[name], F.lit(rx)).cast("long") for name, rx in CLASSES]
     df = df.select(
         "doc_id",
         "lang",
         F.size("_w").cast("long").alias("n_words"),
         word_chars.alias("word_chars"),
-        F.regexp_count("_t", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
+        F.regexp_count("_marks", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         bind(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("_w")).alias("n_repeat_words"),
         F.length("_t").cast("long").alias("_chars"),
