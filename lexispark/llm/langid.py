@@ -34,6 +34,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stored
+
 #: ASCII other than a-z becomes a blank before n-grams are taken.
 PLAIN = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 
@@ -96,7 +98,8 @@ def codewords(n: int, p: LangParams) -> np.ndarray:
 def fit(docs: DataFrame, p: LangParams) -> LangModel | None:
     """Fit the bit classifiers on the bounded sample of labelled training documents."""
     labelled = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    sizes = labelled.groupBy(F.col("lang").alias("_lang")).agg(F.count("*").alias("_n"))
+    # written, so that Spark knows how small it is and joins without shuffling texts
+    sizes = stored(labelled.groupBy(F.col("lang").alias("_lang")).agg(F.count("*").alias("_n")), "lang-sizes")
     n_langs = sizes.count()
     if not n_langs:
         return None
