@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import BLANKS, NARROW, WIDE
+from . import snippets
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 LIMIT, MAX_LIMIT = 10, 50
@@ -56,8 +57,8 @@ def term_score(tf: Column, df: Column, n: Column, length: Column, mean: Column)
     return idf(n, df) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
 
 
-def snippet(text: Column, term: str) -> Column:
-    """``SNIPPET`` characters from the first hit of a term, the hit in bold, dots where the text is cut."""
+def first_hit(text: Column, term: str) -> Column:
+    """Without leaving the JVM, for any number of rows: ``SNIPPET`` characters from the first hit of a term, the hit in bold, dots where the text is cut."""
     at = F.locate(term.lower(), F.lower(text))
     size = len(term)
     tail = F.substring(text, at + size, F.lit(max(SNIPPET - size, 0)))
@@ -70,7 +71,7 @@ def snippet(text: Column, term: str) -> Column:
 
 
 def scan(rows: DataFrame, keyword: str, key: str, columns: tuple[str, ...], keep: Column | None = None, limit: int | None = None, short_terms: bool = False) -> DataFrame:
-    """The best rows for one query: all columns of ``rows`` with rank and snippet, in the order of (rank, key).
+    """The best rows for one query: all columns of ``rows`` with rank and snippet (of the last column), in the order of (rank, key).
 
     ``keep`` filters after the statistics are taken.  ``short_terms`` lets terms
     of one or two characters hit as substrings, too.
@@ -89,5 +90,5 @@ def scan(rows: DataFrame, keyword: str, key: str, columns: tuple[str, ...], keep
         hits = hits.filter(keep)
     hits = hits.crossJoin(F.broadcast(stats))  # one row
     score = sum((term_score(F.col(f"_tf{i}"), F.col(f"_df{i}"), F.col("_n"), F.col("_len"), F.col("_mean")) for i in range(len(terms))), F.lit(0.0))
-    out = hits.select(*rows.columns, (-score).alias("rank"), snippet(F.col(columns[-1]), terms[0]).alias("snippet"))
-    return out.orderBy("rank", key).limit(clamp_limit(limit))
+    best = hits.select(*rows.columns, (-score).alias("rank")).orderBy("rank", key).limit(clamp_limit(limit))
+    return best.withColumn("snippet", snippets.snippet(F.col(columns[-1]), F.lit(terms)))

@@ -161,7 +161,7 @@ def search_batch_and(spark, sf_dir):
 @query(f"""SELECT doc_id, CASE WHEN i > 0 THEN CASE WHEN i > 1 THEN ' … ' ELSE '' END || '<b>' || substring(t, i, 4) || '</b>' || substring(t, i + 4, 14) || CASE WHEN i + 18 <= length(t) THEN ' … ' ELSE '' END ELSE substring(t, 1, 18) END AS snippet
 FROM (SELECT doc_id, full_text AS t, strpos(lower(full_text), 'tion') AS i FROM ({DOCS_SQL}))""")
 def search_snippet(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", search.snippet(F.col("full_text"), "Tion").alias("snippet"))
+    return documents(spark, sf_dir).select("doc_id", search.first_hit(F.col("full_text"), "Tion").alias("snippet"))
 
 
 # ---- scalar functions ---------------------------------------------------------------------------

@@ -50,5 +50,5 @@ def test_snippet_and_quoting(spark):
     df = spark.createDataFrame([(1, "", "aaaaaa \\E x"), (2, "t", "the quick brown fox jumps over the lazy dog")], "id int, title string, body string")
     assert search.scan(df, "aaa", "id", ("title", "body")).count() == 1
     assert search.scan(df, "\\E x", "id", ("title", "body"), short_terms=True).first()["id"] == 1
-    assert search.scan(df, "quick", "id", ("title", "body")).first()["snippet"] == " … <b>quick</b> brown fox ju … "
+    assert search.scan(df, "quick", "id", ("title", "body")).first()["snippet"] == "the <b>quick</b> brown fo … "
     assert search.scan(df, "ab", "id", ("title", "body")).count() == 0
