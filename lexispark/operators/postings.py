@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import written
-from . import search
+from . import search, snippets
 from .merge import Manifest, Table
 
 SEGMENT_DOCS, HELD_DOCS, HELD_CHARS = 256, 4096, 1 << 23
@@ -240,6 +240,13 @@ def search_once(rows: DataFrame, queries: DataFrame, key: str, columns: tuple[st
     return top(queries, blocks, segments, n or 0, total or 0, limit, rows.schema[key].dataType.simpleString())[0]
 
 
+def shown(found: DataFrame, queries: DataFrame, rows: DataFrame, key: Column, column: str) -> DataFrame:
+    """The rows of a search (query_id, key, ...) with the snippet of ``column``; only texts of found rows are read into windows."""
+    texts = rows.select(key.alias("key"), F.col(column).alias("_text"))
+    asked = found.join(asked_terms(queries).withColumnRenamed("terms", "_terms"), "query_id").join(texts, "key")
+    return asked.select(*found.columns, snippets.snippet(F.col("_text"), F.col("_terms")).alias("snippet"))
+
+
 # -- maintenance
 
 

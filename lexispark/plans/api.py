@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import pdf, text, urls
-from ..operators import diff, ingest, lookup, pages, render, search
+from ..operators import diff, ingest, lookup, pages, postings, render, search
 from ..schema import DOC_TYPES, legal_status
 from ..sources import fetch as source
 from ..sources.store import Store
@@ -77,7 +77,8 @@ class Engine:
 
     def search_many(self, queries: DataFrame, limit: int = search.LIMIT) -> DataFrame:
         """Queries (query_id, keyword) over all documents at once, by the index kept with the store; key is doc_type and doc_id."""
-        return self.store.index("document").search(queries, limit)[0]
+        index = self.store.index("document")
+        return postings.shown(index.search(queries, limit)[0], queries, self.store.read("document"), index.key(), "full_text")
 
     # -- lookups
 

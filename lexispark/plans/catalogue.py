@@ -130,6 +130,12 @@ def search_batch_topk(spark, sf_dir):
     return found.select("query_id", "key", F.round("rank", 6).alias("rank"), "position")
 
 
+def and_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.filter(F.split(F.regexp_replace(F.lower("text"), "[^a-z]+", " "), " "), lambda w: w != "")
+    longest = F.array_max(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.concat_ws(" ", F.get(words, 1), longest).alias("keyword"))
+
+
 # the second and the longest word of an item; the second may be too short to hit
 AND_SQL = "SELECT item_id AS query_id, ws[2] AS a, list_sort(list_transform(ws, lambda w: lpad(length(w)::VARCHAR, 4, '0') || w), 'DESC')[1][5:] AS b FROM (SELECT item_id, list_filter(string_split(regexp_replace(lower(text), '[^a-z]+', ' ', 'g'), ' '), lambda w: w <> '') AS ws FROM benchmark)"
 
@@ -151,10 +157,7 @@ r AS (SELECT q.query_id, doc_id AS key, sum(CASE WHEN ln((n - df + 0.5) / (df +
       FROM two JOIN q USING (query_id) JOIN h USING (doc_id, term) JOIN f USING (term), s GROUP BY 1, 2)
 SELECT query_id, key, round(-score, 6) AS rank, position FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(-score, 9), key)::INT AS position FROM r) WHERE position <= 5""")
 def search_batch_and(spark, sf_dir):
-    words = F.filter(F.split(F.regexp_replace(F.lower("text"), "[^a-z]+", " "), " "), lambda w: w != "")
-    longest = F.array_max(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.concat_ws(" ", F.get(words, 1), longest).alias("keyword"))
-    found = postings.search_once(documents(spark, sf_dir), queries, "doc_id", ("title", "full_text"), limit=5)
+    found = postings.search_once(documents(spark, sf_dir), and_queries(spark, sf_dir), "doc_id", ("title", "full_text"), limit=5)
     return found.select("query_id", "key", F.round("rank", 6).alias("rank"), "position")
 
 
@@ -164,6 +167,48 @@ def search_snippet(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", search.first_hit(F.col("full_text"), "Tion").alias("snippet"))
 
 
+def window_sql(shown: str, columns: str) -> str:
+    """Snippets of ``shown`` (id, body, terms and ``columns``): scores of windows, then the marks as islands of hits."""
+    last = "max({z}) OVER (PARTITION BY id ORDER BY {pos}, {z} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    return f"""
+WITH shown AS ({shown}),
+hits AS (SELECT id, i AS term, length(terms[i]) - 2 AS size, unnest(list_filter(range(0, length(x) - length(terms[i]) + 1), lambda p: substring(x, p + 1, length(terms[i])) = terms[i])) AS pos
+         FROM (SELECT id, lower(body) AS x, terms, unnest(range(1, len(terms) + 1)) AS i FROM shown)),
+cut AS (SELECT id, string_split_regex(body, '[.:][ \t\n\r]+') AS parts, regexp_extract_all(body, '[.:][ \t\n\r]+') AS seps FROM shown),
+stop AS (SELECT id, coalesce(list_sum(list_transform(parts[1:k], lambda v: length(v))), 0)::BIGINT + coalesce(list_sum(list_transform(seps[1:k - 1], lambda v: length(v))), 0)::BIGINT AS o, length(seps[k]) AS n
+         FROM (SELECT *, unnest(range(1, len(seps) + 1)) AS k FROM cut)),
+starts AS (SELECT id, 0 AS s FROM shown UNION ALL SELECT id, unnest(range(o + 2, o + n + 1)) FROM stop),
+governed AS (SELECT id, pos, term, max(s) AS s FROM hits JOIN starts USING (id) WHERE s <= pos GROUP BY ALL),
+tried AS (SELECT id, pos, term, pos AS s, 0 AS kind FROM hits UNION ALL SELECT id, pos, term, s, 1 FROM governed JOIN shown USING (id) WHERE s < pos AND length(body) - 2 > 16),
+scored AS (SELECT t.id, t.pos, t.term, t.s, t.kind, count(DISTINCT h.term) AS d, count(h.term) AS n, arg_max(h.pos + h.size, h.pos * 100 + h.term) AS z
+           FROM tried t LEFT JOIN hits h ON h.id = t.id AND h.pos >= t.s AND h.pos < t.s + 16 GROUP BY ALL),
+best AS (SELECT id, arg_min(struct_pack(s := s, kind := kind, z := z), struct_pack(score := -(999 * d + n + CASE WHEN kind = 0 THEN 0 WHEN s = 0 THEN 120 ELSE 100 END), pos := pos, term := term, kind := kind)) AS b FROM scored GROUP BY id),
+placed AS (SELECT id, CASE WHEN b IS NULL THEN 0 WHEN b.kind = 1 THEN b.s ELSE greatest(0, least(b.s - (16 - (b.z - b.s)) // 2, length(body) - 18)) END AS w FROM shown LEFT JOIN best USING (id)),
+runs AS (SELECT id, min(pos) AS a, max(pos + size - 1) AS z FROM (SELECT *, sum(new) OVER (PARTITION BY id ORDER BY pos, z) AS run FROM
+         (SELECT *, pos + size - 1 AS z, CASE WHEN pos <= {last.format(pos="pos", z="pos + size - 1")} THEN 0 ELSE 1 END AS new FROM hits)) GROUP BY id, run),
+bold AS (SELECT id, min(a) AS a, max(z) AS z FROM (SELECT *, sum(new) OVER (PARTITION BY id ORDER BY a, z) AS run FROM
+         (SELECT *, CASE WHEN a < {last.format(pos="a", z="z")} THEN 0 ELSE 1 END AS new FROM (SELECT id, a, least(z, w + 15) + 3 AS z FROM runs JOIN placed USING (id) WHERE a >= w AND a < w + 16))) GROUP BY id, run),
+marks AS (SELECT id, string_agg(substring(body, before + 1, a - before) || '<b>' || substring(body, a + 1, z - a) || '</b>', '' ORDER BY a) AS head, max(z) AS z FROM
+          (SELECT bold.id, a, z, body, lag(z, 1, w) OVER (PARTITION BY bold.id ORDER BY a) AS before FROM bold JOIN placed USING (id) JOIN shown USING (id)) GROUP BY id)
+SELECT {columns}, CASE WHEN w > 0 THEN ' … ' ELSE '' END || coalesce(head, '') || substring(body, coalesce(z, w) + 1, w + 18 - coalesce(z, w)) || CASE WHEN w + 18 < length(body) THEN ' … ' ELSE '' END AS snippet
+FROM shown JOIN placed USING (id) LEFT JOIN marks USING (id)"""
+
+
+@query(window_sql(f"SELECT doc_id AS id, doc_id, rank, full_text AS body, ['ation', 'with'] AS terms FROM ({search_sql(['ation', 'with'], 'true', 50)}) JOIN ({DOCS_SQL}) USING (doc_id)", "doc_id, rank"))
+def search_best_snippet(spark, sf_dir):
+    """The window of each of the best rows that shows the query best."""
+    found = search.scan(documents(spark, sf_dir), "ation with", "doc_id", ("title", "full_text"), limit=50)
+    return found.select("doc_id", F.round("rank", 6).alias("rank"), "snippet")
+
+
+@query(window_sql(f"SELECT query_id || '/' || key AS id, query_id, key, position, full_text AS body, [a, b] AS terms FROM ({ORACLES['search_batch_and']}) JOIN ({AND_SQL}) USING (query_id) JOIN ({DOCS_SQL}) d ON key = d.doc_id", "query_id, key, position"))
+def search_batch_snippets(spark, sf_dir):
+    """Two-term queries answered together, with the window of every row found."""
+    docs, queries = documents(spark, sf_dir), and_queries(spark, sf_dir)
+    found = postings.search_once(docs, queries, "doc_id", ("title", "full_text"), limit=5)
+    return postings.shown(found, queries, docs, F.col("doc_id"), "full_text").select("query_id", "key", "position", "snippet")
+
+
 # ---- scalar functions ---------------------------------------------------------------------------
 
 WIDENED = "translate(text, '-~0123456789 ', '－～０１２３４５６７８９　')"
