@@ -21,6 +21,14 @@ KIND_PATTERNS = (
 KIND_ORDER = ("comparison", "attachment", "qa-pdf", "related", "notice", "unknown")
 KIND_LABELS = {"comparison": "🔄 新旧対照表", "attachment": "📎 別紙・別表", "qa-pdf": "❓ Q&A", "related": "📚 参考資料", "notice": "📢 通知・連絡", "unknown": "📄 その他"}
 KIND_TOOLS = {"comparison": "extract_tables", "attachment": "extract_tables", "qa-pdf": "read_text", "related": "read_text", "notice": "read_text", "unknown": "read_text"}
+KIND_NOTES = {
+    "comparison": "extract_tables で改正後/改正前の差分を表として抽出するのが最優先。失敗時は read_text に fallback。",
+    "attachment": "extract_tables で表組みの別紙・別表・様式を構造化抽出。本文ベースで読みたい時は read_text を併用。",
+    "qa-pdf": "read_text で全文を取得し、Q/A の流れを読む。",
+    "related": "read_text で全文を取得。文脈次第で読むか判断。",
+    "notice": "read_text で連絡内容を確認。LLM 要約には通常含めない。",
+    "unknown": "read_text で先頭ページをサンプリングし、内容を把握する。",
+}
 SIZE = r"(?i)PDF[^/]*/\s*([0-9,.]+)\s*(KB|MB)"
 
 
@@ -61,3 +69,9 @@ def hints(pdfs: Column) -> Column:
     firsts = bind(fill_kinds(pdfs), lambda a: F.filter(a, lambda p, i: ~F.exists(F.slice(a, 1, i), lambda q: q["kind"] == p["kind"])))
     tools = F.create_map(*[F.lit(x) for kv in KIND_TOOLS.items() for x in kv])
     return F.transform(by_priority(firsts), lambda p: F.struct(p["kind"].alias("kind"), F.element_at(tools, p["kind"]).alias("tool"), p["url"].alias("url")))
+
+
+def noted_hints(pdfs: Column) -> Column:
+    """``hints`` with a note on how to read each kind."""
+    notes = F.create_map(*[F.lit(x) for kv in KIND_NOTES.items() for x in kv])
+    return F.transform(hints(pdfs), lambda h: h.withField("note", F.element_at(notes, h["kind"])))

@@ -32,6 +32,12 @@ def freshness_warning(days: Column, hint: str) -> Column:
     return F.when(staleness(days) == "outdated", F.concat(F.lit("outdated: "), days.cast("string"), F.lit(f" days. {hint}")))
 
 
+def freshness_of(at: Column, now: Column, hint: str = "") -> Column:
+    """Struct fetched_at, staleness, days_since, warning of a single row."""
+    days = days_since(at, now)
+    return F.struct(at.alias("fetched_at"), staleness(days).alias("staleness"), days.alias("days_since"), freshness_warning(days, hint).alias("warning"))
+
+
 def document_hash(doc_type: Column, doc_id: Column, title: Column, text: Column) -> Column:
     return F.sha1(F.concat_ws("\n", doc_type, doc_id, title, text).cast("binary"))
 

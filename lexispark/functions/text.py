@@ -114,3 +114,10 @@ def join_blocks(*parts: Column) -> Column:
 def headed(heading: str, lines: Column) -> Column:
     """A block of lines under a bracketed heading; empty without lines."""
     return F.when(F.size(lines) > 0, F.concat(F.lit(f"【{heading}】\n"), F.array_join(lines, "\n"))).otherwise(F.lit(""))
+
+
+def sections(full_text: Column) -> Column:
+    """The headed blocks of a text that ``join_blocks`` and ``headed`` made: array of struct heading, paragraphs; empty without any."""
+    blocks = F.filter(F.split(full_text, r"\n\n(?=【[^】\n]+】\n)"), lambda b: b.rlike(r"^【[^】\n]+】\n"))
+    parts = F.transform(blocks, lambda b: F.struct(F.regexp_extract(b, "^【([^】]+)】", 1).alias("heading"), F.split(F.regexp_replace(b, r"^【[^】]+】\n", ""), "\n+").alias("paragraphs")))
+    return F.coalesce(parts, F.array().cast("array<struct<heading:string,paragraphs:array<string>>>"))

@@ -21,7 +21,10 @@ BUREAUS = {
 HEAD_OFFICE = "国税庁"
 ANSWER_FOLDERS = {"1": "shotoku", "2": "gensen", "3": "joto", "4": "sozoku", "5": "hojin", "6": "shohi", "7": "inshi", "9": "osirase"}
 TOC_STYLES = {"消費税法基本通達": "shohi", "所得税基本通達": "shotoku", "法人税基本通達": "hojin", "相続税法基本通達": "sozoku"}
-ABBREVIATIONS = {"消基通": "消費税法基本通達", "所基通": "所得税基本通達", "法基通": "法人税基本通達", "相基通": "相続税法基本通達"}
+ABBREVIATIONS = {
+    "消基通": "消費税法基本通達", "所基通": "所得税基本通達", "法基通": "法人税基本通達", "相基通": "相続税法基本通達",
+    "通基通": "国税通則法基本通達", "徴基通": "国税徴収法基本通達", "措通": "租税特別措置法関係通達", "印基通": "印紙税法基本通達",
+}
 
 
 def lookup(table: dict[str, str], key: Column) -> Column:
@@ -86,6 +89,11 @@ def baseline_type(name: Column) -> Column:
 
 
 def resolve_abbreviation(abbr: Column) -> Column:
-    """Struct formal_name, in_scope: full names stand for themselves."""
-    name = F.coalesce(lookup(ABBREVIATIONS, abbr), F.when(abbr.isin(*TOC_STYLES), abbr))
-    return F.struct(name.alias("formal_name"), name.isNotNull().alias("in_scope"))
+    """Struct formal_name, in_scope: full names stand for themselves; in scope are the circulars that can be ingested."""
+    name = F.coalesce(lookup(ABBREVIATIONS, abbr), F.when(abbr.isin(*ABBREVIATIONS.values()), abbr))
+    return F.struct(name.alias("formal_name"), F.coalesce(name.isin(*TOC_STYLES), F.lit(False)).alias("in_scope"))
+
+
+def abbreviation(name: Column) -> Column:
+    """Abbreviation of a full name; a name without one stands for itself."""
+    return F.coalesce(lookup({v: k for k, v in ABBREVIATIONS.items()}, name), name)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import quality, urls
 from ..sources import fetch as source
 from ..sources.store import Store
-from . import diff, lookup, merge, pages
+from . import diff, lookup, merge, pages, plan
 
 
 @dataclass(frozen=True)
@@ -35,6 +35,36 @@ class Ingest:
         source.fetch(targets, self.fetcher, self.params, self.now).write.parquet(path)
         return self.store.spark.read.parquet(path)
 
+    def log(self, events: DataFrame) -> None:
+        """Add events (columns of ``LOG`` but ``at``) to the log of the store as JSON lines."""
+        at = F.lit(self.now).cast("timestamp") if self.now else F.current_timestamp()
+        events.select(at.alias("at"), "*").write.mode("append").json(f"{self.store.root}/log")
+
+    def logged(self) -> DataFrame:
+        """All events of the log."""
+        return self.store.spark.read.schema(LOG).json(f"{self.store.root}/log")
+
+
+LOG = "at timestamp, level string, doc_type string, topic string, url string, message string, fetched bigint, failed bigint"
+TOPICS = {"kaisei": urls.revision_taxonomy, "jimu-unei": urls.guideline_taxonomy, "bunshokaitou": urls.reply_taxonomy}
+
+
+def topic(doc_type: str, url: Column) -> Column:
+    """The topic that the URL of a document names."""
+    return TOPICS[doc_type](url) if doc_type in TOPICS else urls.first_group(url, FOLDERS[doc_type])
+
+
+def events(doc_type: str, links: DataFrame, raw: DataFrame, made: DataFrame) -> DataFrame:
+    """For each topic how many pages gave a document and how many none (info), and each page that gave none with its reason (error)."""
+    good = made.filter(F.col("error").isNull() & (F.col("doc_id") != "")).select(F.col("source_url").alias("url")).distinct().withColumn("_ok", F.lit(True))
+    bad = made.filter(F.col("error").isNotNull()).groupBy(F.col("source_url").alias("url")).agg(F.min("error").alias("_parse"))
+    pages_ = links.select("url", topic(doc_type, F.col("url")).alias("topic")).join(good, "url", "left").join(raw.select("url", F.col("error").alias("_fetch")), "url", "left").join(bad, "url", "left")
+    pages_ = pages_.withColumn("ok", F.coalesce("_ok", F.lit(False)))
+    none = F.lit(None)
+    per = diff.outcomes(pages_, "topic", F.col("ok")).select(F.lit("info").alias("level"), F.lit(doc_type).alias("doc_type"), "topic", none.cast("string").alias("url"), none.cast("string").alias("message"), "fetched", "failed")
+    broken = pages_.filter(~F.col("ok")).select(F.lit("error").alias("level"), F.lit(doc_type).alias("doc_type"), "topic", "url", F.coalesce("_fetch", "_parse", F.lit("no document")).alias("message"), none.cast("bigint").alias("fetched"), none.cast("bigint").alias("failed"))
+    return per.unionByName(broken)
+
 
 def report(run: Ingest, doc_type: str, before: DataFrame, after: DataFrame, total: int, failed: int, began: float, record: bool = True) -> DataFrame:
     """One row of counters and health; appended to the history after it was judged against it."""
@@ -85,6 +115,7 @@ def documents(run: Ingest, doc_type: str, index: DataFrame, limit: int | None =
     path = f"{run.store.root}/raw/{doc_type}-made-{time.time_ns()}"
     made.write.parquet(path)
     made = run.store.spark.read.parquet(path)
+    run.log(events(doc_type, links, raw, made))
     good = made.filter(F.col("error").isNull() & (F.col("doc_id") != ""))
     own = run.store["document"]
     before = own.read().filter(F.col("doc_type") == doc_type).select("doc_id", "content_hash", "title")
@@ -163,12 +194,41 @@ def live_documents(run: Ingest, doc_type: str, targets: DataFrame) -> DataFrame:
 
 
 def canaries(run: Ingest, targets: DataFrame) -> DataFrame:
-    """One row per target (name, kind, url): ok, and why not.  A circular's page must have a clause, others a title."""
+    """One row per target (name, kind, url): ok, and why not.
+
+    A circular's page must have a clause, an index (kinds of ``pages.INDEX_LINKS``) a link of its kind, others a title.
+    """
     raw = run.pages(targets, "canary")
     read = source.parsed(raw)
     clauses = pages.section_clauses(read).groupBy("url").agg(F.count("*").alias("_clauses"))
     seen = read.select("url", "found", F.col("error").alias("_parse"), pages.page_heading(F.col("blocks")).isNotNull().alias("_title")).join(clauses, "url", "left")
     j = targets.join(raw.select("url", F.col("error").alias("_fetch")), "url", "left").join(seen, "url", "left")
-    enough: Column = F.when(F.col("kind") == "circular", F.coalesce("_clauses", F.lit(0)) > 0).otherwise(F.coalesce("_title", F.lit(False)))
+    kinds = read.join(targets.select("url", "kind"), "url")
+    listed = reduce(DataFrame.unionByName, [pages.index_links(kinds.filter(F.col("kind") == k).drop("kind"), k).select(F.col("page_url").alias("url"), F.lit(k).alias("kind")) for k in pages.INDEX_LINKS])
+    j = j.join(listed.groupBy("url", "kind").agg(F.count("*").alias("_links")), ["url", "kind"], "left")
+    enough: Column = F.when(F.col("kind") == "circular", F.coalesce("_clauses", F.lit(0)) > 0).when(F.col("kind").isin(*pages.INDEX_LINKS), F.coalesce("_links", F.lit(0)) > 0).otherwise(F.coalesce("_title", F.lit(False)))
     reason = F.coalesce("_fetch", "_parse", F.when(~enough, F.lit("nothing found")))
     return j.select("name", "kind", "url", reason.isNull().alias("ok"), reason.alias("reason"))
+
+
+def canary_counts(results: DataFrame) -> DataFrame:
+    """ok and failed over the rows of ``canaries``."""
+    return results.agg(F.count_if("ok").alias("ok"), F.count_if(~F.col("ok")).alias("failed"))
+
+
+def everything(run: Ingest, site: str, limit: int | None = None) -> DataFrame:
+    """Ingest all circulars and document types of a site; the reports of all, and a row with the reason in ``error`` for a type that failed as a whole.
+
+    Types are a fixed handful and run one after the other, each over all its pages at
+    once; one that fails leaves the others as they are.
+    """
+    spark = run.store.spark
+    steps = [("tsutatsu", lambda: circulars(run, plan.circulars(spark, site)))]
+    steps += [(t, lambda t=t: documents(run, t, plan.indexes(spark, site, t), limit)) for t in plan.INDEXES]
+    reports = []
+    for name, step in steps:
+        try:
+            reports.append(step().withColumn("error", F.lit(None).cast("string")))
+        except Exception as e:  # noqa: BLE001 - the row carries the error
+            reports.append(spark.createDataFrame([(name, f"{type(e).__name__}: {e}"[:500])], "doc_type string, error string"))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), reports)

@@ -248,7 +248,7 @@ def section_clauses(parsed: DataFrame) -> DataFrame:
     rows = pages.select("*", F.posexplode(under_headings(F.col("blocks"), inner=("p", "div"))).alias("pos", "s")).drop("blocks")
     first = F.array_position(F.transform("s.inner", lambda b: (b["tag"] == "p") & b["cls"].rlike(r"(^|\s)indent1(\s|$)")), True).cast("int")
     rows = rows.withColumn("_first", first).filter(F.col("_first") > 0)
-    rows = rows.withColumn("_n", text.clause_number(text.clean_block(F.element_at("s.inner", F.col("_first"))["text"]))).filter(F.col("_n").isNotNull())
+    rows = rows.withColumn("_n", text.clause_number(text.clean_block(F.get("s.inner", F.col("_first") - 1)["text"]))).filter(F.col("_n").isNotNull())
     rest = F.filter(
         F.transform(F.slice("s.inner", F.col("_first") + 1, F.size("s.inner")), lambda b: F.struct(indent(b).alias("indent"), text.clean_block(b["text"]).alias("text"))),
         lambda x: x["text"] != "",

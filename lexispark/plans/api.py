@@ -12,13 +12,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import pdf, text, urls
-from ..operators import diff, ingest, lookup, pages, postings, render, search
+from ..operators import diff, ingest, lookup, pages, plan, postings, render, search
 from ..schema import DOC_TYPES, legal_status
 from ..sources import fetch as source
 from ..sources.store import Store
 
-#: Topics of question-and-answer cases.
-QA_TOPICS = ("shotoku", "gensen", "joto", "sozoku", "hyoka", "hojin", "shohi", "inshi", "hotei")
 TEXT = ("title", "full_text")
 
 
@@ -103,6 +101,14 @@ class Engine:
         read = pages.section_clauses(source.parsed(self.run.pages(asked, "live"))).join(asked, "url")
         return read.select(F.xxhash64("circular_id", "clause_number").alias("id"), "circular_id", "clause_number", F.col("url").alias("source_url"), "chapter_number", "section_number", "title", "full_text", "paragraphs")
 
+    def available_clauses_on_miss(self, requests: DataFrame, limit: int = 50) -> DataFrame:
+        """For every request (name or abbreviation, clause) that is not stored, clauses of the circular: name, asked, rank, clause_number, title."""
+        missed = self.get_clauses(requests).filter("source IS NULL").select("name", F.col("clause").alias("asked")).distinct()
+        own = self.store.read("clause").join(self.store.read("circular").select(F.col("id").alias("circular_id"), F.col("formal_name").alias("name")), "circular_id")
+        order = Window.partitionBy("name").orderBy("id")
+        some = own.select("name", "clause_number", "title", F.row_number().over(order).alias("rank")).filter(F.col("rank") <= limit)
+        return missed.join(some, "name").select("name", "asked", "rank", "clause_number", "title")
+
     def available_clauses(self, name: str, limit: int = 50) -> DataFrame:
         return lookup.available_clauses(self.store.read("clause"), self.store.read("circular"), name, limit)
 
@@ -121,7 +127,7 @@ class Engine:
 
     def get_qa(self, topic: str, category: str, number: str, site: str | None = None) -> DataFrame:
         """With a ``site`` (scheme and host) a case that is not stored is fetched."""
-        if topic not in QA_TOPICS:
+        if topic not in plan.QA_TOPICS:
             raise ValueError(f"unknown topic {topic}")
         doc_id = f"{topic}/{category.zfill(2)}/{number.zfill(2)}"
         return self.get_or_fetch("qa-jirei", doc_id, site and f"{site}/law/shitsugi/{doc_id}.htm")
@@ -166,7 +172,7 @@ class Engine:
         """The document's files with their kinds, by priority, with reading hints and what the document binds."""
         own = self.get_document(doc_type, doc_id)
         filled = pdf.by_priority(pdf.fill_kinds(F.col("attached_pdfs")))
-        return own.select("doc_type", "doc_id", "title", filled.alias("pdfs"), pdf.hints(F.col("attached_pdfs")).alias("hints"), self._binding(doc_type).alias("binding"))
+        return own.select("doc_type", "doc_id", "title", filled.alias("pdfs"), pdf.noted_hints(F.col("attached_pdfs")).alias("hints"), self._binding(doc_type).alias("binding"))
 
     def stale_sections(self, days: int, formal_name: str | None = None) -> DataFrame:
         circulars = self.store.read("circular").select(F.col("id").alias("circular_id"), "formal_name")
@@ -177,10 +183,33 @@ class Engine:
     # -- renderings
 
     def document_markdown(self, found: DataFrame) -> DataFrame:
-        c = F.col
-        md = render.document(c("title"), c("taxonomy"), c("issued_at"), c("issuer"), c("full_text"), pdf.fill_kinds(F.coalesce("attached_pdfs", F.array().cast(f"array<{pdf.PDF}>"))), c("source_url"), c("fetched_at").cast("string"))
+        """doc_type, doc_id, markdown of found documents: cases and answers with their sections, others with their facts and files."""
+        c, at = F.col, F.col("fetched_at").cast("string")
+        parts = text.sections(c("full_text"))
+        part = lambda h: F.coalesce(F.get(F.filter(parts, lambda s: s["heading"] == h), 0)["paragraphs"], F.array().cast("array<string>"))
+        case = render.qa_case(c("title"), part("照会要旨"), part("回答要旨"), part("関係法令通達"), c("source_url"), at)
+        answer = render.tax_answer(c("doc_id"), c("title"), c("issued_at"), c("taxonomy"), parts, c("source_url"), at)
+        other = render.document(c("title"), c("taxonomy"), c("issued_at"), c("issuer"), c("full_text"), pdf.fill_kinds(F.coalesce("attached_pdfs", F.array().cast(f"array<{pdf.PDF}>"))), c("source_url"), at)
+        md = F.when(c("doc_type") == "qa-jirei", case).when(c("doc_type") == "tax-answer", answer).otherwise(other)
         return found.select("doc_type", "doc_id", md.alias("markdown"))
 
+    def section_markdown(self, name: str, chapter: int, section: int) -> DataFrame:
+        """name, chapter_number, section_number, markdown: a section with all its clauses in the order of their numbers."""
+        at = ["circular_id", "chapter_number", "section_number"]
+        own = self.store.read("circular").filter(F.col("formal_name") == name).select(F.col("id").alias("circular_id"), "formal_name")
+        heads = self.store.read("section").filter((F.col("chapter_number") == chapter) & (F.col("section_number") == section)).join(own, "circular_id")
+        titles = self.store.read("chapter").select("circular_id", F.col("number").alias("chapter_number"), F.col("title").alias("_chapter"))
+        places = F.transform(F.regexp_extract_all("clause_number", F.lit(r"(\d+)")), lambda x: x.cast("long"))
+        clauses = self.store.read("clause").join(heads.select(*at), at).groupBy(*at).agg(F.array_sort(F.collect_list(F.struct(places.alias("n"), "clause_number", "title", "paragraphs"))).alias("_clauses"))  # one page
+        found = heads.join(clauses, at, "left").join(titles, ["circular_id", "chapter_number"], "left")
+        body = F.coalesce(F.col("_clauses"), F.array().cast(clauses.schema["_clauses"].dataType))
+        md = render.section_page(F.coalesce("title", F.lit("")), F.col("_chapter"), body, F.col("url"), F.col("fetched_at").cast("string"))
+        return found.select(F.col("formal_name").alias("name"), "chapter_number", "section_number", md.alias("markdown"))
+
+    def hits_markdown(self, found: DataFrame) -> DataFrame:
+        """rank, markdown: a list line for each row of a search."""
+        return found.select("rank", render.search_hit(F.coalesce("title", F.lit("")), F.coalesce("snippet", F.lit("")), F.col("source_url")).alias("markdown"))
+
     def clause_markdown(self, found: DataFrame) -> DataFrame:
         c = F.col
         return found.select("name", "clause", render.clause_page(c("clause_number"), c("title"), c("paragraphs"), c("source_url"), c("fetched_at")).alias("markdown"))
