@@ -41,11 +41,15 @@ def size_kb(text: Column) -> Column:
 
 
 def kind(title: Column) -> Column:
-    t = F.regexp_replace(F.translate(normalize_text(F.coalesce(title, F.lit(""))), WIDE_LETTERS, NARROW_LETTERS), BLANKS, "")
-    out = F.lit("unknown")
-    for name, rx in reversed(KIND_PATTERNS):
-        out = F.when(t.rlike(rx), F.lit(name)).otherwise(out)
-    return out
+    plain = F.regexp_replace(F.translate(normalize_text(F.coalesce(title, F.lit(""))), WIDE_LETTERS, NARROW_LETTERS), BLANKS, "")
+
+    def tried(t: Column) -> Column:
+        out = F.lit("unknown")
+        for name, rx in reversed(KIND_PATTERNS):
+            out = F.when(t.rlike(rx), F.lit(name)).otherwise(out)
+        return out
+
+    return bind(plain, tried)
 
 
 def priority(k: Column) -> Column:

@@ -8,6 +8,7 @@ pages are never shuffled by parsing.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin, urlparse
@@ -33,6 +34,8 @@ SKIP_TAGS = frozenset("script style noscript template".split())
 BODY_ID = "bodyArea"
 SKIP_CLASSES = frozenset(("breadcrumb", "page-top-link", "contents-feedback", "surbey-link"))
 SKIP_TEXTS = ("ページの先頭へ戻る", "法令等")
+#: Parts for each core, so that none waits long for the last.
+TASKS_A_CORE = 4
 SJIS = ("shift_jis", "shift-jis", "sjis", "x-sjis", "windows-31j", "ms_kanji")
 
 
@@ -48,91 +51,118 @@ def detect_charset(content_type: Column, head: Column) -> Column:
     return normalize_charset(F.coalesce(text.found(F.regexp_extract(F.coalesce(content_type, F.lit("")), rx, 1)), text.found(meta), F.lit("shift_jis")))
 
 
+# Plain tags, which most are: their attributes stand in double quotes, without references.
+PLAIN_START = re.compile(r'<([a-zA-Z][a-zA-Z0-9]*)((?: [a-zA-Z-]+="[^"&]*")*)>')
+PLAIN_END = re.compile(r"</([a-zA-Z][a-zA-Z0-9]*)>")
+PLAIN_ATTRIBUTE = re.compile(r' ([a-zA-Z-]+)="([^"&]*)"')
+#: What these hold is read in another way.
+RAW_TAGS = frozenset("script style title textarea iframe noembed noframes noscript plaintext xmp".split())
+CLOSED_BY_OWN = frozenset("p li td th dt dd".split())
+
+
 class BlockReader(HTMLParser):
     """Streams a page into blocks; text belongs to the innermost open block."""
 
     def __init__(self, url: str):
         super().__init__(convert_charrefs=True)
         self.url, self.title, self.found = url, "", False
-        self.open: list[tuple[str, dict, dict | None]] = []
+        #: tag, block, and whether the element is skipped, the body, the page header
+        self.open: list[tuple[str, dict | None, bool, bool, bool]] = []
+        self.count: dict[str, int] = {}  # of the open tags
+        self.inner: list[dict] = []  # the open blocks
         self.out: list[dict] = []
         self.skipping, self.inside, self.header = 0, 0, 0
         self.link: dict | None = None
         self.strong: list[dict] = []
 
+    def updatepos(self, i: int, j: int) -> int:
+        return j  # lines are not counted
+
+    def parse_starttag(self, i: int) -> int:
+        m = PLAIN_START.match(self.rawdata, i)
+        tag = m[1].lower() if m else ""
+        if not m or tag in RAW_TAGS:
+            return super().parse_starttag(i)
+        self.handle_starttag(tag, [(k.lower(), v) for k, v in PLAIN_ATTRIBUTE.findall(m[2])] if m[2] else [])
+        return m.end()
+
+    def parse_endtag(self, i: int) -> int:
+        m = None if self.cdata_elem else PLAIN_END.match(self.rawdata, i)
+        if not m or m[1].lower() in RAW_TAGS:
+            return super().parse_endtag(i)
+        self.handle_endtag(m[1].lower())
+        return m.end()
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag == "br":
             self.handle_data("\n")
         if tag in VOID_TAGS:
             return
-        if tag in BLOCK_TAGS:
-            names = [t for t, _, _ in self.open]
+        count = self.count
+        if tag in BLOCK_TAGS and (count.get("p") or count.get(tag)):
+            names = [x[0] for x in self.open]
             if "p" in names and tag != "p" and not set(names[names.index("p") :]) & {"li", "td"}:
                 self.close_to("p")
-            elif tag in ("p", "li", "td", "th", "dt", "dd") and tag in names and not (tag == "li" and set(names[len(names) - 1 - names[::-1].index(tag) :]) & {"ul", "ol"}):
+            elif tag in CLOSED_BY_OWN and tag in names and not (tag == "li" and set(names[len(names) - 1 - names[::-1].index(tag) :]) & {"ul", "ol"}):
                 self.close_to(tag)
         a = {k: v or "" for k, v in attrs}
-        classes = a.get("class", "").split()
-        if tag in SKIP_TAGS or SKIP_CLASSES & set(classes):
-            a["_skip"] = "1"
-            self.skipping += 1
-        if a.get("id") == BODY_ID:
+        classes = a["class"].split() if "class" in a else ()
+        skipped, body, head = tag in SKIP_TAGS or not SKIP_CLASSES.isdisjoint(classes), a.get("id") == BODY_ID, "page-header" in classes
+        self.skipping += skipped
+        if body:
             if not self.found:
                 self.out.clear()  # what stood before the body
             self.found = True
-            a["_in"] = "1"
             self.inside += 1
-        if "page-header" in classes:
-            a["_head"] = "1"
-            self.header += 1
+        self.header += head
         block = None
         if tag in BLOCK_TAGS and not self.skipping and (self.inside or not self.found):
             block = {"tag": tag, "cls": a.get("class"), "style": a.get("style"), "align": a.get("align"), "header": self.header > 0, "text": "", "strong": None, "links": []}
             self.out.append(block)
-        self.open.append((tag, a, block))
-        current = self.block()
-        if current is not None and not self.skipping:
-            if tag == "a" and a.get("href"):
-                self.link = {"href": a["href"], "text": ""}
-            if tag in ("strong", "b") and current["strong"] is None:
-                current["strong"] = ""
-                self.strong.append(current)
+            self.inner.append(block)
+        self.open.append((tag, block, skipped, body, head))
+        count[tag] = count.get(tag, 0) + 1
+        if self.inner and not self.skipping:
+            if tag == "a":
+                if a.get("href"):
+                    self.link = {"href": a["href"], "text": ""}
+            elif tag in ("strong", "b") and self.inner[-1]["strong"] is None:
+                self.inner[-1]["strong"] = ""
+                self.strong.append(self.inner[-1])
 
     def handle_endtag(self, tag: str) -> None:
-        if any(t == tag for t, _, _ in self.open):
+        if self.count.get(tag):
             self.close_to(tag)
 
     def close_to(self, tag: str) -> None:
         while self.open:
-            t, a, block = self.open[-1]
+            t, block, skipped, body, head = self.open[-1]
             if t == "a" and self.link is not None:
-                target = self.block()
-                if target is not None:
+                if self.inner:
                     try:
-                        target["links"].append({"url": urljoin(self.url, self.link["href"].strip()), "text": self.link["text"]})
+                        self.inner[-1]["links"].append({"url": urljoin(self.url, self.link["href"].strip()), "text": self.link["text"]})
                     except ValueError:
                         pass
                 self.link = None
-            if t in ("strong", "b") and self.strong:
+            elif t in ("strong", "b") and self.strong:
                 self.strong.pop()
             self.open.pop()
-            self.skipping -= "_skip" in a
-            self.inside -= "_in" in a
-            self.header -= "_head" in a
+            self.count[t] -= 1
+            if block is not None:
+                self.inner.pop()
+            self.skipping -= skipped
+            self.inside -= body
+            self.header -= head
             if t == tag:
                 return
 
-    def block(self) -> dict | None:
-        return next((b for _, _, b in reversed(self.open) if b is not None), None)
-
     def handle_data(self, data: str) -> None:
-        if any(t == "title" for t, _, _ in self.open):
+        if self.count.get("title"):
             self.title += data
             return
-        current = self.block()
-        if self.skipping or current is None:
+        if self.skipping or not self.inner:
             return
-        current["text"] += data
+        self.inner[-1]["text"] += data
         if self.link is not None:
             self.link["text"] += data
         for b in self.strong:
@@ -142,7 +172,12 @@ class BlockReader(HTMLParser):
         self.close()
         while self.open:
             self.close_to(self.open[-1][0])
-        return [b for b in self.out if b["text"].strip() or b["links"]]
+        return [b for b in self.out if b["links"] or b["text"].strip()]
+
+
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows that pages are made from, over all cores: small files are read in few tasks, yet a page takes as long from any."""
+    return rows.repartition(TASKS_A_CORE * rows.sparkSession.sparkContext.defaultParallelism, *keys)
 
 
 def parse(pages: DataFrame, url: str = "url", html: str = "html", charset: str | None = None) -> DataFrame:
@@ -213,7 +248,7 @@ def attached_pdfs(blocks: Column) -> Column:
     raw = F.flatten(F.transform(blocks, lambda b: b["links"]))
     own = first_of_url(F.filter(raw, lambda x: x["url"].rlike(r"(?i)\.pdf(\?|$)")))
     title = lambda x: F.coalesce(text.found(text.clean_line(x["text"])), F.lit("PDF"))
-    return F.transform(own, lambda x: F.struct(title(x).alias("title"), x["url"].alias("url"), pdf.size_kb(x["text"]).alias("size_kb"), pdf.kind(title(x)).alias("kind")))
+    return F.transform(own, lambda x: bind(title(x), lambda t: F.struct(t.alias("title"), x["url"].alias("url"), pdf.size_kb(x["text"]).alias("size_kb"), pdf.kind(t).alias("kind"))))
 
 
 def under_headings(blocks: Column, heading: Column | None = None, inner: tuple[str, ...] = ("p", "div", "li")) -> Column:
@@ -261,27 +296,25 @@ def section_clauses(parsed: DataFrame) -> DataFrame:
 
 def document_pages(parsed: DataFrame, doc_type: str) -> DataFrame:
     """Rows of the document table from pages (url, fetched_at) of revisions, guidelines or written replies; error instead of content."""
-    b, u = F.col("blocks"), F.col("url")
-    with_headings = doc_type != "kaisei"
-    lines = texts(b, "p")
-    ordered = F.filter(
-        F.transform(F.filter(b, lambda x: x["tag"].isin("p", "h2", "h3")), lambda x: F.when(x["tag"] == "p", text.clean_line(x["text"])).otherwise(F.concat(F.lit("【"), text.clean_line(x["text"]), F.lit("】")))),
-        lambda t: ~t.isin("", "【】", *SKIP_TEXTS),
-    )
-    body = ordered if with_headings else lines
+    b, u, lines, title = F.col("blocks"), F.col("url"), F.col("_lines"), F.col("_title")
+    shown = F.transform(F.filter(b, lambda x: x["tag"].isin("p", "h2", "h3")), lambda x: F.struct((x["tag"] == "p").alias("p"), text.clean_line(x["text"]).alias("t")))
+    kept = F.filter("_shown", lambda x: ~x["t"].isin("", *SKIP_TEXTS) | (~x["p"] & (x["t"] != "")))
+    made = parsed.withColumns({"_shown": shown, "_title": page_heading(b)}).withColumn("_kept", kept)
+    made = made.withColumn("_lines", F.transform(F.filter("_kept", lambda x: x["p"]), lambda x: x["t"]))
+    body = F.transform("_kept", lambda x: F.when(x["p"], x["t"]).otherwise(F.concat(F.lit("【"), x["t"], F.lit("】")))) if doc_type != "kaisei" else lines
     keys = {
         "kaisei": (urls.revision_id(u), urls.revision_taxonomy(u)),
         "jimu-unei": (urls.guideline_id(u), urls.guideline_taxonomy(u)),
         "bunshokaitou": (urls.reply_id(u), urls.reply_taxonomy(u)),
     }[doc_type]
-    issued = F.coalesce(dates.era_date(F.coalesce(F.get(lines, 0), F.lit(""))), dates.era_date(page_heading(b)), dates.folder_date(u))
+    issued = F.coalesce(dates.era_date(F.coalesce(F.get(lines, 0), F.lit(""))), dates.era_date(title), dates.folder_date(u))
     first = F.slice(lines, 1, 6 if doc_type == "kaisei" else 8)
     named = F.get(F.filter(first, lambda p: p.rlike(text.ISSUER_MARKS)), 0)
     issuer = urls.reply_issuer(named, u) if doc_type == "bunshokaitou" else text.issuer(first)
-    df = parsed.select(
-        F.lit(doc_type).alias("doc_type"), F.coalesce(keys[0], F.lit("")).alias("doc_id"), keys[1].alias("taxonomy"), page_heading(b).alias("title"), issued.alias("issued_at"), issuer.alias("issuer"),
+    df = made.select(
+        F.lit(doc_type).alias("doc_type"), F.coalesce(keys[0], F.lit("")).alias("doc_id"), keys[1].alias("taxonomy"), title.alias("title"), issued.alias("issued_at"), issuer.alias("issuer"),
         u.alias("source_url"), "fetched_at", text.normalize_text(F.array_join(body, "\n")).alias("full_text"), attached_pdfs(b).alias("attached_pdfs"),
-        F.coalesce("error", F.when(page_heading(b).isNull(), F.lit("no title"))).alias("error"),
+        F.coalesce("error", F.when(title.isNull(), F.lit("no title"))).alias("error"),
     )
     return with_hash(df)
 

@@ -28,7 +28,7 @@ def filled(template: str) -> Column:
 
 def written(df: DataFrame, key: str, url: Column, html: Column) -> DataFrame:
     """A parsed page for each row."""
-    return pages.parse(df.select(key, url.alias("url"), html.alias("html"), F.lit(None).cast("timestamp").alias("fetched_at")))
+    return pages.parse(pages.dealt(df, key).select(key, url.alias("url"), html.alias("html"), F.lit(None).cast("timestamp").alias("fetched_at")))
 
 
 SECTION = """<html><head><title>頁</title></head><body><div id="bodyArea"><p class="center">第{c_custkey % 7 + 1}章　総目</p>
