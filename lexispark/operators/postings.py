@@ -43,6 +43,11 @@ POSTINGS = "gram bigint, segment bigint, docs binary, places binary, n_docs int,
 SEGMENTS = "segment bigint, keys array<string>, lens array<bigint>, dead array<int>"
 PLACES = "key string, segment bigint, place int, len bigint"
 RAW = f"{POSTINGS}, keys array<string>, lens array<bigint>"
+FOUND = "term string, segment bigint, docs array<int>, tf array<int>, lens array<bigint>, df bigint, max_tf int, min_len bigint"
+FOUND_NAMES = ["term", "segment", "docs", "tf", "lens", "df", "max_tf", "min_len"]
+FOUND_TYPES = (pa.string(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.int64(), pa.int32(), pa.int64())
+#: About as many queries share a pass over the texts.
+CHUNK_QUERIES = 1 << 14
 
 
 class Overtaken(RuntimeError):
@@ -62,10 +67,14 @@ def cover(term: Column) -> Column:
     return F.transform(starts, lambda i: F.struct(i.alias("offset"), packed(at(i, 1), at(i, 2), at(i, 3)).alias("gram")))
 
 
-def segment_rows(keys: list[str], texts: list[list[str]], salt: int) -> pa.RecordBatch:
-    """The blocks of one segment, and the segment itself in a row without a gram."""
+def segment_id(keys: list[str], salt: int) -> np.int64:
     from xxhash import xxh64_intdigest
 
+    return np.uint64(xxh64_intdigest("\0".join(keys), seed=salt & (2**64 - 1))).astype(np.int64)
+
+
+def segment_postings(texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """gram, doc and place of all trigrams of some texts in this order, where each gram starts, and the texts' lengths."""
     points, doc, places, lens = [], [], [], []
     for i, columns in enumerate(texts):
         at, n = 0, 0
@@ -78,14 +87,19 @@ def segment_rows(keys: list[str], texts: list[list[str]], salt: int) -> pa.Recor
             n += max(0, len(c) - 2)
             at += len(c) + GAP
         lens.append(n)
-    segment = np.uint64(xxh64_intdigest("\0".join(keys), seed=salt & (2**64 - 1))).astype(np.int64)
-    lengths = np.array(lens, np.int64)
     if not points:
         points, doc, places = [np.zeros(0, np.int64)], [np.zeros(0, np.uint16)], [np.zeros(0, np.uint32)]
     gram, doc, places = np.concatenate(points), np.concatenate(doc), np.concatenate(places)
     order = np.argsort(gram, kind="stable")  # within a gram by document and place
     gram, doc, places = gram[order], doc[order], places[order]
     head = np.flatnonzero(np.concatenate((np.ones(min(1, len(gram)), bool), gram[1:] != gram[:-1])))
+    return gram, doc, places, head, lens
+
+
+def segment_rows(keys: list[str], texts: list[list[str]], salt: int) -> pa.RecordBatch:
+    """The blocks of one segment, and the segment itself in a row without a gram."""
+    gram, doc, places, head, lens = segment_postings(texts)
+    segment, lengths = segment_id(keys, salt), np.array(lens, np.int64)
     new = np.flatnonzero(np.concatenate((np.ones(min(1, len(gram)), bool), (gram[1:] != gram[:-1]) | (doc[1:] != doc[:-1]))))
     tf = np.diff(np.append(new, len(gram)))
     first = np.searchsorted(new, head)
@@ -103,40 +117,87 @@ def segment_rows(keys: list[str], texts: list[list[str]], salt: int) -> pa.Recor
     return pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in zip(blocks, own, strict=True)], names=names)
 
 
+def folded(rows: DataFrame, key: str, columns: tuple[str, ...]) -> DataFrame:
+    return rows.select(F.col(key).cast("string").alias("key"), *[F.lower(F.coalesce(F.col(c), F.lit(""))).alias(f"c{i}") for i, c in enumerate(columns)])
+
+
+def dealt(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[list[str], list[list[str]]]]:
+    """Keys and texts of each segment of a task's documents."""
+    held: list[tuple[str, list[str]]] = []
+    chars = 0
+
+    def sent() -> Iterator[tuple[list[str], list[list[str]]]]:
+        held.sort(key=lambda x: (sum(map(len, x[1])), x[0]))  # bounds are close where lengths are
+        at = 0
+        while at < len(held):
+            n, size = 0, 0
+            while at + n < len(held) and n < SEGMENT_DOCS and (size < HELD_CHARS or not n):
+                size += sum(map(len, held[at + n][1]))
+                n += 1
+            yield [k for k, _ in held[at : at + n]], [t for _, t in held[at : at + n]]
+            at += n
+
+    for batch in batches:
+        texts = [batch.column(f"c{i}").to_pylist() for i in range(width)]
+        for k, *own in zip(batch.column("key").to_pylist(), *texts, strict=True):
+            held.append((k, own))
+            chars += sum(map(len, own))
+            if len(held) >= HELD_DOCS or chars >= HELD_CHARS:
+                yield from sent()
+                held, chars = [], 0
+    if held:
+        yield from sent()
+
+
 def build(rows: DataFrame, key: str, columns: tuple[str, ...], salt: int = 0) -> tuple[DataFrame, DataFrame]:
     """Blocks and segments of ``rows``, written once."""
+    width = len(columns)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[str, list[str]]] = []
-        chars = 0
-
-        def sent() -> Iterator[pa.RecordBatch]:
-            held.sort(key=lambda x: (sum(map(len, x[1])), x[0]))  # bounds are close where lengths are
-            at = 0
-            while at < len(held):
-                n, size = 0, 0
-                while at + n < len(held) and n < SEGMENT_DOCS and (size < HELD_CHARS or not n):
-                    size += sum(map(len, held[at + n][1]))
-                    n += 1
-                yield segment_rows([k for k, _ in held[at : at + n]], [t for _, t in held[at : at + n]], salt)
-                at += n
+        for keys, texts in dealt(batches, width):
+            yield segment_rows(keys, texts, salt)
 
-        for batch in batches:
-            texts = [batch.column(f"c{i}").to_pylist() for i in range(len(columns))]
-            for k, *own in zip(batch.column("key").to_pylist(), *texts, strict=True):
-                held.append((k, own))
-                chars += sum(map(len, own))
-                if len(held) >= HELD_DOCS or chars >= HELD_CHARS:
-                    yield from sent()
-                    held, chars = [], 0
-        if held:
-            yield from sent()
-
-    folded = rows.select(F.col(key).cast("string").alias("key"), *[F.lower(F.coalesce(F.col(c), F.lit(""))).alias(f"c{i}") for i, c in enumerate(columns)])
-    raw = written(folded.mapInArrow(run, RAW).withColumn("kind", F.when(F.col("gram").isNull(), "segment").otherwise("block")), "segments", "kind")
+    raw = written(folded(rows, key, columns).mapInArrow(run, RAW).withColumn("kind", F.when(F.col("gram").isNull(), "segment").otherwise("block")), "segments", "kind")
     segments = raw.filter("kind = 'segment'").select("segment", "keys", "lens", F.array().cast("array<int>").alias("dead"))
     return raw.filter("kind = 'block'").select("gram", "segment", "docs", "places", "n_docs", "max_tf", "min_len"), segments
 
 
+def standing(term: str, parts: list[tuple[int, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Documents with a term and its hits in each, from offset, documents and places of its trigrams."""
+    sets = sorted(((doc.astype(np.int64) << 32) + place - offset for offset, doc, place in parts), key=len)
+    at = reduce(lambda a, b: np.intersect1d(a, b, assume_unique=True), sets)
+    return np.unique((at + len(term)) >> 32, return_counts=True)
+
+
+def counted(rows: DataFrame, key: str, columns: tuple[str, ...], terms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What ``term_blocks`` finds for ``terms``, and the segments: a segment's postings are looked up where they are made, and kept nowhere."""
+    width = len(columns)
+    pieces = terms.select("term", cover(F.col("term")).alias("pieces")).collect()  # of CHUNK_QUERIES queries at most
+    shared = rows.sparkSession.sparkContext.broadcast([(r["term"], [(x["offset"], x["gram"]) for x in r["pieces"]]) for r in pieces])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = shared.value
+        wanted = np.unique(np.array([g for _, own in asked for _, g in own], np.int64))
+        for keys, texts in dealt(batches, width):
+            gram, doc, places, head, lens = segment_postings(texts)
+            segment, lengths, ends = int(segment_id(keys, 0)), np.array(lens, np.int64), np.append(head, len(gram))
+            _, mine, at = np.intersect1d(wanted, gram[head], assume_unique=True, return_indices=True)
+            met = dict(zip(wanted[mine].tolist(), zip(ends[at].tolist(), ends[at + 1].tolist(), strict=True), strict=True))
+            out = [(None, segment, None, None, lens, None, None, None, keys)]
+            for term, own in asked:
+                if not all(g in met for _, g in own):
+                    continue
+                docs, tf = standing(term, [(offset, doc[a:z], places[a:z]) for offset, g in own for a, z in [met[g]]])
+                if len(docs):
+                    size = lengths[docs]
+                    out.append((term, segment, docs.tolist(), tf.tolist(), size.tolist(), len(docs), int(tf.max()), int(size.min()), None))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (*FOUND_TYPES, pa.list_(pa.string())), strict=True)], names=[*FOUND_NAMES, "keys"])
+
+    raw = written(folded(rows, key, columns).mapInArrow(run, f"{FOUND}, keys array<string>").withColumn("kind", F.when(F.col("term").isNull(), "segment").otherwise("found")), "term-blocks", "kind")
+    segments = raw.filter("kind = 'segment'").select("segment", "keys", "lens")
+    return raw.filter("kind = 'found'").select(*FOUND_NAMES), segments
+
+
 # -- searching
 
 
@@ -151,23 +212,16 @@ def term_blocks(terms: DataFrame, blocks: DataFrame, segments: DataFrame) -> Dat
         for batch in batches:
             out = []
             for term, segment, parts, lens, dead in zip(*(batch.column(c).to_pylist() for c in ("term", "segment", "pieces", "lens", "dead")), strict=True):
-                sets = []
-                for x in parts:
-                    doc, place = np.frombuffer(x["docs"], np.uint16).astype(np.int64), np.frombuffer(x["places"], np.uint32).astype(np.int64)
-                    sets.append((doc << 32) + place - x["offset"])
-                sets.sort(key=len)
-                at = reduce(lambda a, b: np.intersect1d(a, b, assume_unique=True), sets)
-                doc, tf = np.unique((at + len(term)) >> 32, return_counts=True)
+                doc, tf = standing(term, [(x["offset"], np.frombuffer(x["docs"], np.uint16), np.frombuffer(x["places"], np.uint32)) for x in parts])
                 alive = ~np.isin(doc, np.array(dead or [], np.int64))
                 doc, tf = doc[alive], tf[alive]
                 if len(doc):
                     own = np.array(lens, np.int64)[doc]
                     out.append((term, segment, doc.tolist(), tf.tolist(), own.tolist(), len(doc), int(tf.max()), int(own.min())))
             if out:
-                kinds = (pa.string(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.int64(), pa.int32(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["term", "segment", "docs", "tf", "lens", "df", "max_tf", "min_len"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), FOUND_TYPES, strict=True)], names=FOUND_NAMES)
 
-    return full.select("term", "segment", "pieces", "lens", "dead").mapInArrow(run, "term string, segment bigint, docs array<int>, tf array<int>, lens array<bigint>, df bigint, max_tf int, min_len bigint")
+    return full.select("term", "segment", "pieces", "lens", "dead").mapInArrow(run, FOUND)
 
 
 def asked_terms(queries: DataFrame) -> DataFrame:
@@ -178,11 +232,14 @@ def asked_terms(queries: DataFrame) -> DataFrame:
     return asked.filter(F.forall("terms", lambda t: F.length(t) >= 3))
 
 
-def bounded(queries: DataFrame, blocks: DataFrame, segments: DataFrame, n: Column, mean: Column) -> DataFrame:
+def distinct_terms(queries: DataFrame) -> DataFrame:
+    return asked_terms(queries).select(F.explode("terms").alias("term")).distinct()
+
+
+def bounded(queries: DataFrame, found: DataFrame, n: Column, mean: Column) -> DataFrame:
     """query_id, segment, bound (of a document's score there), parts (idf, docs, tf, lens of each term), turn (1: highest bound)."""
     asked = asked_terms(queries)
     wanted = asked.select("query_id", F.size("terms").alias("size"), F.explode("terms").alias("term"))
-    found = written(term_blocks(wanted.select("term").distinct(), blocks, segments), "term-blocks")
     df = found.groupBy("term").agg(F.sum("df").alias("all"))
     scored = found.join(df, "term").withColumn("idf", search.idf(n, F.col("all")))
     most = search.term_score(F.col("max_tf"), F.col("all"), n, F.col("min_len"), mean)
@@ -218,11 +275,17 @@ def scores(rows: DataFrame, mean: float) -> DataFrame:
 
 def top(queries: DataFrame, blocks: DataFrame, segments: DataFrame, n: int, total: int, limit: int, kind: str = "string") -> tuple[DataFrame, DataFrame]:
     """The best rows of each query (query_id, key of type ``kind``, rank, position); and turn and bound of each segment with whether it was scored."""
+    found = written(term_blocks(distinct_terms(queries), blocks, segments), "term-blocks")
+    return best(queries, found, segments, n, total, limit, kind)
+
+
+def best(queries: DataFrame, found: DataFrame, segments: DataFrame, n: int, total: int, limit: int, kind: str = "string") -> tuple[DataFrame, DataFrame]:
+    """``top`` of what was found for each term."""
     mean = total / n if n else 1.0
-    plan = written(bounded(queries, blocks, segments, F.lit(n), F.lit(mean)), "bounds")
+    plan = written(bounded(queries, found, F.lit(n), F.lit(mean)), "bounds")
     first = written(scores(plan.filter(F.col("turn") <= SEEDS), mean), "seeds")
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc())
-    floor = first.withColumn("r", F.row_number().over(best)).filter(F.col("r") == limit).select("query_id", F.col("score").alias("floor"))
+    by_score = Window.partitionBy("query_id").orderBy(F.col("score").desc())
+    floor = first.withColumn("r", F.row_number().over(by_score)).filter(F.col("r") == limit).select("query_id", F.col("score").alias("floor"))
     seen = plan.join(floor, "query_id", "left").withColumn("scored", (F.col("turn") <= SEEDS) | F.col("floor").isNull() | (F.col("bound") >= F.col("floor") - SLACK))
     rest = scores(seen.filter(F.col("scored") & (F.col("turn") > SEEDS)), mean)
     hits = first.unionByName(rest)
@@ -234,10 +297,15 @@ def top(queries: DataFrame, blocks: DataFrame, segments: DataFrame, n: int, tota
 
 
 def search_once(rows: DataFrame, queries: DataFrame, key: str, columns: tuple[str, ...], limit: int = search.LIMIT) -> DataFrame:
-    """``top`` over an index made for these queries; keys keep their type."""
-    blocks, segments = build(rows, key, columns)
-    n, total = segments.agg(F.sum(F.size("keys")), F.sum(F.aggregate("lens", F.lit(0).cast("long"), lambda a, x: a + x))).first()
-    return top(queries, blocks, segments, n or 0, total or 0, limit, rows.schema[key].dataType.simpleString())[0]
+    """``top`` without a kept index: postings are made for some queries at a time and never leave their task; keys keep their type."""
+    chunks = max(1, -(-queries.count() // CHUNK_QUERIES))
+    out = []
+    for i in range(chunks):
+        own = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(chunks)) == i) if chunks > 1 else queries
+        found, segments = counted(rows, key, columns, distinct_terms(own))
+        n, total = segments.agg(F.sum(F.size("keys")), F.sum(F.aggregate("lens", F.lit(0).cast("long"), lambda a, x: a + x))).first()
+        out.append(best(own, found, segments, n or 0, total or 0, limit, rows.schema[key].dataType.simpleString())[0])
+    return reduce(DataFrame.unionByName, out)
 
 
 def shown(found: DataFrame, queries: DataFrame, rows: DataFrame, key: Column, column: str) -> DataFrame:

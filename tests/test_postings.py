@@ -117,3 +117,15 @@ def test_empty(spark, table, index):
     assert by_index(index.search(asked(spark))[0]) == {}
     table.merge(spark.createDataFrame([("a", "abc", "abcd")], SCHEMA))
     assert by_index(index.search(asked(spark, ["abc", "of"]))[0])[0][0][0] == "a"
+
+
+def test_search_once_keeps_no_postings(spark, monkeypatch):
+    """Only what terms hit is written, and chunks of queries give what all at once do."""
+    rows = spark.createDataFrame([(str(i), "abcdef" * (i % 3), "xyz abc " * (i % 5)) for i in range(40)], "k string, title string, body string")
+    words = ["abc", "xyz cdef", "none", "fab", "z a", "abcdef xyz"]
+    labels, keep = [], postings.written
+    monkeypatch.setattr(postings, "written", lambda df, label, *p: labels.append((label, df.columns)) or keep(df, label, *p))
+    whole = by_index(postings.search_once(rows, asked(spark, words), "k", ("title", "body"), 10))
+    assert labels and not any("places" in columns for _, columns in labels)
+    monkeypatch.setattr(postings, "CHUNK_QUERIES", 2)
+    assert whole == by_index(postings.search_once(rows, asked(spark, words), "k", ("title", "body"), 10)) == by_scan(rows, words=words)
