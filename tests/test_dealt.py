@@ -14,7 +14,7 @@ def blocks(html: str) -> list[tuple[str, str]]:
     return [(b["tag"], b["text"]) for b in reader.blocks()]
 
 
-@pytest.mark.parametrize("name", ["parse_documents", "parse_sections", "parse_qa_cases"])
+@pytest.mark.parametrize("name", ["parse_documents", "parse_sections", "parse_qa_cases", "parse_tax_answers"])
 def test_dealt(spark, name):
     # one task for each kind of page before
     assert getattr(parsers, name)(spark, D).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
