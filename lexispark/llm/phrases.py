@@ -13,7 +13,8 @@ shards and grows with the corpus; the shards get it as Bloom filters of at most
 ``max_bits`` bits.  A full filter lets more phrases pass, which costs time and never
 changes a count.  Most phrases are rare, so those of all sizes but the last are first
 counted by 32 bits of a hash within a part, packed, which only tells what goes into the
-filter; the last pass counts what the filters let pass by its words.
+filter; the last pass counts what the filters let pass by its words, which a shard sends
+packed by part as well.
 
 Edge cases: null text is empty; a null lang counts as ``und``; repeated rows count
 each time; a piece is never cut, however long; an empty table gives no rows; other
@@ -41,6 +42,8 @@ ENDS = b".,;:!?\n\x0b\x0c\r"
 PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t" + ENDS, b"abcdefghijklmnopqrstuvwxyz " + b"\n" * len(ENDS))
 #: Rows sent at once.
 ROWS = 1 << 16
+#: Counts of a part that are held before those of equal phrases are summed.
+HELD = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -328,21 +331,77 @@ def filter_of_phrases(index: DataFrame, size: int, f: Filters, p: PhraseParams)
     return bloom(cells, cells.count(), p.max_bits)
 
 
-def phrase_counts(index: DataFrame, f: Filters, p: PhraseParams) -> DataFrame:
-    """Counts of the frequent phrases of two words and more."""
-    shared = index.sparkSession.sparkContext.broadcast(f)
+PACKED = "lang string, part int, size int, phrases string, n binary"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def sent_phrases(index: DataFrame, f: Filters, p: PhraseParams) -> DataFrame:
+    """The phrases of two words and more that the filters let pass: of each shard and size a row for each part, with their texts, by lines, and their counts."""
+    shared, parts = index.sparkSession.sparkContext.broadcast(f), f.parts
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = shared.value
         known = f.ready()
         for batch in batches:
             for r in range(batch.num_rows):
                 lang, own = batch.column("lang")[r].as_py(), batch.column("words")[r].values
-                for size, found, _ in phrases_of(lang, own, np.frombuffer(batch.column("ids")[r].as_py(), "<i4"), p.most_words, f, known):
-                    yield from counted(lang, size, found.size, lambda a, z, own=own, ids=found.ids: pc.binary_join_element_wise(*(own.take(pa.array(c - 1)) for c in ids[a:z].T), " "))
+                for size, found, key in phrases_of(lang, own, np.frombuffer(batch.column("ids")[r].as_py(), "<i4"), p.most_words, f, known):
+                    if not len(key):
+                        continue
+                    part = (key % U(parts)).astype(np.int32)
+                    order = np.argsort(part, kind="stable")
+                    part = part[order]
+                    head = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+                    ends = np.concatenate((head, [len(part)])).astype(np.int32)
+                    phrases = pc.binary_join_element_wise(*(own.take(pa.array(c - 1)) for c in found.ids[order].T), " ")
+                    n = pa.Array.from_buffers(pa.binary(), len(head), [None, pa.py_buffer(ends * 8), pa.py_buffer(found.size[order].astype("<i8"))])
+                    columns = [pa.repeat(lang, len(head)), pa.array(part[head]), pa.repeat(pa.scalar(size, pa.int32()), len(head)), pc.binary_join(pa.ListArray.from_arrays(ends, phrases), "\n"), n]
+                    yield pa.RecordBatch.from_arrays(columns, names=["lang", "part", "size", "phrases", "n"])
                 pa.default_memory_pool().release_unused()
 
-    return summed(index.select("lang", "words", "ids").mapInArrow(run, COUNTED), p)
+    return index.select("lang", "words", "ids").mapInArrow(send, PACKED)
+
+
+def unpacked(rows: pa.RecordBatch) -> pa.Table:
+    phrases = pc.split_pattern(rows.column("phrases"), "\n")
+    at = pa.array(np.repeat(np.arange(rows.num_rows), pc.list_value_length(phrases).to_numpy()))
+    n = np.frombuffer(b"".join(rows.column("n").to_pylist()), "<i8")
+    return pa.table({"lang": rows.column("lang").take(at), "phrase": phrases.flatten(), "size": rows.column("size").take(at), "n": n})
+
+
+def phrase_counts(index: DataFrame, f: Filters, p: PhraseParams) -> DataFrame:
+    """Counts of the frequent phrases of two words and more, summed within parts."""
+    least = p.min_count
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held, rows, most = None, [], 0, HELD
+
+        def once() -> pa.Table:
+            sums = pa.concat_tables(held).group_by(["lang", "phrase", "size"], use_threads=False).aggregate([("n", "sum")])
+            return sums.rename_columns(["lang", "phrase", "size", "n"])
+
+        def frequent() -> list[pa.RecordBatch]:
+            sums = once()
+            return sums.filter(pc.greater_equal(sums.column("n"), least)).to_batches(max_chunksize=ROWS)
+
+        for batch in batches:
+            of = batch.column("part").to_numpy()
+            head = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1]))) if len(of) else []
+            for a, z in zip(head, [*head[1:], len(of)], strict=True):
+                if of[a] != part:
+                    if held:
+                        yield from frequent()
+                    part, held, rows, most = of[a], [], 0, HELD
+                held.append(unpacked(batch.slice(a, z - a)))
+                rows += held[-1].num_rows
+                if rows > most:
+                    held = [once()]
+                    rows = held[0].num_rows
+                    most = max(HELD, 2 * rows)
+        if held:
+            yield from frequent()
+
+    sent = sent_phrases(index, f, p).repartition("part").sortWithinPartitions("part")
+    return stored(sent.mapInArrow(add, COUNTED), "phrases")
 
 
 def frequent_phrases(docs: DataFrame, params: PhraseParams | None = None) -> tuple[DataFrame, DataFrame]:

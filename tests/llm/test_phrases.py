@@ -78,3 +78,24 @@ def test_filter_never_loses():
     np.bitwise_or.at(words, (at >> np.uint64(6)).astype(int), np.uint64(1) << (at & np.uint64(63)))
     b = Bloom(words)
     assert b.holds(h).all() and b.holds(phrases.word_hashes("fr", [f"w{i}" for i in range(3000)])).mean() < 0.05
+
+
+def test_a_shard_sends_a_part_one_row_of_each_size(spark, docs, monkeypatch):
+    # it sent a row for each phrase before
+    sent, own = [], phrases.sent_phrases
+    monkeypatch.setattr(phrases, "sent_phrases", lambda index, f, p: sent.append((own(index, f, p), index.count(), f.parts)) or sent[-1][0])
+    rng = random.Random(6)
+    rows = [(i, text(rng, 60), ("en", "fr")[i % 2]) for i in range(60)]
+    p = PhraseParams(min_count=2, shard_bytes=900)
+    assert mined(docs(*rows), p) == sorted(brute([(r[2], r[1]) for r in rows], p))
+    found, shards, parts = sent[0]
+    assert found.count() <= 3 * shards * parts
+    assert found.selectExpr("sum(size(split(phrases, '\n')))").first()[0] > 3 * shards * parts
+
+
+def test_many_parts_and_many_counts_of_a_part(spark, docs, monkeypatch):
+    monkeypatch.setattr(phrases, "HELD", 16)
+    rng = random.Random(7)
+    rows = [(i, text(rng, 50), ("en", None)[i % 2]) for i in range(40)]
+    for p in (PhraseParams(min_count=2, shard_bytes=300, part_words=50), PhraseParams(min_count=3, shard_bytes=300)):
+        assert mined(docs(*rows), p) == sorted(brute([(r[2], r[1]) for r in rows], p))
