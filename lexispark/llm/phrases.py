@@ -153,6 +153,16 @@ def joined(ids: np.ndarray) -> np.ndarray:
     return ids[np.concatenate(([True], (ids[1:] != 0) | (ids[:-1] != 0)))]
 
 
+def packed_ids(ids: np.ndarray) -> bytes:
+    """Ids, compressed: all shards of a task are held on both sides of the step that reads them."""
+    return len(ids).to_bytes(8, "little") + pa.compress(ids.astype("<i4").tobytes(), codec="zstd", asbytes=True)
+
+
+def ids_of(packed: pa.BinaryScalar) -> np.ndarray:
+    data = packed.as_buffer()
+    return np.frombuffer(pa.decompress(data.slice(8), 4 * int.from_bytes(data.slice(0, 8).to_pybytes(), "little"), codec="zstd"), "<i4")
+
+
 SHARD = "lang string, words array<string>, counts binary, ids binary, n bigint"
 COUNTED = "lang string, phrase string, size int, n bigint"
 
@@ -168,7 +178,7 @@ def shards(docs: DataFrame, p: PhraseParams) -> DataFrame:
             words, ids = shard_of(held.pop(lang))
             size.pop(lang)
             counts = np.bincount(ids, minlength=len(words) + 1)[1:].astype("<i8")
-            columns = ([lang], [words.to_pylist()], [counts.tobytes()], [ids.astype("<i4").tobytes()], [int(counts.sum())])
+            columns = ([lang], [words.to_pylist()], [counts.tobytes()], [packed_ids(ids)], [int(counts.sum())])
             kinds = (pa.string(), pa.list_(pa.string()), pa.binary(), pa.binary(), pa.int64())
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["lang", "words", "counts", "ids", "n"])
 
@@ -277,7 +287,7 @@ def filter_of_phrases(index: DataFrame, size: int, f: Filters, p: PhraseParams)
         known = f.ready()
         for batch in batches:
             for r in range(batch.num_rows):
-                for s, found, key in phrases_of(batch.column("lang")[r].as_py(), batch.column("words")[r].values, np.frombuffer(batch.column("ids")[r].as_py(), "<i4"), size, f, known):
+                for s, found, key in phrases_of(batch.column("lang")[r].as_py(), batch.column("words")[r].values, ids_of(batch.column("ids")[r]), size, f, known):
                     if s < size:
                         continue
                     cell = f.cell(key)
@@ -344,7 +354,7 @@ def sent_phrases(index: DataFrame, f: Filters, p: PhraseParams) -> DataFrame:
         for batch in batches:
             for r in range(batch.num_rows):
                 lang, own = batch.column("lang")[r].as_py(), batch.column("words")[r].values
-                for size, found, key in phrases_of(lang, own, np.frombuffer(batch.column("ids")[r].as_py(), "<i4"), p.most_words, f, known):
+                for size, found, key in phrases_of(lang, own, ids_of(batch.column("ids")[r]), p.most_words, f, known):
                     if not len(key):
                         continue
                     part = (key % U(parts)).astype(np.int32)

@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lexispark.llm import phrases
@@ -99,3 +100,12 @@ def test_many_parts_and_many_counts_of_a_part(spark, docs, monkeypatch):
     rows = [(i, text(rng, 50), ("en", None)[i % 2]) for i in range(40)]
     for p in (PhraseParams(min_count=2, shard_bytes=300, part_words=50), PhraseParams(min_count=3, shard_bytes=300)):
         assert mined(docs(*rows), p) == sorted(brute([(r[2], r[1]) for r in rows], p))
+
+
+def test_ids_of_a_shard_are_held_compressed():
+    # 4 bytes a word before
+    ids = np.minimum(np.random.default_rng(8).zipf(1.3, 100_000), 50_000).astype(np.int32)
+    packed = phrases.packed_ids(ids)
+    assert len(packed) < 2.5 * len(ids)
+    assert (phrases.ids_of(pa.scalar(packed, pa.binary())) == ids).all()
+    assert phrases.ids_of(pa.scalar(phrases.packed_ids(ids[:0]), pa.binary())).size == 0
